@@ -6,6 +6,8 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,11 +68,18 @@ def parse_pattern(text: str) -> str | None:
     if len(set(flags)) != len(flags):
         return None
     kept = "".join(f for f in "ims" if f in flags)
+    pattern = f"(?{kept}){body}" if kept else body
+    return pattern if _compiles(pattern) else None
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether the Java engine, which will run the pattern, accepts it."""
+    jvm = SparkContext._active_spark_context._jvm
     try:
-        re.compile(body)
-    except re.error:
-        return None
-    return f"(?{kept}){body}" if kept else body
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def matches(attr: Column | str, text: str, literal: bool = False) -> Column:

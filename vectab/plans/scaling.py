@@ -37,9 +37,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder, so that lost executors cost no replay."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back.
+
+    Lost executors then cost no replay of earlier rounds, and the next plan
+    knows the true size: a small table is broadcast, a large one shuffled.
+    The folder is removed when the driver ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def block_count(rows: int, block_rows: int, parallelism: int, least: int = 256) -> int:
