@@ -124,11 +124,17 @@ def kernel(
     return run, out
 
 
-def spread_pairs(left: DataFrame, right: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Copy rows to all block pairs: each left block meets each right block once."""
+def spread_pairs(
+    left: DataFrame, right: DataFrame, block_rows: int, sizes: tuple[int, int] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Copy rows to all block pairs: each left block meets each right block once.
+
+    ``sizes`` are row counts, or upper bounds of them, when the caller knows them.
+    """
     cores = left.sparkSession.sparkContext.defaultParallelism
-    n_left = block_count(left.count(), block_rows, cores)
-    n_right = block_count(right.count(), block_rows, 1)
+    rows_left, rows_right = sizes or (left.count(), right.count())
+    n_left = block_count(rows_left, block_rows, cores)
+    n_right = block_count(rows_right, block_rows, 1)
 
     def other(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -158,14 +164,14 @@ def rank_best(hits: DataFrame, k: int) -> DataFrame:
 
 def topk_join(
     left: DataFrame, right: DataFrame, k: int, metric: str = "cosine",
-    exclude_same: bool = False, block_rows: int = BLOCK_ROWS,
+    exclude_same: bool = False, block_rows: int = BLOCK_ROWS, sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """k best right rows per left row: (l_key, r_key, score, rank)."""
     run, out = kernel(
         left.schema["l_key"].dataType, right.schema["r_key"].dataType,
         lambda s: best_k(s, k), metric, exclude_same,
     )
-    lefts, rights = spread_pairs(left, right, block_rows)
+    lefts, rights = spread_pairs(left, right, block_rows, sizes)
     return rank_best(run_blocks(lefts, rights, ["l_block", "r_block"], run, out), k)
 
 

@@ -10,10 +10,6 @@ neighbour did not merge keeps it, so later rounds only ask for the others.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +18,12 @@ from ..plans.graph import climb_to_roots
 from ..plans.scaling import cut_lineage, global_row_number, salted_join
 from .blocks import topk_join
 from .stats import pick_k_peak, spread_by_k
+from .table import scan_many
+
+MERGE_SCHEMA = (
+    "rank long, node long, left long, right long, height double, size long, "
+    "spread double, left_spread double, right_spread double"
+)
 
 
 def number_rows(table: DataFrame, key: str, vector: str) -> DataFrame:
@@ -30,31 +32,55 @@ def number_rows(table: DataFrame, key: str, vector: str) -> DataFrame:
     return cut_lineage(global_row_number(usable, ["key"], "idx"))
 
 
-def _pairs(state: DataFrame) -> DataFrame:
-    """Clusters that are each other's nearest: the two ends of a pair share its sorted ids."""
+def _merge_mutual(state: DataFrame, stride: int) -> DataFrame:
+    """One row per cluster after a round: mutual nearest neighbours made one.
+
+    A cluster and its nearest neighbour form a sorted pair of ids. Two rows with
+    the same pair are each other's nearest and merge (``l``, ``r`` are set); a
+    single row stays as it is. No group has more than two rows.
+    """
     c = F.col
-    end = F.struct("id", "rep", "size", "h", "spread", "s", "dist")
+    end = F.struct("id", "rep", "size", "h", "spread", "s", "nn", "dist")
+    total = F.when(c("n") == 2, F.zip_with("a.s", "b.s", lambda x, y: x + y)).otherwise(c("a.s"))
+    size = F.when(c("n") == 2, c("a.size") + c("b.size")).otherwise(c("a.size"))
+    both = c("n") == 2
     return (
-        state.filter("nn IS NOT NULL")
-        .groupBy(F.least("id", "nn").alias("l"), F.greatest("id", "nn").alias("r"))
+        state.groupBy(F.least("id", "nn").alias("l"), F.greatest("id", "nn").alias("r"))
         .agg(F.min(end).alias("a"), F.max(end).alias("b"), F.count(F.lit(1)).alias("n"))
-        .filter("n = 2")
         .select(
-            "l", "r",
-            c("a.rep").alias("l_rep"), c("b.rep").alias("r_rep"),
-            c("a.spread").alias("left_spread"), c("b.spread").alias("right_spread"),
-            (c("a.size") + c("b.size")).alias("size"),
+            F.when(both, F.lit(stride) + F.least("a.rep", "b.rep")).otherwise(c("a.id")).alias("id"),
+            F.least("a.rep", "b.rep").alias("rep"),
+            size.alias("size"),
             # a merge is never lower than its parts; this also holds against rounding
-            F.greatest("a.dist", "a.h", "b.h").alias("height"),
-            F.zip_with("a.s", "b.s", lambda x, y: x + y).alias("s"),
+            F.when(both, F.greatest("a.dist", "a.h", "b.h")).otherwise(c("a.h")).alias("h"),
+            F.when(both, spread_of(size, total)).otherwise(c("a.spread")).alias("spread"),
+            total.alias("s"),
+            F.when(~both, c("a.nn")).alias("nn"), F.when(~both, c("a.dist")).alias("dist"),
+            F.when(both, c("l")).alias("l"), F.when(both, c("r")).alias("r"),
+            F.when(both, c("a.spread")).alias("left_spread"), F.when(both, c("b.spread")).alias("right_spread"),
         )
     )
 
 
+def _forget_merged(pool: DataFrame) -> DataFrame:
+    """Clear the nearest neighbour of clusters whose neighbour has merged.
+
+    A neighbour may be shared by many clusters: a hot key, so the join is salted.
+    """
+    gone = pool.filter("l IS NOT NULL").select(
+        F.explode(F.array("l", "r")).alias("nn"), F.lit(True).alias("_gone"))
+    known = salted_join(pool, gone, ["nn"], spread="id", how="left")
+    keep = F.col("_gone").isNull()
+    return known.select(
+        "id", "rep", "size", "h", "spread", "s",
+        F.when(keep, F.col("nn")).alias("nn"), F.when(keep, F.col("dist")).alias("dist"),
+    )
+
+
 def spread_of(size: Column, total: Column) -> Column:
     """Mean pair distance inside a cluster, from its size and vector sum."""
-    pairs = size * (size - 1)
-    return F.when(size > 1, 1 - (dot(total, total) - size) / pairs).otherwise(F.lit(0.0))
+    pairs = F.when(size > 1, size * (size - 1))
+    return F.coalesce(1 - (dot(total, total) - size) / pairs, F.lit(0.0))
 
 
 def hac_rows(rows: DataFrame) -> DataFrame:
@@ -64,55 +90,33 @@ def hac_rows(rows: DataFrame) -> DataFrame:
     0..N-1), left, right, height, size, spread and the children's spreads.
     ``left`` is the child that is older in list order, ``right`` the younger.
     """
-    spark = rows.sparkSession
     n = rows.count()
+    if n < 2:
+        return rows.sparkSession.createDataFrame([], MERGE_SCHEMA)
     state = rows.select(
         F.col("idx").alias("id"), F.col("idx").alias("rep"), F.lit(1).cast("long").alias("size"),
         F.lit(0.0).alias("h"), F.lit(0.0).alias("spread"), F.col("u").alias("s"),
         F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("dist"),
     )
-    merges: DataFrame | None = None
-    live, turn = n, 0
+    steps: list[DataFrame] = []
+    live = n
     while live > 1:
-        turn += 1
-        state = cut_lineage(_with_neighbours(state))
-        new = _pairs(state)
-        new = cut_lineage(
-            new.withColumn("id", F.lit(turn * n) + F.least("l_rep", "r_rep"))
-            .withColumn("spread", spread_of(F.col("size"), F.col("s")))
-        )
-        merged = new.select(F.explode(F.array("l", "r")).alias("id"))
-        kept = state.join(merged, "id", "left_anti")
-        # a nearest neighbour may be shared by many clusters: a hot key, so salted
-        lost = salted_join(
-            kept, merged.select(F.col("id").alias("nn"), F.lit(True).alias("_lost")), ["nn"],
-            spread="id", how="left",
-        )
-        kept = lost.select(
-            "id", "rep", "size", "h", "spread", "s",
-            F.when(F.col("_lost").isNull(), F.col("nn")).alias("nn"),
-            F.when(F.col("_lost").isNull(), F.col("dist")).alias("dist"),
-        )
-        born = new.select(
-            "id", F.least("l_rep", "r_rep").alias("rep"), "size", F.col("height").alias("h"), "spread", "s",
-            F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("dist"),
-        )
-        state = cut_lineage(kept.unionByName(born))
-        step = new.select("id", "l", "r", "height", "size", "spread", "left_spread", "right_spread")
-        merges = step if merges is None else merges.unionByName(step)
-        live -= new.count()
-    if merges is None:
-        empty = "id long, l long, r long, height double, size long, spread double, left_spread double, right_spread double"
-        merges = spark.createDataFrame([], empty)
-    return _number_merges(merges, n)
-
-
-def _with_neighbours(state: DataFrame) -> DataFrame:
-    """Fill in the nearest other cluster where it is unknown."""
+        state = cut_lineage(_with_neighbours(state, live))
+        pool = cut_lineage(_merge_mutual(state, (len(steps) + 1) * n))
+        step = pool.filter("l IS NOT NULL")
+        steps.append(step.select(
+            "id", "l", "r", F.col("h").alias("height"), "size", "spread", "left_spread", "right_spread"))
+        live = pool.count()
+        state = _forget_merged(pool)
+    return _number_merges(scan_many(steps), n)
+
+
+def _with_neighbours(state: DataFrame, live: int) -> DataFrame:
+    """Fill in the nearest other cluster where it is unknown; ``live`` is the row count."""
     mean = F.transform("s", lambda x: x / F.col("size"))
     left = state.filter("nn IS NULL").select(F.col("id").alias("l_key"), mean.alias("l_vec"))
     right = state.select(F.col("id").alias("r_key"), mean.alias("r_vec"))
-    found = topk_join(left, right, 1, metric="dot", exclude_same=True).select(
+    found = topk_join(left, right, 1, metric="dot", exclude_same=True, sizes=(live, live)).select(
         F.col("l_key").alias("id"), F.col("r_key").alias("_nn"), (1 - F.col("score")).alias("_dist")
     )
     return state.join(found, "id", "left").select(
@@ -163,9 +167,11 @@ def hac_edges(edges: DataFrame, n: int, linkage: str = "average") -> DataFrame:
         F.col("a").cast("long"), F.col("b").cast("long"), F.col("dist").cast("double").alias("s"),
         F.lit(1).cast("long").alias("n"),
     ))
-    merges, sizes, turn = None, None, 0
+    steps: list[DataFrame] = []
+    turn = 0
     spark = edges.sparkSession
-    sizes = cut_lineage(spark.range(n).select("id", F.col("id").alias("rep"), F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("h")))
+    sizes = cut_lineage(spark.range(n).select(
+        "id", F.col("id").alias("rep"), F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("h")))
     while not links.isEmpty():
         turn += 1
         d = F.round(F.col("s") / F.col("n"), 12)
@@ -174,8 +180,9 @@ def hac_edges(edges: DataFrame, n: int, linkage: str = "average") -> DataFrame:
         nearest = both.groupBy("id").agg(F.min(F.struct("d", "o")).alias("m")).select(
             "id", F.col("m.o").alias("nn"), F.col("m.d").alias("dist"))
         state = nearest.join(sizes, "id").select(
-            "id", "rep", "size", "h", F.lit(0.0).alias("spread"), F.array().cast("array<double>").alias("s"), "nn", "dist")
-        new = cut_lineage(_pairs(state).withColumn("id", F.lit(turn * n) + F.least("l_rep", "r_rep")))
+            "id", "rep", "size", "h", F.lit(0.0).alias("spread"), F.array().cast("array<double>").alias("s"),
+            "nn", "dist")
+        new = cut_lineage(_merge_mutual(state, turn * n).filter("l IS NOT NULL"))
         renamed = new.select(F.explode(F.array("l", "r")).alias("old"), F.col("id").alias("new"))
 
         def follow(frame: DataFrame, side: str, other: str) -> DataFrame:
@@ -189,14 +196,13 @@ def hac_edges(edges: DataFrame, n: int, linkage: str = "average") -> DataFrame:
             moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "n")
             .groupBy("a", "b").agg(fold[0].alias("s"), fold[1].alias("n"))
         )
-        born = new.select("id", F.least("l_rep", "r_rep").alias("rep"), "size", F.col("height").alias("h"))
+        born = new.select("id", "rep", "size", "h")
         sizes = cut_lineage(sizes.join(renamed.select(F.col("old").alias("id")), "id", "left_anti").unionByName(born))
-        step = new.select("id", "l", "r", "height", "size", F.lit(0.0).alias("spread"),
-                          F.lit(0.0).alias("left_spread"), F.lit(0.0).alias("right_spread"))
-        merges = step if merges is None else merges.unionByName(step)
-    if merges is None:
-        raise ValueError("no edges given")
-    return _number_merges(merges, n)
+        steps.append(new.select("id", "l", "r", F.col("h").alias("height"), "size", F.lit(0.0).alias("spread"),
+                                F.lit(0.0).alias("left_spread"), F.lit(0.0).alias("right_spread")))
+    if not steps:
+        return spark.createDataFrame([], MERGE_SCHEMA)
+    return _number_merges(scan_many(steps), n)
 
 
 def cut_tree(rows: DataFrame, merges: DataFrame, k: int) -> DataFrame:
