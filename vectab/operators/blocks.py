@@ -35,6 +35,11 @@ def keyed_vectors(df: DataFrame, key: str, vector: str, side: str) -> DataFrame:
     )
 
 
+def row_bound(table: DataFrame) -> int:
+    """Rows before missing vectors are left out: block planning needs no more, and no vector is read for it."""
+    return table.count()
+
+
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A list column of equal lengths as a float64 matrix."""
     lists = column.combine_chunks()
@@ -177,12 +182,12 @@ def topk_join(
 
 def threshold_join(
     left: DataFrame, right: DataFrame, min_score: float, metric: str = "cosine",
-    exclude_same: bool = False, block_rows: int = BLOCK_ROWS,
+    exclude_same: bool = False, block_rows: int = BLOCK_ROWS, sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """All pairs that score at least ``min_score``: (l_key, r_key, score)."""
     run, out = kernel(
         left.schema["l_key"].dataType, right.schema["r_key"].dataType,
         lambda s: np.nonzero(s >= min_score), metric, exclude_same,
     )
-    lefts, rights = spread_pairs(left, right, block_rows)
+    lefts, rights = spread_pairs(left, right, block_rows, sizes)
     return run_blocks(lefts, rights, ["l_block", "r_block"], run, out)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quant import hamming, sbq_code, sbq_words
 from ..functions.vector import cosine, get_vector, has_dim, lit_vector, round_fixed3, round_sig2
-from .blocks import BLOCK_ROWS, keyed_vectors, threshold_join, topk_join
+from .blocks import BLOCK_ROWS, keyed_vectors, row_bound, threshold_join, topk_join
 from .table import lookup_join
 
 TOP_K = 10
@@ -71,7 +71,7 @@ def best_match(
     right_key = right_key or key
     hits = topk_join(
         keyed_vectors(left, key, vector, "l"), keyed_vectors(right, right_key, vector, "r"), 1,
-        block_rows=block_rows,
+        block_rows=block_rows, sizes=(row_bound(left), row_bound(right)),
     )
     return hits.select(
         F.col("l_key").alias(key), F.col("r_key").alias("hit_key"), F.col("score").alias("_raw")
@@ -116,9 +116,10 @@ def compare_pair(table: DataFrame, key: str, vector: str, selected: Sequence) ->
 
 def knn_graph(table: DataFrame, key: str, vector: str, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest other rows of each row under 1 - cosine: (i, j, dist, rank)."""
+    rows = row_bound(table)
     hits = topk_join(
         keyed_vectors(table, key, vector, "l"), keyed_vectors(table, key, vector, "r"), k,
-        exclude_same=True, block_rows=block_rows,
+        exclude_same=True, block_rows=block_rows, sizes=(rows, rows),
     )
     return hits.select(
         F.col("l_key").alias("i"), F.col("r_key").alias("j"), (1 - F.col("score")).alias("dist"), "rank"
@@ -133,9 +134,10 @@ def pair_distances(
     ``max_dist=2`` gives every pair, as a small table's distance matrix; the
     clustering operators here do not need it.
     """
+    rows = row_bound(table)
     pairs = threshold_join(
         keyed_vectors(table, key, vector, "l"), keyed_vectors(table, key, vector, "r"),
-        1 - max_dist, exclude_same=True, block_rows=block_rows,
+        1 - max_dist, exclude_same=True, block_rows=block_rows, sizes=(rows, rows),
     )
     return pairs.filter("l_key < r_key").select(
         F.col("l_key").alias("i"), F.col("r_key").alias("j"), (1 - F.col("score")).alias("dist")

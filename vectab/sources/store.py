@@ -59,11 +59,16 @@ def duplicate_keys(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return present.union(twice).distinct()
 
 
-def append_strict(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """The target plus the batch; raises when a key would occur twice."""
+def check_keys(target: DataFrame, batch: DataFrame, key: str) -> None:
+    """Raise when a key would occur twice; nothing is written before this check."""
     clash = duplicate_keys(target, batch, key).head(1)
     if clash:
         raise ValueError(f"key exists already: {clash[0][0]!r}")
+
+
+def append_strict(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The target plus the batch; raises when a key would occur twice."""
+    check_keys(target, batch, key)
     return target.unionByName(batch)
 
 
@@ -77,10 +82,11 @@ def union_last_wins(tables: Sequence[DataFrame], key: str, order_by: str) -> Dat
 
 
 class Store:
-    """Keyed Parquet tables below one folder, each change a new committed version.
+    """Keyed Parquet tables below one folder.
 
-    A version counts once Spark has written its ``_SUCCESS`` file, so a lost
-    job leaves the previous version in place.
+    Changes to existing rows write a new version, which counts once Spark has
+    written its ``_SUCCESS`` file, so a lost job leaves the previous one in
+    place. New rows are appended to the current version.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -129,13 +135,20 @@ class Store:
         key = self.key(name)
         return self.write(name, upsert(self.read(name), batch, key, order_by), key)
 
+    def append(self, name: str, rows: DataFrame) -> DataFrame:
+        """Add rows to the current version; nothing that is there is rewritten."""
+        known = self.read(name)
+        path = f"{self.root}/{name}/v{self._current(name):08d}"
+        rows.select(*known.columns).write.mode("append").parquet(path)
+        return self.read(name)
+
     def insert_new(self, name: str, batch: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
-        key = self.key(name)
-        return self.write(name, insert_new(self.read(name), batch, key, order_by), key)
+        """Append the new rows. A repeated run finds their keys and adds nothing."""
+        return self.append(name, new_rows(self.read(name), batch, self.key(name), order_by))
 
     def append_strict(self, name: str, batch: DataFrame) -> DataFrame:
-        key = self.key(name)
-        return self.write(name, append_strict(self.read(name), batch, key), key)
+        check_keys(self.read(name), batch, self.key(name))
+        return self.append(name, batch)
 
     def catalog(self) -> DataFrame:
         """Table name, row count and key column of every table."""

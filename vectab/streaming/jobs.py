@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.vector import get_vector
-from ..operators.blocks import keyed_vectors, topk_join
-from ..operators.embed import HASH_MODEL, embed
+from ..operators.blocks import keyed_vectors, row_bound, topk_join
+from ..operators.embed import HASH_MODEL, embed, filter_unembedded
 from ..sources.store import Store, new_rows, upsert
 
 
@@ -18,20 +17,23 @@ def stream_embed(
     stream: DataFrame, store: Store, name: str, key: str, fields: Sequence[str], order_by: str,
     checkpoint: str, model: str = HASH_MODEL, available_now: bool = True,
 ) -> StreamingQuery:
-    """Import a stream of rows: skip known keys, embed the new, add them to the table.
+    """Import a stream of rows: skip known keys, embed the new, append them to the table.
 
     A batch that is replayed after a failure finds its keys in the table and adds
-    nothing, so the sink is idempotent. Keys already embedded are not embedded
-    again; rows that lack a vector are picked up.
+    nothing, so the sink is idempotent. Rows left without a vector by an earlier
+    batch are embedded again, which is the one case that rewrites the table.
     """
 
     def take(batch: DataFrame, _: int) -> None:
         if store.exists(name):
             known = store.read(name)
-            pending = known.filter(get_vector("embeddings", model).isNull())
-            fresh = new_rows(known, batch, key, [order_by])
-            ready = embed(pending.unionByName(fresh, allowMissingColumns=True), fields, model)
-            store.write(name, upsert(known, ready, key, [order_by]), key)
+            pending = filter_unembedded(known, model)
+            fresh = embed(new_rows(known, batch, key, [order_by]), fields, model)
+            if pending.isEmpty():
+                store.append(name, fresh)  # the usual case: the table is not rewritten
+            else:
+                ready = embed(pending, fields, model).unionByName(fresh, allowMissingColumns=True)
+                store.write(name, upsert(known, ready, key, [order_by]), key)
         else:
             first = new_rows(batch.limit(0), batch, key, [order_by])
             store.write(name, embed(first, fields, model), key)
@@ -49,15 +51,14 @@ def stream_search(
     Each batch writes to its own folder below ``path``, so a replayed batch
     replaces its own output.
     """
-    stored = keyed_vectors(table, key, vector, "r")
+    stored, n_stored = keyed_vectors(table, key, vector, "r"), row_bound(table)
 
     def answer(batch: DataFrame, number: int) -> None:
-        asked = keyed_vectors(batch, query_key, query_vector, "l").persist()
-        hits = topk_join(asked, stored, k)
+        asked = keyed_vectors(batch, query_key, query_vector, "l")
+        hits = topk_join(asked, stored, k, sizes=(row_bound(batch), n_stored))
         hits.select(
             F.col("l_key").alias("query"), F.col("r_key").alias("hit"), "score", "rank"
         ).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        asked.unpersist()
 
     writer = queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
