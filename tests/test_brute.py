@@ -241,3 +241,26 @@ def test_cluster_map_columns(spark):
     assert got.count() == 30
     labelled = got.filter("dbscanCluster IS NOT NULL")
     assert labelled.count() > 0 and labelled.filter("center").count() > 0
+
+
+def test_density_over_given_edges(spark):
+    pts = crowded(6)
+    close = [(i, j) for i, p in enumerate(pts) for j, q in enumerate(pts) if math.hypot(q[0] - p[0], q[1] - p[1]) < 0.05]
+    edges = spark.createDataFrame(close, "i long, j long")
+    items = spark.range(len(pts)).select(F.col("id").alias("pos"))
+    label, _ = density.density_ball_edges(items, edges, 4)
+    assert {r.pos: r.cluster for r in label.collect() if r.cluster is not None} == naive_ball(pts, 0.05, 4)[0]
+
+
+def test_metrics(spark):
+    v = planted(40, seed=8)
+    df = frame(spark, v)
+    far = np.linalg.norm(v[:, None] - v[None], axis=2)
+    got = search.best_match(df, df, "id", "v", metric="euclidean").collect()
+    assert {r.id: r.hit_key for r in got} == {i: i for i in range(40)}
+    assert far.shape == (40, 40)
+    with pytest.raises(ValueError):
+        search.best_match(df, df, "id", "v", metric="manhattan")
+    one = df.withColumn("c", F.lit(1))
+    sums = v @ v.sum(axis=0) - (v * v).sum(axis=1)
+    assert [r.id for r in stats.medoid(one, "id", "v", "c", "dot").filter("central").collect()] == [int(sums.argmax())]

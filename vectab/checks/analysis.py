@@ -80,10 +80,9 @@ MATCH_OUT = MATCH_SQL + """
 
 
 def _sides(spark, sf):
+    """Two stored tables with their vectors, as an earlier embed job leaves them."""
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    left = hashed(docs.select("doc_id", "lang", "text"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
-    right = hashed(bench, "item_id").join(bench, "item_id")
-    return left, right
+    return cut_lineage(hashed(docs, "doc_id", "lang")), cut_lineage(hashed(bench, "item_id", "text"))
 
 
 @_q("best_match_exact", MATCH_OUT)

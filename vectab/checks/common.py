@@ -40,9 +40,9 @@ def plane(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def hashed(df: DataFrame, key: str) -> DataFrame:
-    """Texts embedded by the default model: key and vector."""
-    return embed(df, ["text"], HASH_MODEL).select(key, get_vector("embeddings", HASH_MODEL).alias("v"))
+def hashed(df: DataFrame, *kept: str) -> DataFrame:
+    """Texts embedded by the default model: the kept columns and the vector."""
+    return embed(df, ["text"], HASH_MODEL).select(*kept, get_vector("embeddings", HASH_MODEL).alias("v"))
 
 
 @lru_cache(maxsize=4)

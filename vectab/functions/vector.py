@@ -42,9 +42,15 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
 
 
 def unit(a: Column | str) -> Column:
-    """The vector scaled to length one; NULL for the zero vector."""
+    """The vector scaled to length one; NULL for the zero vector.
+
+    The length enters as an array, so it is computed once per row; inside the
+    lambda it would be computed once per element.
+    """
+    a = as_col(a)
     length = norm(a)
-    return F.when(length > 0, F.transform(as_col(a), lambda x: x.cast("double") / length))
+    lengths = F.array_repeat(F.when(length > 0, length), F.size(a))
+    return F.when(length > 0, F.zip_with(a, lengths, lambda x, n: x.cast("double") / n))
 
 
 def euclidean_distance(a: Column | str, b: Column | str) -> Column:

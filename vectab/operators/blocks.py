@@ -26,6 +26,7 @@ TILE = 1 << 22  # scores held at once inside a task
 # Scores are rounded before ranking, so the order in which a sum of floats ran
 # never decides a rank.
 SCORE_DIGITS = 12
+METRICS = ("cosine", "dot", "euclidean")
 
 
 def keyed_vectors(df: DataFrame, key: str, vector: str, side: str) -> DataFrame:
@@ -67,6 +68,9 @@ def score_tiles(left: pa.Table, right: pa.Table, metric: str, exclude_same: bool
         scores = a[start:start + step] @ b.T
         if metric == "cosine":
             scores /= norm_a[start:start + step, None] * norm_b[None, :]
+        elif metric == "euclidean":  # similarity 1 / (1 + distance)
+            squares = norm_a[start:start + step, None] ** 2 + norm_b[None, :] ** 2 - 2 * scores
+            scores = 1 / (1 + np.sqrt(np.maximum(squares, 0)))
         np.round(scores, SCORE_DIGITS, out=scores)
         if same is not None:
             rows = np.flatnonzero(same[start:start + step] >= 0)
@@ -111,6 +115,8 @@ def kernel(
     """The function one task runs on one block pair, and its output schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}, known are {METRICS}")
     out = T.StructType([
         T.StructField("l_key", l_type), T.StructField("r_key", r_type), T.StructField("score", T.DoubleType()),
     ])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance_2d
-from ..plans.graph import connected_components, greedy_rounds
+from ..plans.graph import connected_components, greedy_independent_set, greedy_rounds
 from ..plans.scaling import cut_lineage, global_row_number, salted_join
 from .spatial import around, cell_of
 
@@ -121,6 +121,28 @@ def density_ball(
     return labels, members
 
 
+def density_ball_edges(
+    items: DataFrame, edges: DataFrame, min_pts: int = 3
+) -> tuple[DataFrame, DataFrame]:
+    """One-hop density clusters under any distance: (labels, members).
+
+    ``items`` has ``pos``; ``edges`` has ``i``, ``j``: every pair the distance
+    calls close, both ways and each item with itself.
+    """
+    close = cut_lineage(edges.select("i", "j"))
+    core = close.groupBy(F.col("i").alias("pos")).agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") >= min_pts).select("pos")
+    links = close.filter("i <> j").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    founders = global_row_number(greedy_independent_set(core, links), ["pos"], "cluster")
+    members = salted_join(close, founders.select(F.col("pos").alias("i"), "cluster"), ["i"], spread="j").select(
+        F.col("cluster").cast("int").alias("cluster"),
+        F.when(F.col("i") == F.col("j"), F.lit(-1)).otherwise(F.col("j")).alias("list_pos"),
+        F.col("j").alias("pos"),
+    )
+    last = members.groupBy("pos").agg(F.max("cluster").alias("cluster"))
+    return items.join(last, "pos", "left").select("pos", "cluster"), members
+
+
 def _touching(cells_a: DataFrame, cells_b: DataFrame) -> DataFrame:
     """Pairs of different core cells at most two steps apart, each pair once."""
     a = (

@@ -46,25 +46,27 @@ def hash_model(dims: int = 64, normalize: bool = False) -> Callable[[], EmbedFn]
 
     def factory() -> EmbedFn:
         token = re.compile(f"[^{BLANKS}]+")
-        places: dict[str, tuple[int, int]] = {}
 
-        def place(word: str) -> tuple[int, int]:
-            found = places.get(word)
-            if found is None:
+        class Places(dict):
+            """Word to slot: twice the bucket, plus one for a negative sign."""
+
+            def __missing__(self, word: str) -> int:
                 digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
-                found = int(digest[:8], 16) % dims, 1 if int(digest[8], 16) < 8 else -1
-                if len(places) >= _CACHE_LIMIT:
-                    places.clear()
-                places[word] = found
-            return found
+                slot = 2 * (int(digest[:8], 16) % dims) + (int(digest[8], 16) >= 8)
+                self[word] = slot
+                return slot
+
+        places = Places()
 
         def embed_texts(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dims))
+            if len(places) > _CACHE_LIMIT:
+                places.clear()
             for row, text in enumerate(texts):
-                hits = [place(w) for w in token.findall(text)]
-                if hits:
-                    bucket, sign = np.array(hits).T
-                    out[row] = np.bincount(bucket, weights=sign, minlength=dims)
+                words = token.findall(text)
+                slots = np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words))
+                counts = np.bincount(slots, minlength=2 * dims)
+                out[row] = counts[0::2] - counts[1::2]
             if normalize:
                 size = np.linalg.norm(out, axis=1, keepdims=True)
                 out = np.divide(out, size, out=out, where=size > 0)
@@ -82,7 +84,9 @@ def embed_column(text: Column, factory: Callable[[], EmbedFn], batch: int = BATC
     """Vectors for a text column, Arrow batches in, Arrow batches out.
 
     NULL texts are not sent to the model. A batch that fails gives NULL
-    vectors, which a later run with ``keep_existing`` picks up again.
+    vectors, which a later run with ``keep_existing`` picks up again. The call
+    is marked nondeterministic so that the optimizer never copies it into a
+    pushed filter and runs the model twice.
     """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -103,7 +107,7 @@ def embed_column(text: Column, factory: Callable[[], EmbedFn], batch: int = BATC
                     vectors.at[i] = np.asarray(v, dtype=np.float32)
             yield vectors
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def filter_unembedded(df: DataFrame, model: str, embeddings: str = "embeddings") -> DataFrame:

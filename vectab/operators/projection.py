@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, lit_vector, unit
-from .stats import unit_sums
+from .stats import vector_sums
 
 
 def _axes(rows: DataFrame) -> list[list[float]]:
@@ -31,7 +31,7 @@ def project_2d(table: DataFrame, key: str, vector: str, labels: str | None = Non
     axes = None
     if labels:
         named = table.filter(F.col(labels).isNotNull() & (F.col(labels) != -1))
-        means = unit_sums(named, vector, labels).select(
+        means = vector_sums(named, vector, labels).select(
             F.transform("total", lambda t: t / F.col("n")).alias("u")
         )
         if len(means.head(3)) == 3:

@@ -65,13 +65,13 @@ def topk_per_group(df: DataFrame, group: str, score: str | Column, key: str, k:
 
 def best_match(
     left: DataFrame, right: DataFrame, key: str, vector: str, right_key: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, metric: str = "cosine",
 ) -> DataFrame:
     """For each left row its most similar right row: (key, hit key, score)."""
     right_key = right_key or key
     hits = topk_join(
         keyed_vectors(left, key, vector, "l"), keyed_vectors(right, right_key, vector, "r"), 1,
-        block_rows=block_rows, sizes=(row_bound(left), row_bound(right)),
+        metric=metric, block_rows=block_rows, sizes=(row_bound(left), row_bound(right)),
     )
     return hits.select(
         F.col("l_key").alias(key), F.col("r_key").alias("hit_key"), F.col("score").alias("_raw")

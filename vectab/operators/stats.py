@@ -82,10 +82,11 @@ def singletons_to_noise(table: DataFrame, key: str, cluster: str) -> DataFrame:
     )
 
 
-def unit_sums(table: DataFrame, vector: str, by: str) -> DataFrame:
-    """Per group the number of rows and the sum of their unit vectors."""
+def vector_sums(table: DataFrame, vector: str, by: str, scaled: bool = True) -> DataFrame:
+    """Per group the number of rows and the sum of their vectors, scaled to length one or not."""
+    v = unit(vector) if scaled else F.col(vector).cast("array<double>")
     return (
-        table.select(by, unit(vector).alias("_u")).filter(F.col("_u").isNotNull())
+        table.select(by, v.alias("_u")).filter(F.col("_u").isNotNull())
         .groupBy(by)
         .agg(Summarizer.metrics("sum", "count").summary(_ml(F.col("_u"))).alias("s"))
         .select(by, F.col("s.count").alias("n"), vector_to_array("s.sum").alias("total"))
@@ -98,7 +99,7 @@ def cluster_spread(table: DataFrame, vector: str, cluster: str) -> DataFrame:
     The pair cosines of n unit vectors add up to (|sum|^2 - n) / 2, so no pair
     is ever formed.
     """
-    sums = unit_sums(table, vector, cluster)
+    sums = vector_sums(table, vector, cluster)
     pairs = F.col("n") * (F.col("n") - 1)
     spread = 1 - (dot("total", "total") - F.col("n")) / F.when(F.col("n") > 1, pairs)
     return sums.select(cluster, "n", F.coalesce(spread, F.lit(0.0)).alias("spread"))
@@ -112,7 +113,7 @@ def linkage_average(table: DataFrame, vector: str, cluster: str) -> DataFrame:
     """
     from .blocks import threshold_join
 
-    sums = unit_sums(table, vector, cluster).select(
+    sums = vector_sums(table, vector, cluster).select(
         cluster, F.transform("total", lambda t: t / F.col("n")).alias("m")
     )
     left = sums.select(F.col(cluster).alias("l_key"), F.col("m").alias("l_vec"))
@@ -123,16 +124,22 @@ def linkage_average(table: DataFrame, vector: str, cluster: str) -> DataFrame:
     )
 
 
-def medoid(table: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
+def medoid(table: DataFrame, key: str, vector: str, cluster: str, metric: str = "cosine") -> DataFrame:
     """Flag, per cluster, the row with the largest similarity to the others in sum.
 
-    A row's similarities add up to its unit vector times the cluster's sum,
-    less 1 for itself. Ties go to the smaller key.
+    A row's similarities add up to its vector (scaled to length one for
+    ``cosine``, as it is for ``dot``) times the cluster's sum, less its share
+    with itself. Ties go to the smaller key.
     """
-    sums = unit_sums(table, vector, cluster).select(cluster, "total")
-    rows = table.select(key, cluster, unit(vector).alias("_u")).filter(F.col("_u").isNotNull())
+    if metric not in ("cosine", "dot"):
+        raise ValueError(f"unknown metric {metric!r}, known are cosine and dot")
+    scaled = metric == "cosine"
+    sums = vector_sums(table, vector, cluster, scaled).select(cluster, "total")
+    rows = table.select(
+        key, cluster, (unit(vector) if scaled else F.col(vector)).alias("_u")
+    ).filter(F.col("_u").isNotNull())
     scored = salted_join(rows, sums, [cluster], spread=key).select(
-        cluster, key, F.round(dot("_u", "total") - 1, 9).alias("similarity")
+        cluster, key, F.round(dot("_u", "total") - dot("_u", "_u"), 9).alias("similarity")
     )
     best = scored.groupBy(cluster).agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), F.col(key).alias("k"))).alias("b")
