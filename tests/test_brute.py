@@ -264,3 +264,24 @@ def test_metrics(spark):
     one = df.withColumn("c", F.lit(1))
     sums = v @ v.sum(axis=0) - (v * v).sum(axis=1)
     assert [r.id for r in stats.medoid(one, "id", "v", "c", "dot").filter("central").collect()] == [int(sums.argmax())]
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    from vectab.operators import spatial
+    from vectab.plans import scaling
+
+    monkeypatch.setattr(scaling, "SKEW_BYTES", 0)  # treat every table as large
+    monkeypatch.setattr(spatial, "PART_ROWS", 9)
+    big = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
+    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    assert scaling.hot_keys(big, ["k"])
+    for how in ("inner", "left"):
+        got = scaling.salted_join(big, small, ["k"], "id", how).select("id", "k", "v")
+        want = big.join(small, "k", how).select("id", "k", "v")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    pts = crowded(12)
+    pairs = spatial.eps_join(points_frame(spark, pts, 4), 0.05, "id").collect()
+    near = {(i, j) for i, p in enumerate(pts) for j, q in enumerate(pts) if math.hypot(q[0] - p[0], q[1] - p[1]) < 0.05}
+    assert len(pairs) == len(near) and {(r.i, r.j) for r in pairs} == near
+    label, _ = density.density_ball(points_frame(spark, pts, 4), "id", "id", 0.05, 4)
+    assert {r.id: r.cluster for r in label.collect() if r.cluster is not None} == naive_ball(pts, 0.05, 4)[0]

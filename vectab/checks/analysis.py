@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ann, density, hac, labels, projection, search, spatial, stats, table as ops
 from ..plans.cluster_map import cluster_map
 from ..plans.graph import greedy_independent_set
-from ..plans.scaling import cut_lineage, global_row_number, scratch_path
+from ..plans.scaling import cut_lineage, scratch_path
 from .common import (
     MATCH_SQL, PLANE_SQL, Q_SQL, hashed, plane, query_vector, r6, table, tree, vectors,
 )
@@ -49,8 +49,9 @@ def _(spark, sf):
 def _(spark, sf):
     from ..functions.vector import cosine, lit_vector, round_sig2
 
-    scored = vectors(spark, sf).select(
-        "vec_id", "label", round_sig2(cosine("embedding", lit_vector(query_vector(spark, sf)))).alias("score"))
+    q = lit_vector(query_vector(spark, sf))
+    scored = vectors(spark, sf).select("vec_id", "label", cosine("embedding", q).alias("s")).select(
+        "vec_id", "label", round_sig2("s").alias("score"))
     return search.topk_per_group(scored, "label", "score", "vec_id", 5)
 
 

@@ -33,14 +33,20 @@ def norm(a: Column | str) -> Column:
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity; NULL when a vector has length zero."""
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size)
+    # try_divide names the divisor once: a condition on it would compute it twice
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
     return 1 - cosine(a, b)
 
 
+def nonzero(a: Column | str) -> Column:
+    """True for a vector with an element other than 0; stops at the first one."""
+    a = as_col(a)
+    return a.isNotNull() & F.coalesce(F.exists(a, lambda x: x != 0), F.lit(False))
+
+
 def unit(a: Column | str) -> Column:
     """The vector scaled to length one; NULL for the zero vector.
 
@@ -48,9 +54,8 @@ def unit(a: Column | str) -> Column:
     lambda it would be computed once per element.
     """
     a = as_col(a)
-    length = norm(a)
-    lengths = F.array_repeat(F.when(length > 0, length), F.size(a))
-    return F.when(length > 0, F.zip_with(a, lengths, lambda x, n: x.cast("double") / n))
+    lengths = F.array_repeat(norm(a), F.size(a))
+    return F.when(nonzero(a), F.zip_with(a, lengths, lambda x, n: x.cast("double") / n))
 
 
 def euclidean_distance(a: Column | str, b: Column | str) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vector import cosine, dot, lit_vector, round_fixed3, unit
+from ..functions.vector import dot, lit_vector, nonzero, unit
 from ..plans.scaling import cut_lineage, salted_join
 from .blocks import SCORE_DIGITS, best_k, kernel, matrix, rank_best, run_blocks
 from .search import attach_matches
@@ -50,7 +50,7 @@ def ann_build(table: DataFrame, key: str, vector: str, n_cells: int | None = Non
     then assigned and measured.
     """
     rows = cut_lineage(
-        table.select(F.col(key).alias("key"), unit(vector).alias("u")).filter(F.col("u").isNotNull())
+        table.filter(nonzero(vector)).select(F.col(key).alias("key"), unit(vector).alias("u"))
     )
     n = rows.count()
     if n == 0:
@@ -183,7 +183,7 @@ def match_ann(left: DataFrame, index: CellIndex, key: str, vector: str) -> DataF
         reach[r["cell"]] = r["reach"]
     shared = spark.sparkContext.broadcast((index.centres, reach))
     rows = cut_lineage(
-        left.select(F.col(key).alias("l_key"), unit(vector).alias("l_vec")).filter(F.col("l_vec").isNotNull())
+        left.filter(nonzero(vector)).select(F.col(key).alias("l_key"), unit(vector).alias("l_vec"))
     )
     key_type, hit_type = rows.schema["l_key"].dataType, index.entries.schema["key"].dataType
     from pyspark.sql.pandas.types import to_arrow_schema

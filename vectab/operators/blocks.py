@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vector import norm
+from ..functions.vector import nonzero
 from ..plans.scaling import block_count
 
 BLOCK_ROWS = 16384
@@ -31,9 +31,7 @@ METRICS = ("cosine", "dot", "euclidean")
 
 def keyed_vectors(df: DataFrame, key: str, vector: str, side: str) -> DataFrame:
     """(key, vector) under the names the kernels read; missing and zero vectors left out."""
-    return df.select(F.col(key).alias(f"{side}_key"), F.col(vector).alias(f"{side}_vec")).filter(
-        F.col(f"{side}_vec").isNotNull() & (norm(f"{side}_vec") > 0)
-    )
+    return df.filter(nonzero(vector)).select(F.col(key).alias(f"{side}_key"), F.col(vector).alias(f"{side}_vec"))
 
 
 def row_bound(table: DataFrame) -> int:

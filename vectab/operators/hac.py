@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot, unit
+from ..functions.vector import dot, nonzero, unit
 from ..plans.graph import climb_to_roots
 from ..plans.scaling import cut_lineage, global_row_number, salted_join
 from .blocks import topk_join
@@ -28,7 +28,7 @@ MERGE_SCHEMA = (
 
 def number_rows(table: DataFrame, key: str, vector: str) -> DataFrame:
     """(idx, key, u): rows in key order with their unit vectors; zero vectors left out."""
-    usable = table.select(F.col(key).alias("key"), unit(vector).alias("u")).filter(F.col("u").isNotNull())
+    usable = table.filter(nonzero(vector)).select(F.col(key).alias("key"), unit(vector).alias("u"))
     return cut_lineage(global_row_number(usable, ["key"], "idx"))
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import greedy_rounds
+from ..plans.scaling import salted_join
 from .spatial import cell_of
 
 CHAR_WIDTH = 7.0
@@ -61,7 +60,7 @@ def declutter(boxes: DataFrame, pos: str) -> DataFrame:
         # report a meeting once: in the cell of the common area's lower left corner
         once = (c("gx") == cell_of(F.greatest("p_min_x", "min_x"), wide)) & (
             c("gy") == cell_of(F.greatest("p_min_y", "min_y"), high))
-        return a.join(b, ["gx", "gy"]).filter(meet & once).select("probe", "pos")
+        return salted_join(b, a, ["gx", "gy"], spread="pos").filter(meet & once).select("probe", "pos")
 
     shown = greedy_rounds(items, conflicts, ["cx", "cy"] if has_area else None)
     return boxes.join(shown.select(F.col("pos").alias(pos)), pos, "left_semi")

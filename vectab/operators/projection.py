@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot, lit_vector, unit
+from ..functions.vector import dot, lit_vector, nonzero, unit
 from .stats import vector_sums
 
 
@@ -27,7 +27,7 @@ def project_2d(table: DataFrame, key: str, vector: str, labels: str | None = Non
     fewer than three groups the plain axes are used. The rows themselves are
     projected by an expression, in one narrow pass.
     """
-    rows = table.select(F.col(key), unit(vector).alias("u")).filter(F.col("u").isNotNull())
+    rows = table.filter(nonzero(vector)).select(key, unit(vector).alias("u"))
     axes = None
     if labels:
         named = table.filter(F.col(labels).isNotNull() & (F.col(labels) != -1))

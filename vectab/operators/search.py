@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quant import hamming, sbq_code, sbq_words
-from ..functions.vector import cosine, get_vector, has_dim, lit_vector, round_fixed3, round_sig2
+from ..functions.vector import (
+    cosine, get_vector, has_dim, lit_vector, nonzero, round_fixed3, round_sig2,
+)
 from .blocks import BLOCK_ROWS, keyed_vectors, row_bound, threshold_join, topk_join
 from .table import lookup_join
 
@@ -26,12 +28,10 @@ def search_exact(
     Rows without a vector, of another dimension or of length zero are skipped.
     The plan is one scan with a bounded top-k per task, no full sort.
     """
-    raw = cosine(vector, lit_vector(query))
-    scored = (
-        table.filter(F.col(vector).isNotNull() & has_dim(vector, len(query)))
-        .withColumn("_raw", raw).filter(F.col("_raw").isNotNull())
-        .withColumn("score", round_sig2("_raw"))
-    )
+    fit = table.filter(has_dim(vector, len(query)) & nonzero(vector))
+    if not any(query):
+        fit = fit.limit(0)  # no direction, nothing is similar
+    scored = fit.withColumn("_raw", cosine(vector, lit_vector(query))).withColumn("score", round_sig2("_raw"))
     order = F.col("_raw" if rank_on == "raw" else "score").desc()
     return scored.drop(vector).orderBy(order, F.col(key)).limit(k).drop("_raw")
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import axis_distance, distance_2d, hilbert, hilbert_cell, linear_scale
-from ..plans.scaling import global_row_number
+from ..plans.scaling import cut_lineage, global_row_number, salted_join
 
 NODE_SIZE = 16
+PART_ROWS = 4096  # rows of one cell that one join key may hold
 
 
 def extent(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -146,31 +147,47 @@ def around(cells: int) -> Column:
     return F.sequence(F.lit(-cells), F.lit(cells))
 
 
-def eps_join(
-    points: DataFrame, eps: float, key: str, x: str = "x", y: str = "y", salts: int = 8
-) -> DataFrame:
+def split_cells(frame: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Number the ``part`` of each row within its cell; also the cells that have several parts.
+
+    A cell with more than ``PART_ROWS`` rows is cut, so no join key holds more.
+    """
+    crowded = cut_lineage(
+        frame.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+        .filter("parts > 1")
+    )
+    tagged = salted_join(frame, crowded, ["cx", "cy"], spread=key, how="left").withColumn(
+        "part", F.pmod(F.xxhash64(key), F.coalesce("parts", F.lit(1))).cast("int")
+    )
+    return tagged.drop("parts"), crowded
+
+
+def to_all_parts(probes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Send each probe to every part of its cell."""
+    return (
+        probes.join(crowded, ["cx", "cy"], "left")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        .drop("parts")
+    )
+
+
+def eps_join(points: DataFrame, eps: float, key: str, x: str = "x", y: str = "y") -> DataFrame:
     """Ordered pairs (i, j) closer than ``eps``, each point with itself included.
 
-    Grid cells of side eps turn the range condition into an equi join on cells;
-    salts split the probed points of a crowded cell over several tasks. The
-    output is as large as the neighbourhoods are; the density operators do not
-    need it.
+    Grid cells of side eps turn the range condition into an equi join on cells,
+    crowded cells are cut into parts. The output is as large as the
+    neighbourhoods are; the density operators do not need it.
     """
-    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-    base = points.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    base = points.select(F.col(key).alias("j"), F.col(x).alias("x"), F.col(y).alias("y"))
     base = base.withColumn("cx", cell_of("x", eps)).withColumn("cy", cell_of("y", eps))
-    probe = (
-        base.withColumn("dx", F.explode(around(1))).withColumn("dy", F.explode(around(1)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .select(
-            F.col("k").alias("i"), F.col("x").alias("ix"), F.col("y").alias("iy"),
-            (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "_salt",
-        )
+    target, crowded = split_cells(base, "j")
+    probe = base.withColumn("dx", F.explode(around(1))).withColumn("dy", F.explode(around(1))).select(
+        F.col("j").alias("i"), F.col("x").alias("ix"), F.col("y").alias("iy"),
+        (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"),
     )
-    target = base.withColumnRenamed("k", "j").withColumn("_salt", F.pmod(F.xxhash64("j"), F.lit(salts)).cast("int"))
-    dist = distance_2d("ix", "iy", "x", "y")
-    joined = probe.join(target, ["cx", "cy", "_salt"]).withColumn("dist", dist)
-    return joined.filter(F.col("dist") < float(eps)).select("i", "j", "dist")
+    joined = to_all_parts(probe, crowded).join(target, ["cx", "cy", "part"])
+    return joined.withColumn("dist", distance_2d("ix", "iy", "x", "y")).filter(
+        F.col("dist") < float(eps)).select("i", "j", "dist")
 
 
 def overlap_join(boxes: DataFrame, key: str, side: float, strict: bool = False) -> DataFrame:
@@ -186,8 +203,10 @@ def overlap_join(boxes: DataFrame, key: str, side: float, strict: bool = False)
         base.withColumn("cx", F.explode(F.sequence(cell_of("min_x", side), cell_of("max_x", side))))
         .withColumn("cy", F.explode(F.sequence(cell_of("min_y", side), cell_of("max_y", side))))
     )
-    a = covered.select(F.col("k").alias("i"), "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = covered.select(F.col("k").alias("j"), "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in cols])
+    target, crowded = split_cells(covered, "k")
+    a = to_all_parts(covered, crowded).select(
+        F.col("k").alias("i"), "cx", "cy", "part", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = target.select(F.col("k").alias("j"), "cx", "cy", "part", *[F.col(c).alias(f"b_{c}") for c in cols])
     c = F.col
     if strict:
         hit = (c("a_min_x") < c("b_max_x")) & (c("b_min_x") < c("a_max_x"))
@@ -198,4 +217,4 @@ def overlap_join(boxes: DataFrame, key: str, side: float, strict: bool = False)
     here = (cell_of(F.greatest("a_min_x", "b_min_x"), side) == c("cx")) & (
         cell_of(F.greatest("a_min_y", "b_min_y"), side) == c("cy")
     )
-    return a.join(b, ["cx", "cy"]).filter((c("i") < c("j")) & hit & here).select("i", "j")
+    return a.join(b, ["cx", "cy", "part"]).filter((c("i") < c("j")) & hit & here).select("i", "j")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import distance_2d
 from ..functions.quant import sbq_bytes, sbq_code, sbq_words
-from ..functions.vector import dot, unit
+from ..functions.vector import dot, nonzero, unit
 from ..plans.scaling import null_safe_join, running, salted_join
 
 # Fixed value: where the running minimum of a cluster's distances starts.
@@ -82,11 +82,16 @@ def singletons_to_noise(table: DataFrame, key: str, cluster: str) -> DataFrame:
     )
 
 
+def usable(vector: str, scaled: bool) -> F.Column:
+    """A vector that can be scaled, or just one that is there."""
+    return nonzero(vector) if scaled else F.col(vector).isNotNull()
+
+
 def vector_sums(table: DataFrame, vector: str, by: str, scaled: bool = True) -> DataFrame:
     """Per group the number of rows and the sum of their vectors, scaled to length one or not."""
     v = unit(vector) if scaled else F.col(vector).cast("array<double>")
     return (
-        table.select(by, v.alias("_u")).filter(F.col("_u").isNotNull())
+        table.filter(usable(vector, scaled)).select(by, v.alias("_u"))
         .groupBy(by)
         .agg(Summarizer.metrics("sum", "count").summary(_ml(F.col("_u"))).alias("s"))
         .select(by, F.col("s.count").alias("n"), vector_to_array("s.sum").alias("total"))
@@ -135,9 +140,9 @@ def medoid(table: DataFrame, key: str, vector: str, cluster: str, metric: str =
         raise ValueError(f"unknown metric {metric!r}, known are cosine and dot")
     scaled = metric == "cosine"
     sums = vector_sums(table, vector, cluster, scaled).select(cluster, "total")
-    rows = table.select(
+    rows = table.filter(usable(vector, scaled)).select(
         key, cluster, (unit(vector) if scaled else F.col(vector)).alias("_u")
-    ).filter(F.col("_u").isNotNull())
+    )
     scored = salted_join(rows, sums, [cluster], spread=key).select(
         cluster, key, F.round(dot("_u", "total") - dot("_u", "_u"), 9).alias("similarity")
     )

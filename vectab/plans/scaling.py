@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIECE = "_piece"
+SKEW_BYTES = 256 << 20  # below this a whole table fits one task
+HOT_SHARE = 0.001
+SALTS = 64
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -145,19 +148,39 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate: exact for written tables, high rather than low after joins."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def hot_keys(df: DataFrame, on: Sequence[str]) -> list[int]:
+    """Hashes of the keys that may fill more than ``HOT_SHARE`` of the rows.
+
+    One pass with bounded counters and no shuffle; the list has at most
+    1 / HOT_SHARE entries. A key listed without need only costs copies.
+    """
+    found = df.select(F.xxhash64(*on).alias("h")).freqItems(["h"], HOT_SHARE).first()
+    return list(found[0]) if found and found[0] else []
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
     spread: str,
     how: str = "inner",
-    salts: int = 16,
 ) -> DataFrame:
     """Equi join whose ``big`` side may hold one key in a third of its rows.
 
-    ``small`` has one row per key and is repeated ``salts`` times; the rows of a
-    hot key in ``big`` go to ``salts`` tasks, picked by a hash of ``spread``.
+    Rows of a hot key in ``big`` go to ``SALTS`` tasks, picked by a hash of
+    ``spread``; only for hot keys is ``small`` copied to all of them. A side
+    that fits one task is joined plainly: a hot key in it does no harm.
     """
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    hot = hot_keys(big, on) if estimated_bytes(big) > SKEW_BYTES else []
+    if not hot:
+        return big.join(small, list(on), how)
+    is_hot = F.xxhash64(*on).isin(hot)
+    spots = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = small.withColumn("_salt", F.explode(spots))
+    salt = F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")

@@ -35,7 +35,8 @@ def upsert(
     if skip_keys is not None:
         batch = batch.join(skip_keys.select(key), key, "left_anti")
     newest = last_per_key(batch, key, order_by).select(*target.columns)
-    return target.join(newest.select(key), key, "left_anti").unionByName(newest)
+    changed = batch.select(key).distinct()  # keys alone: the ranking need not run twice
+    return target.join(changed, key, "left_anti").unionByName(newest)
 
 
 def new_rows(
