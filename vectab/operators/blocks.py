@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,15 +145,13 @@ def spread_pairs(
     n_left = block_count(rows_left, block_rows, cores)
     n_right = block_count(rows_right, block_rows, 1)
 
-    def other(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def own(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    def copies(frame: DataFrame, side: str, own: int, across: str, others: int) -> DataFrame:
+        return frame.selectExpr(
+            "*", f"cast(pmod(xxhash64({side}_key), {own}) AS int) AS {side}_block",
+            f"explode(sequence(0, {others - 1})) AS {across}_block",
+        )
 
-    lefts = left.withColumn("l_block", own("l_key", n_left)).withColumn("r_block", other(n_right))
-    rights = right.withColumn("r_block", own("r_key", n_right)).withColumn("l_block", other(n_left))
-    return lefts, rights
+    return copies(left, "l", n_left, "r", n_right), copies(right, "r", n_right, "l", n_left)
 
 
 def run_blocks(lefts: DataFrame, rights: DataFrame, pair: list[str], run: Callable, out: T.StructType) -> DataFrame:
@@ -163,10 +161,8 @@ def run_blocks(lefts: DataFrame, rights: DataFrame, pair: list[str], run: Callab
 def rank_best(hits: DataFrame, k: int) -> DataFrame:
     """The k best hits per left row over all blocks; ties go to the smaller key."""
     if k == 1:
-        best = F.min(F.struct((-F.col("score")).alias("s"), F.col("r_key").alias("r"))).alias("b")
-        return hits.groupBy("l_key").agg(best).select(
-            "l_key", F.col("b.r").alias("r_key"), (-F.col("b.s")).alias("score"), F.lit(1).alias("rank")
-        )
+        best = hits.groupBy("l_key").agg(F.expr("min(struct(-score AS s, r_key AS r)) AS b"))
+        return best.selectExpr("l_key", "b.r AS r_key", "-b.s AS score", "1 AS rank")
     window = Window.partitionBy("l_key").orderBy(F.col("score").desc(), "r_key")
     return hits.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 

@@ -20,6 +20,7 @@ from .blocks import topk_join
 from .stats import pick_k_peak, spread_by_k
 from .table import scan_many
 
+CLUSTER = "struct(id, rep, size, h, spread, s, nn, dist)"
 MERGE_SCHEMA = (
     "rank long, node long, left long, right long, height double, size long, "
     "spread double, left_spread double, right_spread double"
@@ -39,27 +40,25 @@ def _merge_mutual(state: DataFrame, stride: int) -> DataFrame:
     the same pair are each other's nearest and merge (``l``, ``r`` are set); a
     single row stays as it is. No group has more than two rows.
     """
-    c = F.col
-    end = F.struct("id", "rep", "size", "h", "spread", "s", "nn", "dist")
-    total = F.when(c("n") == 2, F.zip_with("a.s", "b.s", lambda x, y: x + y)).otherwise(c("a.s"))
-    size = F.when(c("n") == 2, c("a.size") + c("b.size")).otherwise(c("a.size"))
-    both = c("n") == 2
-    return (
-        state.groupBy(F.least("id", "nn").alias("l"), F.greatest("id", "nn").alias("r"))
-        .agg(F.min(end).alias("a"), F.max(end).alias("b"), F.count(F.lit(1)).alias("n"))
-        .select(
-            F.when(both, F.lit(stride) + F.least("a.rep", "b.rep")).otherwise(c("a.id")).alias("id"),
-            F.least("a.rep", "b.rep").alias("rep"),
-            size.alias("size"),
-            # a merge is never lower than its parts; this also holds against rounding
-            F.when(both, F.greatest("a.dist", "a.h", "b.h")).otherwise(c("a.h")).alias("h"),
-            F.when(both, spread_of(size, total)).otherwise(c("a.spread")).alias("spread"),
-            total.alias("s"),
-            F.when(~both, c("a.nn")).alias("nn"), F.when(~both, c("a.dist")).alias("dist"),
-            F.when(both, c("l")).alias("l"), F.when(both, c("r")).alias("r"),
-            F.when(both, c("a.spread")).alias("left_spread"), F.when(both, c("b.spread")).alias("right_spread"),
+    grouped = (
+        state.groupBy(F.expr("least(id, nn) AS l"), F.expr("greatest(id, nn) AS r"))
+        .agg(F.expr(f"min({CLUSTER}) AS a"), F.expr(f"max({CLUSTER}) AS b"), F.expr("count(1) = 2 AS both"))
+        .selectExpr(
+            "*", "least(a.rep, b.rep) AS rep",
+            "if(both, a.size + b.size, a.size) AS size",
+            "if(both, zip_with(a.s, b.s, (x, y) -> x + y), a.s) AS s",
         )
     )
+    spread = spread_of(F.col("size"), F.col("s")).alias("new_spread")
+    return grouped.select("*", spread).selectExpr(
+        f"if(both, {stride}L + rep, a.id) AS id", "rep", "size",
+        # a merge is never lower than its parts; this also holds against rounding
+        "if(both, greatest(a.dist, a.h, b.h), a.h) AS h",
+        "if(both, new_spread, a.spread) AS spread", "s",
+        "if(both, NULL, a.nn) AS nn", "if(both, NULL, a.dist) AS dist",
+        "if(both, l, NULL) AS l", "if(both, r, NULL) AS r",
+        "if(both, a.spread, NULL) AS left_spread", "if(both, b.spread, NULL) AS right_spread",
+    )
 
 
 def _forget_merged(pool: DataFrame) -> DataFrame:
@@ -67,13 +66,11 @@ def _forget_merged(pool: DataFrame) -> DataFrame:
 
     A neighbour may be shared by many clusters: a hot key, so the join is salted.
     """
-    gone = pool.filter("l IS NOT NULL").select(
-        F.explode(F.array("l", "r")).alias("nn"), F.lit(True).alias("_gone"))
+    gone = pool.filter("l IS NOT NULL").selectExpr("explode(array(l, r)) AS nn", "true AS _gone")
     known = salted_join(pool, gone, ["nn"], spread="id", how="left")
-    keep = F.col("_gone").isNull()
-    return known.select(
+    return known.selectExpr(
         "id", "rep", "size", "h", "spread", "s",
-        F.when(keep, F.col("nn")).alias("nn"), F.when(keep, F.col("dist")).alias("dist"),
+        "if(_gone IS NULL, nn, NULL) AS nn", "if(_gone IS NULL, dist, NULL) AS dist",
     )
 
 
@@ -113,15 +110,14 @@ def hac_rows(rows: DataFrame) -> DataFrame:
 
 def _with_neighbours(state: DataFrame, live: int) -> DataFrame:
     """Fill in the nearest other cluster where it is unknown; ``live`` is the row count."""
-    mean = F.transform("s", lambda x: x / F.col("size"))
-    left = state.filter("nn IS NULL").select(F.col("id").alias("l_key"), mean.alias("l_vec"))
-    right = state.select(F.col("id").alias("r_key"), mean.alias("r_vec"))
-    found = topk_join(left, right, 1, metric="dot", exclude_same=True, sizes=(live, live)).select(
-        F.col("l_key").alias("id"), F.col("r_key").alias("_nn"), (1 - F.col("score")).alias("_dist")
+    mean = "transform(s, x -> x / size)"
+    left = state.filter("nn IS NULL").selectExpr("id AS l_key", f"{mean} AS l_vec")
+    right = state.selectExpr("id AS r_key", f"{mean} AS r_vec")
+    found = topk_join(left, right, 1, metric="dot", exclude_same=True, sizes=(live, live)).selectExpr(
+        "l_key AS id", "r_key AS _nn", "1 - score AS _dist"
     )
-    return state.join(found, "id", "left").select(
-        "id", "rep", "size", "h", "spread", "s",
-        F.coalesce("nn", "_nn").alias("nn"), F.coalesce("dist", "_dist").alias("dist"),
+    return state.join(found, "id", "left").selectExpr(
+        "id", "rep", "size", "h", "spread", "s", "coalesce(nn, _nn) AS nn", "coalesce(dist, _dist) AS dist",
     )
 
 

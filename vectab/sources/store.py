@@ -42,8 +42,13 @@ def upsert(
 def new_rows(
     target: DataFrame, batch: DataFrame, key: str, order_by: Sequence[str | Column]
 ) -> DataFrame:
-    """The batch rows whose key the target lacks; of equal keys the last."""
-    return last_per_key(batch.join(target.select(key), key, "left_anti"), key, order_by)
+    """The batch rows whose key the target lacks; of equal keys the last.
+
+    The target's keys are first cut down to those in the batch: a small batch is
+    broadcast for that, and the target is scanned on its key column only.
+    """
+    present = target.select(key).join(batch.select(key).distinct(), key, "left_semi")
+    return last_per_key(batch.join(present, key, "left_anti"), key, order_by)
 
 
 def insert_new(

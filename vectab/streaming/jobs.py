@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.blocks import keyed_vectors, row_bound, topk_join
 from ..operators.embed import HASH_MODEL, embed, filter_unembedded
+from ..plans.scaling import cut_lineage
 from ..sources.store import Store, new_rows, upsert
 
 
@@ -24,7 +25,8 @@ def stream_embed(
     batch are embedded again, which is the one case that rewrites the table.
     """
 
-    def take(batch: DataFrame, _: int) -> None:
+    def take(arrived: DataFrame, _: int) -> None:
+        batch = cut_lineage(arrived)  # read the source once, and know the batch's size
         if store.exists(name):
             known = store.read(name)
             pending = filter_unembedded(known, model)
@@ -32,7 +34,7 @@ def stream_embed(
             if pending.isEmpty():
                 store.append(name, fresh)  # the usual case: the table is not rewritten
             else:
-                ready = embed(pending, fields, model).unionByName(fresh, allowMissingColumns=True)
+                ready = cut_lineage(embed(pending, fields, model).unionByName(fresh, allowMissingColumns=True))
                 store.write(name, upsert(known, ready, key, [order_by]), key)
         else:
             first = new_rows(batch.limit(0), batch, key, [order_by])
