@@ -39,15 +39,14 @@ class Ground:
 def near(probes: DataFrame, targets: DataFrame, cells: DataFrame, eps: float) -> DataFrame:
     """(probe, pos, w) for each target location closer than ``eps`` to a probe."""
     looked = (
-        probes.select(F.col("pos").alias("probe"), F.col("x").alias("px"), F.col("y").alias("py"), "cx", "cy")
-        .withColumn("dx", F.explode(around(2))).withColumn("dy", F.explode(around(2)))
-        .withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy"))
+        probes.selectExpr("pos AS probe", "x AS px", "y AS py", "cx", "cy", "explode(sequence(-2, 2)) AS dx")
+        .selectExpr("probe", "px", "py", "cx + dx AS cx", "cy", "explode(sequence(-2, 2)) AS dy")
+        .selectExpr("probe", "px", "py", "cx", "cy + dy AS cy")
         .join(cells, ["cx", "cy"])
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .drop("dx", "dy", "parts")
+        .selectExpr("probe", "px", "py", "cx", "cy", "explode(sequence(0, parts - 1)) AS part")
     )
     met = looked.join(targets.select("pos", "w", "x", "y", "cx", "cy", "part"), ["cx", "cy", "part"])
-    return met.filter(distance_2d("px", "py", "x", "y") < float(eps)).select("probe", "pos", "w")
+    return met.where(f"hypot(x - px, y - py) < {float(eps)!r}D").select("probe", "pos", "w")
 
 
 def lay_out(points: DataFrame, key: str, pos: str, eps: float, min_pts: int, x: str, y: str) -> Ground:

@@ -19,24 +19,20 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parent are salted: one large component makes its root a hot key.
     """
     links = cut_lineage(edges.filter("u <> v").select("u", "v").distinct())
-    forest = cut_lineage(nodes.select("node", F.col("node").alias("parent")))
+    forest = cut_lineage(nodes.selectExpr("node", "node AS parent"))
     while True:
-        fu = forest.select(F.col("node").alias("u"), F.col("parent").alias("fu"))
-        fv = forest.select(F.col("node").alias("v"), F.col("parent").alias("fv"))
+        fu, fv = forest.selectExpr("node AS u", "parent AS fu"), forest.selectExpr("node AS v", "parent AS fv")
         met = salted_join(salted_join(links, fu, ["u"], spread="v"), fv, ["v"], spread="u")
-        hooks = met.filter("fv < fu").groupBy(F.col("fu").alias("node")).agg(F.min("fv").alias("hook"))
+        hooks = met.filter("fv < fu").selectExpr("fu AS node", "fv").groupBy("node").agg(F.expr("min(fv) AS hook"))
         hooked = cut_lineage(
-            forest.join(hooks, "node", "left")
-            .select("node", F.col("parent").alias("old"), F.least("parent", "hook").alias("parent"))
+            forest.join(hooks, "node", "left").selectExpr("node", "parent AS old", "least(parent, hook) AS parent")
         )
-        jump = hooked.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+        jump = hooked.selectExpr("node AS parent", "parent AS grand")
         forest = cut_lineage(
-            salted_join(hooked, jump, ["parent"], spread="node").select(
-                "node", "old", F.col("grand").alias("parent")
-            )
+            salted_join(hooked, jump, ["parent"], spread="node").selectExpr("node", "old", "grand AS parent")
         )
         if forest.filter("parent <> old").isEmpty():
-            return forest.select("node", F.col("parent").alias("component"))
+            return forest.selectExpr("node", "parent AS component")
 
 
 def climb_to_roots(tree: DataFrame) -> DataFrame:
@@ -86,15 +82,9 @@ def greedy_rounds(
             rest = [c for c in undecided.columns if c not in clique and c != "pos"]
             first = undecided.groupBy(*clique).agg(F.min(F.struct("pos", *rest)).alias("f"))
             probes = first.select(*clique, "f.*")
-        blocked = (
-            conflicts(probes, undecided).filter("pos < probe")
-            .groupBy("probe").agg(F.count(F.lit(1)).alias("_n"))
-            .select(F.col("probe").alias("pos"))
-        )
+        blocked = conflicts(probes, undecided).filter("pos < probe").selectExpr("probe AS pos").distinct()
         winners = cut_lineage(probes.join(blocked, "pos", "left_anti").select(*undecided.columns))
-        gone = (
-            conflicts(winners, undecided).select("pos").unionByName(winners.select("pos")).distinct()
-        )
+        gone = conflicts(winners, undecided).select("pos").unionByName(winners.select("pos")).distinct()
         undecided = cut_lineage(undecided.join(gone, "pos", "left_anti"))
         kept.append(winners)
     out = items.limit(0) if not kept else kept[0]
