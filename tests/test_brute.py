@@ -243,6 +243,14 @@ def test_cluster_map_columns(spark):
     assert labelled.count() > 0 and labelled.filter("center").count() > 0
 
 
+def test_cluster_map_of_two_tables_with_equal_keys(spark):
+    v = planted(24)
+    a, b = frame(spark, v[:12]), frame(spark, v[12:])
+    got = cluster_map([a, b], "id", "v", eps=0.5, all_lows=True, names=["a", "b"])
+    assert got.count() == 24
+    assert got.groupBy("table_name").count().orderBy("table_name").collect() == [("a", 12), ("b", 12)]
+
+
 def test_density_over_given_edges(spark):
     pts = crowded(6)
     close = [(i, j) for i, p in enumerate(pts) for j, q in enumerate(pts) if math.hypot(q[0] - p[0], q[1] - p[1]) < 0.05]

@@ -273,3 +273,52 @@ def test_independent_set_order(spark):
     pairs = [(i, i + 1) for i in range(4)]
     edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "a long, b long")
     assert sorted(r.pos for r in greedy_independent_set(items, edges).collect()) == [0, 2, 4]
+
+
+def test_search_by_text(spark):
+    df = spark.createDataFrame([(1, "red fox"), (2, "blue whale"), (3, "red fish")], "k int, text string")
+    stored = embed.embed(df, ["text"])
+    assert values(search.search_text(stored, " red fox ", "k", embed.HASH_MODEL, 1), "k") == [(1,)]
+    assert search.search_text(stored, "  ", "k", embed.HASH_MODEL).count() == 0
+
+
+def test_nothing_to_cluster(spark):
+    far = spark.createDataFrame([(0, 0.0, 0.0), (1, 9.0, 9.0)], "id long, x double, y double")
+    assert [r.cluster for r in density.dbscan(far, "id", "id").collect()] == [None, None]
+    label, members = density.density_ball(far, "id", "id")
+    assert [r.cluster for r in label.collect()] == [None, None] and members.count() == 0
+    one = spark.createDataFrame([(7, [1.0, 2.0]), (8, [0.0, 0.0])], "id long, v array<double>")
+    assert [(r.id, r.clusterNumber) for r in hac.auto_cluster(one, "id", "v").collect()] == [(7, 0)]
+    none = spark.createDataFrame([], "id long, min_x double, max_x double, min_y double, max_y double")
+    assert labels.declutter(none, "id").count() == 0
+
+
+def test_stream_embed_is_incremental(spark, tmp_path):
+    from vectab.streaming.jobs import stream_embed
+
+    calls = []
+
+    def flaky():
+        def fn(texts):
+            if any("late" in t for t in texts) and not (tmp_path / "ready").exists():
+                raise RuntimeError("provider")
+            return [[1.0, float(len(t))] for t in texts]
+        return fn
+
+    embed.register_model("flaky", flaky)
+    schema, source = "id long, text string", tmp_path / "in"
+    db = store.Store(spark, str(tmp_path / "db"))
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        stream_embed(stream, db, "t", "id", ["text"], "text", str(tmp_path / "ck"), "flaky").awaitTermination()
+        calls.append(len(calls))
+        return sorted(values(db.read("t"), "id", "text"))
+
+    assert arrive([(1, "a"), (2, "b")]) == [(1, "a"), (2, "b")]
+    assert arrive([(2, "changed"), (3, "late")]) == [(1, "a"), (2, "b"), (3, "late")]
+    assert values(embed.filter_unembedded(db.read("t"), "flaky"), "id") == [(3,)]
+    (tmp_path / "ready").touch()
+    assert arrive([(4, "d"), (4, "e")]) == [(1, "a"), (2, "b"), (3, "late"), (4, "e")]
+    assert embed.filter_unembedded(db.read("t"), "flaky").count() == 0

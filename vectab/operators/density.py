@@ -50,7 +50,7 @@ def near(probes: DataFrame, targets: DataFrame, cells: DataFrame, eps: float) ->
 
 
 def lay_out(points: DataFrame, key: str, pos: str, eps: float, min_pts: int, x: str, y: str) -> Ground:
-    side = eps / math.sqrt(2) * (1 - 1e-9)  # a shade smaller, so that rounding cannot matter
+    side = eps / math.sqrt(2) * (1 - 1e-6)  # a shade smaller, so that rounding cannot matter
     plain = points.select(
         F.col(key).alias("key"), F.col(pos).alias("pos"),
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
@@ -92,7 +92,8 @@ def density_ball(
 
     A core point founds a cluster unless an earlier founder is within eps. A
     cluster's members are all points within eps of its founder, the founder
-    first; a point's label is the latest such cluster, NULL if none. ``labels``
+    first; a point's label is the latest such cluster, NULL if none. ``pos`` is
+    unique and gives the order of the walk. ``labels``
     has key, pos, x, y, cluster; ``members`` has cluster, list_pos, key, pos, x, y.
     """
     ground = lay_out(points, key, pos, eps, min_pts, x, y)

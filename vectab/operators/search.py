@@ -12,6 +12,7 @@ from ..functions.vector import (
     cosine, get_vector, has_dim, lit_vector, nonzero, round_fixed3, round_sig2,
 )
 from .blocks import BLOCK_ROWS, keyed_vectors, row_bound, threshold_join, topk_join
+from .embed import model_factory
 from .table import lookup_join
 
 TOP_K = 10
@@ -42,6 +43,15 @@ def search(table: DataFrame, query: Sequence[float], key: str, model: str, k: in
     return search_exact(vectors, query, key, "_vector", k)
 
 
+def search_text(table: DataFrame, text: str, key: str, model: str, k: int = TOP_K) -> DataFrame:
+    """Embed one query text and search with it; an empty text finds nothing."""
+    text = text.strip()
+    if not text:
+        return search(table.limit(0), [0.0], key, model, k)
+    query = model_factory(model)()([text])[0]
+    return search(table, [float(v) for v in query], key, model, k)
+
+
 def search_sbq(
     table: DataFrame, query: Sequence[float], key: str, vector: str,
     mean: Sequence[float], std: Sequence[float], k: int = TOP_K,

@@ -22,7 +22,7 @@ def extent(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 def extent_values(points: DataFrame, x: str = "x", y: str = "y") -> tuple[float, float, float, float]:
     """The extent as four numbers: a fitted constant for later expressions."""
-    return tuple(float(v) for v in extent(points, x, y).first())
+    return tuple(float(v or 0.0) for v in extent(points, x, y).first())
 
 
 def scale_to_screen(
@@ -76,7 +76,7 @@ def point_boxes(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def hilbert_value(boxes: DataFrame) -> DataFrame:
     """Add ``h``: the curve position of each box centre on a 16-bit grid over all boxes."""
     x0, x1, y0, y1 = (
-        float(v) for v in boxes.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")).first()
+        float(v or 0.0) for v in boxes.agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")).first()
     )
     cx = hilbert_cell((F.col("min_x") + F.col("max_x")) / 2, x0, x1)
     cy = hilbert_cell((F.col("min_y") + F.col("max_y")) / 2, y0, y1)
@@ -116,13 +116,12 @@ def density_blur(grid: DataFrame, sigma: float, width: int, height: int) -> Data
     """The grid smoothed by a Gaussian of radius ceil(3 sigma); cells near the border lose weight.
 
     Every occupied cell spreads its count over the kernel; sums meet by cell.
-    The kernel is an array in the plan, so there is no join. Cells the kernel
+    The kernel is exploded in place, so there is no join. Cells the kernel
     does not reach are 0 and are not listed.
     """
     radius = math.ceil(sigma * 3)
     offsets = range(-radius, radius + 1)
-    weights = {(dx, dy): math.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma)) for dy in offsets for dx in offsets}
-    total = sum(weights.values())
+    total = sum(math.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma)) for dy in offsets for dx in offsets)
     reach = F.sequence(F.lit(-radius), F.lit(radius))
     moved = (
         grid.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach))

@@ -15,29 +15,32 @@ from ..operators.table import label_join, scan_many
 from .scaling import cut_lineage, global_row_number
 
 
+ROW = "_row"
+
+
 def cluster_map(
     tables: Sequence[DataFrame], key: str, vector: str, eps: float = 0.3, min_pts: int = 3,
     hierarchical: bool = True, supervised: bool = True, all_lows: bool = False, compat: bool = False,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows with clusterNumber, coordinates, dbscanCluster and center.
+    """Rows with table_name, clusterNumber, coordinates, dbscanCluster and center.
 
     Steps: union, automatic clustering, lone labels to -1, projection, density
-    clusters in key order, centres. ``all_lows`` flags every running minimum of a
-    cluster's distances instead of the nearest row only.
+    clusters in table and key order, centres. Rows are told apart by table and
+    key, so equal keys of two tables keep their own labels. ``all_lows`` flags
+    every running minimum of a cluster's distances, not only the nearest row.
     """
-    rows = cut_lineage(scan_many(tables))
+    names = names or [f"table{i}" for i in range(len(tables))]
+    rows = cut_lineage(global_row_number(scan_many(tables, names), ["table_name", key], ROW))
     if hierarchical:
-        rows = label_join(rows, auto_cluster(rows, key, vector, compat), key)
-        rows = cut_lineage(singletons_to_noise(rows, key, "clusterNumber"))
-    plane = project_2d(rows, key, vector, "clusterNumber" if hierarchical and supervised else None)
-    points = cut_lineage(global_row_number(plane, [key], "pos"))
-    labels, members = density_ball(points, key, "pos", eps, min_pts)
+        rows = label_join(rows, auto_cluster(rows, ROW, vector, compat), ROW)
+        rows = cut_lineage(singletons_to_noise(rows, ROW, "clusterNumber"))
+    plane = project_2d(rows, ROW, vector, "clusterNumber" if hierarchical and supervised else None)
+    labels, members = density_ball(cut_lineage(plane), ROW, ROW, eps, min_pts)
     flag = record_lows if all_lows else nearest_to_centroid
-    centers = (
-        flag(cut_lineage(members), key, "list_pos").filter("center")
-        .groupBy(key).agg(F.lit(True).alias("center"))
-    )
+    centers = flag(cut_lineage(members), ROW, "list_pos").filter("center").select(
+        ROW, "center").distinct()
     found = labels.select(
-        key, F.array("x", "y").alias("coordinates"), F.col("cluster").alias("dbscanCluster")
+        ROW, F.array("x", "y").alias("coordinates"), F.col("cluster").alias("dbscanCluster")
     )
-    return rows.join(found, key, "left").join(centers, key, "left")
+    return rows.join(found, ROW, "left").join(centers, ROW, "left").drop(ROW)

@@ -95,7 +95,7 @@ def read_json_array(
     multiline: bool = True,
     table_column: str | None = "table_name",
 ) -> DataFrame:
-    """JSON files, plain or ``.gz``; each file is one table, told apart by ``table_name``.
+    """JSON files, plain or gzipped (named ``.gz``); each file is one table, told apart by ``table_name``.
 
     ``multiline=True`` reads one array per file (one task per file);
     ``multiline=False`` reads JSON lines, which split. ``embeddings`` becomes a
