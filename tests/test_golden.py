@@ -322,3 +322,15 @@ def test_stream_embed_is_incremental(spark, tmp_path):
     (tmp_path / "ready").touch()
     assert arrive([(4, "d"), (4, "e")]) == [(1, "a"), (2, "b"), (3, "late"), (4, "e")]
     assert embed.filter_unembedded(db.read("t"), "flaky").count() == 0
+
+
+def test_nearest_boxes_and_filters(spark):
+    boxes = spark.createDataFrame(
+        [(1, 0.0, 2.0, 0.0, 2.0), (2, 5.0, 6.0, 1.0, 2.0), (3, 3.0, 4.0, 5.0, 6.0)],
+        "id int, min_x double, max_x double, min_y double, max_y double")
+    got = spatial.knn_boxes(boxes, 1.0, 1.0, "id", 2)
+    assert values(got, "id", "d2") == [(1, 0.0), (2, 16.0)]
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 6.0, 8.0)], "id int, x double, y double")
+    assert values(spatial.knn_2d(pts, 0, 0, "id", max_dist=5), "id") == [(1,), (2,)]
+    assert values(spatial.knn_2d(pts, 0, 0, "id", where=F.col("id") > 1), "id") == [(2,), (3,)]
+    assert values(spatial.window_query(pts, 0, 0, 3, 4), "id") == [(1,), (2,)]

@@ -8,7 +8,7 @@ from ..functions import geo, text, vector
 from ..functions.quant import hamming, sbq_bytes, sbq_code, sbq_words
 from ..operators.spatial import extent_values, scale_to_screen
 from ..operators.stats import dim_stats, sbq_encode, sbq_fit
-from .common import MAP_TYPE, PLANE_SQL, Q_SQL, plane, query_vector, r6, table, vectors
+from .common import PLANE_SQL, Q_SQL, plane, query_vector, r6, table, vectors
 
 QUERIES: dict = {}
 SQL: dict = {}

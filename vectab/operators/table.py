@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Columns a table view hides; columns a best match leaves out.
 SYSTEM_COLUMNS = [
@@ -135,7 +134,3 @@ def table_sort(
 def table_page(table: DataFrame, order: Sequence[str | Column], page: int, size: int = 100) -> DataFrame:
     """One page; ``order`` must end in a unique key so that pages do not overlap."""
     return table.orderBy(*order).offset(page * size).limit(size)
-
-
-def is_nested(field: T.StructField) -> bool:
-    return isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType))
