@@ -293,3 +293,15 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
     assert len(pairs) == len(near) and {(r.i, r.j) for r in pairs} == near
     label, _ = density.density_ball(points_frame(spark, pts, 4), "id", "id", 0.05, 4)
     assert {r.id: r.cluster for r in label.collect() if r.cluster is not None} == naive_ball(pts, 0.05, 4)[0]
+
+
+def test_projection_equals_numpy(spark):
+    from vectab.operators.projection import project_2d
+
+    v = planted(50, groups=3, seed=13)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    _, _, axes = np.linalg.svd(u - u.mean(axis=0), full_matrices=False)
+    axes = [a if a[np.abs(a).argmax()] > 0 else -a for a in axes[:2]]
+    got = {r.id: (r.x, r.y) for r in project_2d(frame(spark, v), "id", "v").collect()}
+    for i in range(50):
+        assert got[i] == pytest.approx((u[i] @ axes[0], u[i] @ axes[1]), abs=1e-8)
