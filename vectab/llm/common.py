@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +21,18 @@ _ANY_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 @dataclass
 class Words:
-    """The words of several texts in order: 64-bit hash, text number, code points."""
+    """The words of several texts in order: 64-bit hash, text number, code points, place in ``raw``."""
 
     hash: np.ndarray
     owner: np.ndarray
     chars: np.ndarray
+    segment: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    raw: list[bytes]
+
+    def spelled(self, at: np.ndarray) -> list[bytes]:
+        return [self.raw[k][i:j] for k, i, j in zip(self.segment[at].tolist(), self.start[at].tolist(), self.end[at].tolist())]
 
 
 class WordHasher:
@@ -33,12 +40,14 @@ class WordHasher:
 
     Every byte becomes a fixed random 64-bit number (A to Z like a to z when
     ``lower``); a word's hash is a polynomial of these modulo 2**64, taken from
-    prefix sums, so the cost does not depend on the number of words.
+    prefix sums, so the cost does not depend on the number of words. With ``parts``, two
+    masks over bytes, a word also ends between a byte of the first and one of the second.
     """
 
     BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self, lower: bool):
+    def __init__(self, lower: bool, parts: tuple[np.ndarray, np.ndarray] | None = None):
+        self.parts = parts
         byte = np.arange(256, dtype=np.uint64)
         if lower:
             byte[65:91] += np.uint64(32)
@@ -55,36 +64,44 @@ class WordHasher:
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
-    def _segment(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, hash and code points of the words of one segment."""
+    def _segment(self, raw: bytes) -> tuple[np.ndarray, ...]:
+        """Hash, code points, start and end of the words of one segment."""
         data = np.frombuffer(raw, dtype=np.uint8)
         n = len(data)
         self._reach(n)
         edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True, append=True))
         starts, ends = edge[::2], edge[1::2]
+        if self.parts is not None:
+            cut = np.flatnonzero(self.parts[0][data[:-1]] & self.parts[1][data[1:]]) + 1
+            starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
             value = mix64((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
         heads = np.zeros(n + 1, dtype=np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
-        return starts, value, heads[ends] - heads[starts]
+        return value, heads[ends] - heads[starts], starts, ends
 
-    def __call__(self, texts: Sequence[str | None]) -> Words:
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def __call__(self, texts: Sequence[str | bytes | None]) -> Words:
+        parts: list[tuple[np.ndarray, ...]] = []
+        raws: list[bytes] = []
         held: list[bytes] = []
         first = size = 0
 
+        def add(raw: bytes, owner: Callable[[np.ndarray], np.ndarray]) -> None:
+            value, chars, starts, ends = self._segment(raw)
+            parts.append((value, owner(starts), chars, np.full(len(value), len(raws)), starts, ends))
+            raws.append(raw)
+
         def flush(upto: int) -> None:
             nonlocal held, size, first
             if held:
                 begin = np.cumsum([0, *(len(r) + 1 for r in held)])
-                starts, value, chars = self._segment(b" ".join(held))
-                parts.append((value, first + np.searchsorted(begin, starts, side="right") - 1, chars))
+                add(b" ".join(held), lambda starts: first + np.searchsorted(begin, starts, side="right") - 1)
             held, size, first = [], 0, upto
 
         for i, text in enumerate(texts):
-            raw = text.encode("utf-8", "replace") if text else b""
+            raw = text if isinstance(text, bytes) else text.encode("utf-8", "replace") if text else b""
             if size + len(raw) > SEGMENT:
                 flush(i)
             if len(raw) <= SEGMENT:
@@ -95,14 +112,35 @@ class WordHasher:
             while at < len(raw):
                 cut = _ANY_BLANK.search(raw, at + SEGMENT)
                 end = cut.start() if cut else len(raw)
-                _, value, chars = self._segment(raw[at:end])
-                parts.append((value, np.full(len(value), i), chars))
+                add(raw[at:end], lambda starts, i=i: np.full(len(starts), i))
                 at = end
             first = i + 1
         flush(0)
         if not parts:
-            return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return Words(*(np.concatenate(column) for column in zip(*parts)))
+            parts.append((np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5))
+        return Words(*(np.concatenate(column) for column in zip(*parts)), raws)
+
+
+class Recent(dict):
+    """What is known of words, about twice ``limit`` of those met last."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.previous = limit, {}
+
+    def unknown(self, words: set) -> list:
+        """The words of which nothing is known yet; the others are at hand from now on."""
+        if len(self) > self.limit:
+            self.previous = dict(self)
+            self.clear()
+        fresh = []
+        for w in words:
+            if w not in self:
+                if w in self.previous:
+                    self[w] = self.previous[w]
+                else:
+                    fresh.append(w)
+        return fresh
 
 
 def temp_name(df: DataFrame, base: str) -> str:

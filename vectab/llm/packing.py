@@ -9,7 +9,6 @@ looks its own pieces up.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,10 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.scaling import cut_lineage
+from .common import Recent, WordHasher
 
 CAPACITY = 2048
-CACHE_WORDS = 300_000
-_CHUNK = re.compile(r"[^ \n\t\r]+")
+CACHE_WORDS = 250_000
+_BYTES = np.arange(256)
+_LETTER = (_BYTES >= 97) & (_BYTES <= 122)
+_SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_LETTER
 
 
 class TightestBin:
@@ -95,24 +97,65 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 class WordTokenizer:
-    """Token ids of texts; blanks always end a token, so words are tokenized once and kept."""
+    """Token ids of texts; words are tokenized once and kept by their hash.
+
+    The vocabulary is lower case, blanks always end a token, and so does a letter from a
+    to z before an ASCII sign or digit: texts are lower-cased (A to Z) and cut there first, which
+    leaves few words. A text that may spell a special token goes to the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        self.tokenizer, self.words = Tokenizer.from_file(path), Recent(CACHE_WORDS)
+        self.hasher = WordHasher(lower=False, parts=(_LETTER, _SIGN))
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # tokens that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+
+    def _ids(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words; those of letters only are joined, their ends are known by the last tokens."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        for low in range(0, len(plain), 4096):
+            groups = [plain[k : k + 64] for k in range(low, min(low + 4096, len(plain)), 64)]
+            codes = self.tokenizer.encode_batch_fast([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False)
+            for group, code in zip(groups, codes):
+                ids = np.array(code.ids, dtype="<u4")
+                parts = np.split(ids, np.flatnonzero(self.last[ids])[:-1] + 1)
+                if len(parts) == len(group):
+                    for i, own in zip(group, parts):
+                        out[i] = own
+        rest = [i for i, own in enumerate(out) if own is None]
+        for low in range(0, len(rest), 4096):
+            part = rest[low : low + 4096]
+            for i, code in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+                out[i] = np.array(code.ids, dtype="<u4")
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Little-endian 32-bit ids per text."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        cut = [_CHUNK.findall(t) if t else [] for t in texts]
-        fresh = [w for w in set().union(*cut) if w not in self.words] if cut else []
-        for start in range(0, len(fresh), 4096):
-            part = fresh[start : start + 4096]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[word] = np.array(code.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        raws = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+        special = [i for i, r in enumerate(raws) if b"<|" in r]
+        words = self.hasher([b"" if b"<|" in r else r.lower() for r in raws])
+        named, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        names = named.tolist()
+        fresh = set(self.words.unknown(set(names)))
+        new = np.array([i for i, h in enumerate(names) if h in fresh], dtype=np.int64)
+        spelled = [w.decode("utf-8") for w in words.spelled(at[new])]
+        self.words.update(zip(named[new].tolist(), self._ids(spelled)))
+        ids = [self.words[h] for h in names]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = np.concatenate([np.zeros(0, "<u4"), *ids])
+        begin = np.cumsum(sizes) - sizes
+        size = sizes[back]
+        ends = np.cumsum(size)
+        tokens = flat[np.repeat(begin[back] - (ends - size), size) + np.arange(size.sum())]
+        bounds = np.concatenate([[0], ends])[np.searchsorted(words.owner, np.arange(len(texts) + 1))]
+        out = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        for i in special:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4")
+        return out
 
 
 def tokenized_pieces(docs: DataFrame, path: str, key: str, text: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
@@ -123,13 +166,13 @@ def tokenized_pieces(docs: DataFrame, path: str, key: str, text: str, capacity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, seen, part = WordTokenizer(path), Counter(), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                own = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, 2048):
+                own = batch.slice(low, 2048)
                 source, columns, ids = [], [], []
-                for i, raw in enumerate(tokenizer(own.column(1).to_pylist())):
-                    raw += end
+                for i, own_ids in enumerate(tokenizer(own.column(1).to_pylist())):
+                    raw = np.concatenate([own_ids, end]).tobytes()
                     for number, at in enumerate(range(0, len(raw), 4 * capacity)):
                         code = raw[at : at + 4 * capacity]
                         length = len(code) // 4

@@ -13,15 +13,16 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import temp_name
+from .common import Recent, temp_name
 
 SPACE = "▁"  # stands for a blank in the vocabulary
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 NEVER = 1 << 60
 
 
@@ -105,7 +106,7 @@ class PieceCodec:
     def __init__(self, vocab: Vocabulary):
         import ahocorasick
 
-        self.vocab, self.words, self.pairs = vocab, {}, {}
+        self.vocab, self.words, self.pairs = vocab, Recent(CACHE_WORDS), {}
         self.automaton = ahocorasick.Automaton()
         for i in vocab.left:
             self.automaton.add_word(vocab.pieces[i], (i, len(vocab.pieces[i])))
@@ -180,15 +181,10 @@ class PieceCodec:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        out, words = [], self.words
-        for segment in self.segment.findall(SPACE + text.replace(" ", SPACE)):
-            ids = words.get(segment)
-            if ids is None:
-                ids = words[segment] = self.word(segment)
-            out += ids
-        return out
+        segments, words = self.segment.findall(SPACE + text.replace(" ", SPACE)), self.words
+        for segment in words.unknown(set(segments)):
+            words[segment] = self.word(segment)
+        return list(chain.from_iterable(map(words.__getitem__, segments)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids of this encoder: pieces joined, blanks restored, without the blank put first."""
