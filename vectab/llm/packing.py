@@ -122,10 +122,10 @@ class WordTokenizer:
             codes = self.tokenizer.encode_batch_fast([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False)
             for group, code in zip(groups, codes):
                 ids = np.array(code.ids, dtype="<u4")
-                parts = np.split(ids, np.flatnonzero(self.last[ids])[:-1] + 1)
-                if len(parts) == len(group):
-                    for i, own in zip(group, parts):
-                        out[i] = own
+                ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+                if len(ends) == len(group):
+                    for i, begin, end in zip(group, [0, *ends], ends):
+                        out[i] = ids[begin:end]
         rest = [i for i, own in enumerate(out) if own is None]
         for low in range(0, len(rest), 4096):
             part = rest[low : low + 4096]
