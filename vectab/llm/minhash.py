@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ from .common import WordHasher, mix64, temp_name
 
 ROWS, BANDS = 7, 48  # a pair at similarity 0.8 shares no band with probability 1.2e-5
 WIDTH = ROWS * BANDS
-SLACK = 0.12  # 5.5 standard deviations of a sketch estimate at 0.8
+SLACK = 0.09  # 4.1 standard deviations of a sketch estimate at 0.8: missed with probability 2e-5
 BLOCK = 1024  # members compared at once inside an opened bucket
 PROPOSALS = (2, 32, 0)  # per member and round; 0: all that the sketch allows
 
@@ -125,20 +124,22 @@ def sketched(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for batch in batches:
-            sets = shingle(batch.column(2).to_pylist())
-            full = [s for s in sets if len(s)]
-            sketches = np.stack([fast_sketch(s) for s in full]) if full else np.zeros((0, WIDTH), dtype=np.uint64)
-            short = mix64(sketches).astype(np.uint16)
-            keys, spot = list(band_keys(sketches)), count()
-            at = [next(spot) if len(s) else None for s in sets]
-            counts = [len(s) for s in sets]
-            nodes = [node_of(s) if len(s) else None for s in sets]
-            keys = [None if i is None else keys[i] for i in at]
-            sketches = [None if i is None else short[i].tobytes() for i in at]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["k", "th", "n_shingles", "node", "keys", "sketch"])
+            for low in range(0, batch.num_rows, 1000):
+                own = batch.slice(low, 1000)
+                sets = shingle(own.column(2).to_pylist())
+                full = [s for s in sets if len(s)]
+                sketches = np.stack([fast_sketch(s) for s in full]) if full else np.zeros((0, WIDTH), dtype=np.uint64)
+                short = mix64(sketches).astype(np.uint16)
+                keys, spot = list(band_keys(sketches)), count()
+                at = [next(spot) if len(s) else None for s in sets]
+                counts = [len(s) for s in sets]
+                nodes = [node_of(s) if len(s) else None for s in sets]
+                keys = [None if i is None else keys[i] for i in at]
+                sketches = [None if i is None else short[i].tobytes() for i in at]
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(1), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    ["k", "th", "n_shingles", "node", "keys", "sketch"])
 
     return rows.mapInArrow(run, schema)
 
@@ -148,6 +149,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
 
     Texts are joined by key; where keys repeat, the class decides which row is meant.
     """
+    pairs = cut_lineage(pairs)
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     needed = pairs.select(F.col("ku").alias("k")).union(pairs.select(F.col("kv").alias("k"))).distinct()
     texts = cut_lineage(
@@ -160,19 +162,20 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
         .join(right, F.col("kv").eqNullSafe(F.col("rk"))).select("u", "v", "tu", "tv")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
 
-        def sets(nodes: pd.Series, texts: pd.Series) -> dict[int, np.ndarray]:
+        def sets(nodes: list[int], texts: pa.Array) -> dict[int, np.ndarray]:
             """The set of every node, from those of its rows whose text has that set."""
-            given = pd.DataFrame({"n": nodes, "t": texts}).drop_duplicates()
-            return {n: s for n, s in zip(given.n, shingle(given.t.tolist())) if len(s) and node_of(s) == n}
+            given = list(dict.fromkeys(zip(nodes, texts.to_pylist())))
+            return {n: s for (n, _), s in zip(given, shingle([t for _, t in given])) if len(s) and node_of(s) == n}
 
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part, keep = batch.iloc[start : start + 500], []
-                left, right = sets(part.u, part.tu), sets(part.v, part.tv)
-                for u, v in zip(part.u, part.v):
+            for low in range(0, batch.num_rows, 250):
+                part = batch.slice(low, 250)
+                us, vs, keep = part.column(0).to_pylist(), part.column(1).to_pylist(), []
+                left, right = sets(us, part.column(2)), sets(vs, part.column(3))
+                for u, v in zip(us, vs):
                     a, b = left.get(u), right.get(v)
                     if a is None or b is None:
                         keep.append(False)
@@ -181,9 +184,9 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
                     spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
                     both = int(np.count_nonzero(large[spot] == small))
                     keep.append(100 * both >= share * (len(a) + len(b) - both))
-                yield part.loc[keep, ["u", "v"]]
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut_lineage(rows.mapInPandas(run, "u bigint, v bigint").distinct())
+    return cut_lineage(rows.mapInArrow(run, "u bigint, v bigint").distinct())
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -194,34 +197,39 @@ def _components(edges: DataFrame) -> DataFrame:
 def _proposals(rows: DataFrame, per_member: int, share: int) -> DataFrame:
     """Pairs (u, v) of one bucket, in different components, that may be similar enough.
 
-    ``rows``: bucket, node, comp, sketch. Members are dealt to blocks of about
-    ``BLOCK``; a task sees two blocks, so no bucket is gathered whole.
+    ``rows``: bucket, band, node, comp, sketch. Members are dealt to blocks of about
+    ``BLOCK``; a task sees two blocks, so no bucket is gathered whole. A pair is proposed by
+    the first band it shares only.
     """
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"),
         (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"),
-        "node", "comp", "sketch",
+        "band", "node", "comp", "sketch",
     )
     least = share / 100 - SLACK
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group.left], group[group.right]
-        sa = np.stack([np.frombuffer(s, dtype=np.uint16) for s in a.sketch])
-        sb = np.stack([np.frombuffer(s, dtype=np.uint16) for s in b.sketch])
-        out = []
-        for i in range(len(a)):
-            same = np.count_nonzero(sb == sa[i], axis=1) / sa.shape[1]
-            # in a block with itself every pair is seen twice; the smaller node proposes
-            fits = np.flatnonzero((same >= least) & (b.comp.to_numpy() != a.comp.iat[i]))
+    def run(group: pa.Table) -> pa.Table:
+        node, comp, band = group["node"].to_numpy(), group["comp"].to_numpy(), group["band"][0].as_py()
+        sketch = np.stack([np.frombuffer(s.as_py(), dtype=np.uint16) for s in group["sketch"]])
+        right = np.flatnonzero(group["right"].to_numpy(zero_copy_only=False))
+        others, out = sketch[right], []
+        for i in np.flatnonzero(group["left"].to_numpy(zero_copy_only=False)):
+            same = others == sketch[i]
+            alike = np.count_nonzero(same, axis=1) / sketch.shape[1]
+            fits = np.flatnonzero((alike >= least) & (comp[right] != comp[i]))
+            if len(fits):
+                bands = same[fits, : band * ROWS].reshape(len(fits), band, ROWS)
+                fits = fits[~bands.all(axis=2).any(axis=1)]
             if per_member and len(fits) > per_member:
-                fits = fits[np.argsort(-same[fits], kind="stable")[:per_member]]
-            node = int(a.node.iat[i])
-            out.extend((min(node, int(x)), max(node, int(x))) for x in b.node.to_numpy()[fits])
-        return pd.DataFrame(sorted(set(out)), columns=["u", "v"]).astype("int64")
+                fits = fits[np.argsort(-alike[fits], kind="stable")[:per_member]]
+            # in a block with itself every pair is seen twice
+            out.extend((min(node[i], x), max(node[i], x)) for x in node[right[fits]])
+        pairs = np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return placed.groupBy("bucket", "bi", "bj").applyInPandas(run, "u bigint, v bigint").distinct()
+    return placed.groupBy("bucket", "bi", "bj").applyInArrow(run, "u bigint, v bigint").distinct()
 
 
 def resolved(docs: DataFrame, key: str, text: str, size: int, share: int) -> DataFrame:
@@ -236,7 +244,7 @@ def resolved(docs: DataFrame, key: str, text: str, size: int, share: int) -> Dat
         named_rows.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys"))
     )
     key_of = classes.select("node", F.col("first.k").alias("k"))
-    buckets = classes.select("node", F.explode("keys").alias("bucket"))
+    buckets = classes.select("node", F.posexplode("keys").alias("band", "bucket"))
     hubs = (
         buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"))
         .filter("hub <> last").drop("last")
@@ -244,10 +252,10 @@ def resolved(docs: DataFrame, key: str, text: str, size: int, share: int) -> Dat
     shared = cut_lineage(buckets.join(hubs, "bucket"))
     pairs = cut_lineage(shared.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
     links = verified(_with_keys(pairs, key_of), docs, key, text, size, share)
-    members = shared.filter("size > 2").select("bucket", "node")  # with two, the only pair is tried
+    members = shared.filter("size > 2").select("bucket", "band", "node")  # with two, the only pair is tried
     tried, comps, sketches = pairs, _components(links), None
     for per_member in PROPOSALS:
-        placed = members.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+        placed = members.join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("comp"))
         several = (
             placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         )
