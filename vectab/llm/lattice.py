@@ -29,7 +29,7 @@ from ..plans.scaling import cut_lineage
 from .common import crc_fold, mix64
 
 SPACE = "▁"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 32 << 20
 PRIOR_TOKENS = 1000.0  # what the vocabulary's own scores weigh, in tokens
 SLOTS = 1 << 22
 LN10 = np.log(10.0)
@@ -152,10 +152,20 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.frombuffer(raw, dtype="<u4").reshape(len(part), n).astype(np.uint64)
 
 
+def shortest(values: np.ndarray) -> bytes:
+    """Non-negative numbers as bytes: their width, then the numbers in 1, 2 or 4 bytes each."""
+    width = 1 if values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _listed(docs: DataFrame, key: str, text: str, fold: tuple[int, int]) -> DataFrame:
     """Texts and distinct words by chunk, in one table.
 
-    A text row has k, held, n and the numbers (uint32) and counts of its distinct words; a word row has
+    A text row has k, held, n, the steps between the numbers of its distinct words, and their counts; a word row has
     word, its number in the chunk and its training count there. The end is the empty word.
     """
     held = F.coalesce(crc_fold(key, fold[0]) == fold[1], F.lit(False))
@@ -186,7 +196,7 @@ def _listed(docs: DataFrame, key: str, text: str, fold: tuple[int, int]) -> Data
                 yield emit(word=[w.decode("utf-8", "replace") for w in own], number=np.arange(low, low + len(own)),
                            c=[trained[w] for w in own])
 
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             key_type, low = batch.column(0).type, 0
             texts, held_out = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             out = {"n": [], "numbers": [], "counts": []}
@@ -197,8 +207,10 @@ def _listed(docs: DataFrame, key: str, text: str, fold: tuple[int, int]) -> Data
                 if not held_out[i]:
                     trained.update(found)
                 out["n"].append(sum(found.values()))
-                out["numbers"].append(np.array([index.setdefault(w, len(index)) for w in found], dtype="<u4").tobytes())
-                out["counts"].append(np.fromiter(found.values(), dtype="<u4", count=len(found)).tobytes())
+                numbers = np.array([index.setdefault(w, len(index)) for w in found], dtype=np.int64)
+                times, order = np.fromiter(found.values(), dtype=np.int64, count=len(found)), np.argsort(numbers)
+                out["numbers"].append(shortest(np.diff(numbers[order], prepend=0)))
+                out["counts"].append(shortest(times[order]))
                 size += len(raw)
                 if size >= CHUNK_BYTES or i == len(texts) - 1:
                     yield emit(k=batch.column(0).slice(low, i + 1 - low), held=held_out[low : i + 1], **out)
@@ -275,7 +287,7 @@ def score_texts(
         base = np.log10((c + 1) / under)
         known, bases, scores = [], [], []
         for raw, times in zip(texts["numbers"].to_pylist(), texts["counts"].to_pylist()):
-            at, n = np.frombuffer(raw, dtype="<u4"), np.frombuffer(times, dtype="<u4").astype(np.int64)
+            at, n = np.cumsum(widened(raw)), widened(times)
             known.append(int(n[c[at] > 0].sum()))
             bases.append(float(base[at] @ n))
             scores.append(float(lp[at] @ n))
