@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # what counts as a word: a run without ASCII blanks
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 512
 SEGMENT = 1 << 18  # bytes hashed at once; longer texts are cut at blanks
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -152,12 +153,21 @@ def temp_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Fewer rows per Arrow batch in this session: texts may be long, and a Python worker holds whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if int(spark.conf.get(name)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def filter_by(df: DataFrame, decision: Column) -> DataFrame:
     """Rows whose ``decision`` is true; the columns stay as they are.
 
     The decision is computed once, next to the row it belongs to, so rows with
     equal or null keys need no join.
     """
+    bound_batches(df)
     name = temp_name(df, "decision")
     return df.withColumn(name, decision).filter(F.col(name)).drop(name)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filter_by, mix64, temp_name
+from .common import bound_batches, filter_by, mix64, temp_name
 
 UNKNOWN = "und"
 BUCKETS = 1 << 14
@@ -20,7 +20,7 @@ DIM = 16
 GRAMS = 5
 SAMPLE_PER_LABEL = 600  # most labelled rows of one language the model is fitted on
 WINDOW_WORDS = 24  # short training windows, so that short texts are known too
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -229,6 +229,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     out. Repeated rows give one row each, an empty table an empty one, and
     the text is read whole. No other column is an input.
     """
+    bound_batches(docs)
     name = temp_name(docs, "lang")
     crc = F.crc32(F.col(key).cast("string").cast("binary")) % fold[0]
     held = F.coalesce(crc == fold[1], F.lit(False)).alias("held_out")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scaling import cut_lineage
-from .common import crc_fold, mix64
+from .common import bound_batches, crc_fold, mix64
 
 SPACE = "▁"
 CHUNK_BYTES = 32 << 20
@@ -237,6 +237,7 @@ def score_texts(
     repeated rows count and are returned each, an empty table gives an empty one, other columns are
     ignored, and texts are read whole. With nothing to train on the vocabulary's own scores decide.
     """
+    bound_batches(docs)
     listed = cut_lineage(_listed(docs, key, text, fold))
     uses = listed.filter("word IS NOT NULL").select("chunk", "word", "number", "c")
     counts = cut_lineage(uses.groupBy("word").agg(F.sum("c").alias("c")))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
 from ..plans.scaling import cut_lineage
-from .common import WordHasher, mix64, temp_name
+from .common import WordHasher, bound_batches, mix64, temp_name
 
 ROWS, BANDS = 7, 48  # a pair at similarity 0.8 shares no band with probability 1.2e-5
 WIDTH = ROWS * BANDS
@@ -237,6 +237,7 @@ def resolved(docs: DataFrame, key: str, text: str, size: int, share: int) -> Dat
 
     ``first`` is the row of the component, (no key, k, th), that comes first.
     """
+    bound_batches(docs)
     rows = cut_lineage(sketched(docs, key, text, size))
     named_rows = rows.filter("node IS NOT NULL")
     order = F.struct(F.col("k").isNull().alias("no_k"), "k", "th")

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.scaling import cut_lineage
-from .common import Recent, WordHasher
+from .common import BATCH_ROWS, Recent, WordHasher, bound_batches
 
 CAPACITY = 2048
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _BYTES = np.arange(256)
 _LETTER = (_BYTES >= 97) & (_BYTES <= 122)
 _SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_LETTER
@@ -113,9 +113,9 @@ class WordTokenizer:
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
 
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
+    def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of words; those of letters only are joined, their ends are known by the last tokens."""
-        out: list[np.ndarray | None] = [None] * len(words)
+        out: list[bytes | None] = [None] * len(words)
         plain = [i for i, w in enumerate(words) if w.isalpha()]
         for low in range(0, len(plain), 4096):
             groups = [plain[k : k + 64] for k in range(low, min(low + 4096, len(plain)), 64)]
@@ -125,12 +125,12 @@ class WordTokenizer:
                 ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
                 if len(ends) == len(group):
                     for i, begin, end in zip(group, [0, *ends], ends):
-                        out[i] = ids[begin:end]
+                        out[i] = ids[begin:end].tobytes()
         rest = [i for i, own in enumerate(out) if own is None]
         for low in range(0, len(rest), 4096):
             part = rest[low : low + 4096]
             for i, code in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
-                out[i] = np.array(code.ids, dtype="<u4")
+                out[i] = np.array(code.ids, dtype="<u4").tobytes()
         return out
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -145,8 +145,8 @@ class WordTokenizer:
         spelled = [w.decode("utf-8") for w in words.spelled(at[new])]
         self.words.update(zip(named[new].tolist(), self._ids(spelled)))
         ids = [self.words[h] for h in names]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate([np.zeros(0, "<u4"), *ids])
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
         begin = np.cumsum(sizes) - sizes
         size = sizes[back]
         ends = np.cumsum(size)
@@ -168,8 +168,8 @@ def tokenized_pieces(docs: DataFrame, path: str, key: str, text: str, capacity:
         tokenizer, seen, part = WordTokenizer(path), Counter(), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                own = batch.slice(low, 2048)
+            for low in range(0, batch.num_rows, BATCH_ROWS):
+                own = batch.slice(low, BATCH_ROWS)
                 source, columns, ids = [], [], []
                 for i, own_ids in enumerate(tokenizer(own.column(1).to_pylist())):
                     raw = np.concatenate([own_ids, end]).tobytes()
@@ -234,6 +234,7 @@ def pack_documents(
     alone. Null keys and repeated rows are packed like any others, an empty table gives
     an empty one, other columns are ignored, texts are tokenized whole.
     """
+    bound_batches(docs)
     pieces = cut_lineage(tokenized_pieces(docs, path, key, text, capacity, end_id, keep_ids))
     packed = pack(pieces, capacity)
     return packed.withColumnRenamed("k", key)

@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, temp_name
+from .common import Recent, bound_batches, temp_name
 
 SPACE = "▁"  # stands for a blank in the vocabulary
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 NEVER = 1 << 60
 
 
@@ -122,7 +122,7 @@ class PieceCodec:
     def _table(self, text: str) -> list[int]:
         """Ids of a text by its prefix table; signs outside the vocabulary stand alone, as their bytes."""
         n, pairs, compatible = len(text), self.pairs, self.vocab.compatible
-        if len(pairs) > 500_000:
+        if len(pairs) > 300_000:
             pairs.clear()
         last = [-1] * n  # token that ends the encoding of each prefix; -1: a sign without a token
         for end, (token, size) in self.automaton.iter(text):
@@ -222,5 +222,6 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     decodes to nothing. Null keys and repeated rows give one row each, an empty
     table gives an empty one, other columns are ignored, texts are coded whole.
     """
+    bound_batches(docs)
     name = temp_name(docs, "code")
     return docs.select(F.col(key), codec_column(path, text, keep).alias(name)).select(key, f"{name}.*")

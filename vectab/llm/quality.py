@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, filter_by, mix64, temp_name
+from .common import WordHasher, bound_batches, filter_by, mix64, temp_name
 
 BASE_WORDS, BASE_GRAM, BASE_SHARE = 20, 8, 0.30
 # run length in words -> largest share of a text's characters inside runs found twice or more
@@ -129,6 +129,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     repeated rows give one row each; other columns are not read; an empty table
     gives an empty one. A very long text is measured whole.
     """
+    bound_batches(docs)
     name = temp_name(docs, "q")
     return docs.select(F.col(key), quality_column(text).alias(name)).select(key, f"{name}.*")
 

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, temp_name
+from .common import Recent, bound_batches, temp_name
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 
 
 class UnigramCounter:
@@ -88,5 +88,6 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], key: str = "d
     text has no tokens. Null keys and repeated rows give one row each, an empty table gives an empty
     one, other columns are ignored, texts are counted whole.
     """
+    bound_batches(docs)
     name = temp_name(docs, "count")
     return docs.select(F.col(key), count_column(pieces, text).alias(name)).withColumnRenamed(name, "n_tokens")
