@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.scaling import cut_lineage
-from .common import BATCH_ROWS, Recent, WordHasher, bound_batches
+from .common import Recent, WordHasher, bound_batches
 
 CAPACITY = 2048
 CACHE_WORDS = 150_000
+GATHER = 8 << 20
 _BYTES = np.arange(256)
 _LETTER = (_BYTES >= 97) & (_BYTES <= 122)
 _SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_LETTER
@@ -167,9 +168,20 @@ def tokenized_pieces(docs: DataFrame, path: str, key: str, text: str, capacity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, seen, part = WordTokenizer(path), Counter(), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4")
-        for batch in batches:
-            for low in range(0, batch.num_rows, BATCH_ROWS):
-                own = batch.slice(low, BATCH_ROWS)
+        def gathered() -> Iterator[pa.Table]:
+            """Several batches, up to ``GATHER`` bytes: words that repeat in them are looked up once."""
+            held, size = [], 0
+            for batch in batches:
+                held.append(batch)
+                size += batch.column(1).nbytes
+                if size >= GATHER:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, size = [], 0
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks()
+
+        for table in gathered():
+            for own in table.to_batches():
                 source, columns, ids = [], [], []
                 for i, own_ids in enumerate(tokenizer(own.column(1).to_pylist())):
                     raw = np.concatenate([own_ids, end]).tobytes()
