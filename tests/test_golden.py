@@ -334,3 +334,30 @@ def test_nearest_boxes_and_filters(spark):
     assert values(spatial.knn_2d(pts, 0, 0, "id", max_dist=5), "id") == [(1,), (2,)]
     assert values(spatial.knn_2d(pts, 0, 0, "id", where=F.col("id") > 1), "id") == [(2,), (3,)]
     assert values(spatial.window_query(pts, 0, 0, 3, 4), "id") == [(1,), (2,)]
+
+
+def test_vectors_without_direction_match_nothing(spark):
+    """NaN, infinite and null elements neither win a place nor push a row out."""
+    from vectab.operators.search import knn_graph, search_exact
+
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0])]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    assert [r["id"] for r in search_exact(table, [1.0, 0.0], "id", "v").collect()] == [1, 2, 3]
+    near = knn_graph(table, "id", "v", 2).collect()
+    assert len(near) == 6 and not {4, 5, 6} & {v for r in near for v in r.asDict().values()}
+
+
+def test_delimiter_uses_all_records(spark, tmp_path):
+    """A steady look of the first lines does not decide; equal candidates are an error."""
+    from vectab.sources.files import csv_errors, guess_delimiter, read_csv
+
+    path = tmp_path / "late.csv"
+    lines = ["a,x;b"] + ["1,2;3"] * 12 + ["plain;4"] * 20
+    path.write_text("\n".join(lines) + "\n")
+    assert guess_delimiter(spark, str(path)) == ";"
+    (tmp_path / "tie.csv").write_text("a,b;c\n1,2;3\n")
+    with pytest.raises(ValueError):
+        read_csv(spark, str(tmp_path / "tie.csv"))
+    (tmp_path / "long.csv").write_text('a,b\n"' + "x" * 20_000 + '""y",2,3\n')
+    found = csv_errors(spark, str(tmp_path / "long.csv"), ",").collect()
+    assert [(r["kind"], r["parsed"]) for r in found] == [("TooManyFields", 3)]

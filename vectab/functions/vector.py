@@ -42,9 +42,10 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
 
 
 def nonzero(a: Column | str) -> Column:
-    """True for a vector with an element other than 0; stops at the first one."""
+    """True for a vector that has a direction: an element other than 0, and no null, NaN or infinite one."""
     a = as_col(a)
-    return a.isNotNull() & F.coalesce(F.exists(a, lambda x: x != 0), F.lit(False))
+    finite = F.forall(a, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is above infinity
+    return F.coalesce(F.exists(a, lambda x: x != 0) & finite, F.lit(False))
 
 
 def unit(a: Column | str) -> Column:

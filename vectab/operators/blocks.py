@@ -77,7 +77,11 @@ def score_tiles(left: pa.Table, right: pa.Table, metric: str, exclude_same: bool
 
 
 def best_k(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k best per row, the earlier column on ties."""
+    """Row and column numbers of the k best per row, the earlier column on ties.
+
+    A score that is no finite number never wins a place.
+    """
+    scores = np.where(np.isfinite(scores), scores, -np.inf)
     if k == 1:
         columns = scores.argmax(axis=1)
         rows = np.arange(len(scores))

@@ -15,25 +15,30 @@ EXPORT_DROPS = ["hnsw", "embeddings", "state"]
 CORRUPT = "_corrupt_record"
 
 
-def guess_delimiter(spark: SparkSession, path: str, lines: int = 10) -> str:
-    """The delimiter whose field count over the first lines is steadiest."""
-    head = [r.value for r in spark.read.text(path).limit(lines).collect()]
-    best, best_key = ",", None
+def guess_delimiter(spark: SparkSession, path: str, multiline: bool = True) -> str:
+    """The delimiter under which the largest share of all records has as many fields as the header.
+
+    Every candidate reads the whole input. A header that none of them parts is one
+    column. When two do equally well the choice is the caller's: an error says so.
+    """
+    shares = {}
     for delimiter in DELIMITERS:
-        counts = [line.count(delimiter) + 1 for line in head if line.strip()]
-        if not counts or sum(counts) / len(counts) < 1.99:
-            continue
-        unsteady = sum(abs(b - a) for a, b in zip(counts, counts[1:]))
-        key = (unsteady, -sum(counts) / len(counts))
-        if best_key is None or key < best_key:
-            best, best_key = delimiter, key
-    return best
+        frame, names, _ = _csv_with_errors(spark, path, delimiter, multiline)
+        if len(names) > 1:
+            seen = frame.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(CORRUPT).isNull()).alias("fit")).first()
+            shares[delimiter] = seen["fit"] / seen["n"] if seen["n"] else 1.0
+    if not shares:
+        return DELIMITERS[0]
+    best = [d for d, share in shares.items() if share == max(shares.values())]
+    if len(best) > 1:
+        raise ValueError(f"{path}: {best} part the records equally well; name the delimiter")
+    return best[0]
 
 
 def _csv_with_errors(
     spark: SparkSession, path: str, delimiter: str | None, multiline: bool
 ) -> tuple[DataFrame, list[str], str]:
-    delimiter = delimiter or guess_delimiter(spark, path)
+    delimiter = delimiter or guess_delimiter(spark, path, multiline)
     reader = spark.read.options(
         header=True, sep=delimiter, quote='"', escape='"', multiLine=multiline,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
@@ -63,7 +68,7 @@ def csv_errors(
 ) -> DataFrame:
     """Rows with too few or too many fields: kind, expected and parsed counts, raw text."""
     frame, names, sep = _csv_with_errors(spark, path, delimiter, multiline)
-    bare = F.regexp_replace(F.col(CORRUPT), '"([^"]|"")*"', "")
+    bare = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")  # a doubled quote is two quoted parts side by side
     parsed = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
     return frame.filter(F.col(CORRUPT).isNotNull()).select(
         F.when(parsed < len(names), "TooFewFields").otherwise("TooManyFields").alias("kind"),
@@ -98,7 +103,7 @@ def read_json_array(
     """JSON files, plain or gzipped (named ``.gz``); each file is one table, told apart by ``table_name``.
 
     ``multiline=True`` reads one array per file (one task per file);
-    ``multiline=False`` reads JSON lines, which split. ``embeddings`` becomes a
+    ``multiline=False`` reads JSON lines; plain files split, gzipped ones are one task each. ``embeddings`` becomes a
     map of float vectors whatever its inferred shape.
     """
     reader = spark.read.option("multiLine", multiline)
