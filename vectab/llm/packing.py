@@ -9,6 +9,7 @@ looks its own pieces up.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ from ..plans.scaling import cut_lineage
 from .common import Recent, WordHasher, bound_batches
 
 CAPACITY = 2048
-CACHE_WORDS = 150_000
-GATHER = 8 << 20
+CACHE_WORDS = 120_000
+GATHER = 2 << 20
 _BYTES = np.arange(256)
 _LETTER = (_BYTES >= 97) & (_BYTES <= 122)
 _SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_LETTER
@@ -106,6 +107,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(path), Recent(CACHE_WORDS)
