@@ -14,6 +14,7 @@ from ..plans.scaling import cut_lineage
 
 TABLES, HASHES, PROBES = 6, 2, 2  # a vector lies in PROBES ** HASHES buckets of each table
 BLOCK = 1024
+PACK_ROWS = 8192  # rows a task compares at a time, on average
 BUCKET_ROWS = 256  # wanted vectors per bucket; more rows use more hashes per bucket name
 
 
@@ -114,56 +115,63 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     named = cut_lineage(named)
     spread = named.select("node", "width", F.explode("keys").alias("bucket"))
     sizes = spread.groupBy("bucket", "width").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    sizes = sizes.select("bucket", "width", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    sizes = cut_lineage(sizes.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")))
+    rows_placed = sizes.agg(F.sum(F.col("members") * F.col("blocks"))).first()[0] or 0
+    packs = max(1, -(-rows_placed // PACK_ROWS))  # a pack holds whole block pairs, many small or a few large ones
     placed = (
-        named.select("node", "n", "v", "width", F.explode("keys").alias("bucket")).join(sizes, ["bucket", "width"])
+        named.select("node", "n", "v", "width", "keys", F.explode("keys").alias("bucket"))
+        .join(sizes.drop("members"), ["bucket", "width"])
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "bucket", "width", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"),
             (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"),
-            "node", "n", "v",
+            "node", "n", "v", "keys",
         )
+        .withColumn("pack", F.pmod(F.xxhash64("bucket", "bi", "bj"), F.lit(packs)))
     )
 
     def link(group: pa.Table) -> pa.Table:
-        node, n = group["node"].to_numpy(), group["n"].to_numpy()
-        unit, bucket = unit_rows(group["v"]), group["bucket"][0].as_py()
-        a = np.flatnonzero(group["left"].to_numpy(zero_copy_only=False))
-        b = np.flatnonzero(group["right"].to_numpy(zero_copy_only=False))
-        i, j = np.nonzero(unit[a] @ unit[b].T >= least - 1e-9)
-        i, j = a[i], b[j]
-        if group["bi"][0] == group["bj"][0]:
-            i, j = i[i < j], j[i < j]
-        exact = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
-        i, j = i[exact], j[exact]
-        if len(i):  # of the buckets a pair shares, the one with the smallest name counts it
-            used = np.unique(np.concatenate([i, j]))
-            keys = np.zeros((len(node), tables * PROBES**hashes), dtype=np.int64)
-            keys[used] = bucket_keys(unit[used], tables, hashes)
-            mine = np.zeros(len(i), dtype=bool)
-            for low in range(0, len(i), 8192):
+        node, n, bucket = group["node"].to_numpy(), group["n"].to_numpy(), group["bucket"].to_numpy()
+        bi, bj = group["bi"].to_numpy(), group["bj"].to_numpy()
+        left, right = (group[c].to_numpy(zero_copy_only=False) for c in ("left", "right"))
+        unit = unit_rows(group["v"])
+        keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), tables, -1)
+        order = np.lexsort((bj, bi, bucket))
+        new = np.any([np.diff(c[order]) != 0 for c in (bucket, bi, bj)], axis=0)
+        links, roots = np.zeros(len(node), dtype=np.int64), np.argsort(np.argsort(node))
+        for own in np.split(order, np.flatnonzero(new) + 1):
+            a, b = own[left[own]], own[right[own]]
+            cosine = unit[a] @ unit[b].T
+            i, j = np.nonzero(cosine >= least - 1e-9)
+            if bi[own[0]] == bj[own[0]]:  # a block with itself: each pair once
+                i, j = i[a[i] < b[j]], j[a[i] < b[j]]
+            if not len(i):
+                continue
+            close = cosine[i, j] < least + 1e-9
+            i, j = a[i], b[j]
+            keep = ~close
+            keep[close] = np.einsum("ij,ij->i", unit[i[close]], unit[j[close]]) >= least
+            for low in range(0, len(i), 8192):  # of the buckets a pair shares, the one with the smallest name counts it
                 p, q = keys[i[low : low + 8192]], keys[j[low : low + 8192]]
-                shared = (p[:, :, None] == q[:, None, :]).any(axis=2)
-                mine[low : low + 8192] = np.where(shared, p, np.iinfo(np.int64).max).min(axis=1) == bucket
-            i, j = i[mine], j[mine]
-        links = np.bincount(i, weights=n[j], minlength=len(node)) + np.bincount(j, weights=n[i], minlength=len(node))
-        # each linked row names the smallest row it can reach in this block: a star instead of all pairs
-        root = np.argsort(np.argsort(node))
-        while True:
-            low = root.copy()
-            np.minimum.at(low, i, root[j])
-            np.minimum.at(low, j, root[i])
-            if (low == root).all():
-                break
-            root = low
+                shared = (p[:, :, :, None] == q[:, :, None, :]).any(axis=3)  # names of different tables differ
+                smallest = np.where(shared, p, np.iinfo(np.int64).max).min(axis=(1, 2))
+                keep[low : low + 8192] &= smallest == bucket[own[0]]
+            i, j = i[keep], j[keep]
+            np.add.at(links, i, n[j])
+            np.add.at(links, j, n[i])
+            # each linked row names the smallest row it can reach in this block: a star instead of all pairs
+            while len(i):
+                low = np.minimum(roots[i], roots[j])
+                if (low == roots[i]).all() and (low == roots[j]).all():
+                    break
+                np.minimum.at(roots, i, low)
+                np.minimum.at(roots, j, low)
         at = np.flatnonzero(links)
-        return pa.table({
-            "node": node[at], "links": links[at].astype(np.int64), "root": np.sort(node)[root[at]],
-        })
+        return pa.table({"node": node[at], "links": links[at], "root": np.sort(node)[roots[at]]})
 
     found = cut_lineage(
-        placed.groupBy("bucket", "width", "bi", "bj").applyInArrow(link, "node bigint, links bigint, root bigint")
+        placed.groupBy("pack", "width").applyInArrow(link, "node bigint, links bigint, root bigint")
     )
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.filter("node <> root").selectExpr("node AS u", "root AS v").distinct()
