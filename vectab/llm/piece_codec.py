@@ -100,13 +100,27 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(read_pieces(path))
 
 
+class Fits(dict):
+    """Whether the token of the low 20 bits may follow the one above them; after none (-1) each may."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__()
+        self.compatible = vocab.compatible
+
+    def __missing__(self, pair: int) -> bool:
+        before = pair >> 20
+        self[pair] = fits = before < 0 or self.compatible(before, pair & 0xFFFFF)
+        return fits
+
+
 class PieceCodec:
     """Encodes and decodes whole texts; the ids of a word are kept between texts."""
 
     def __init__(self, vocab: Vocabulary):
         import ahocorasick
 
-        self.vocab, self.words, self.pairs = vocab, Recent(CACHE_WORDS), {}
+        self.vocab, self.words, self.pairs = vocab, Recent(CACHE_WORDS), Fits(vocab)
+        self.sizes = [len(p) for p in vocab.pieces]
         self.automaton = ahocorasick.Automaton()
         for i in vocab.left:
             self.automaton.add_word(vocab.pieces[i], (i, len(vocab.pieces[i])))
@@ -121,32 +135,25 @@ class PieceCodec:
 
     def _table(self, text: str) -> list[int]:
         """Ids of a text by its prefix table; signs outside the vocabulary stand alone, as their bytes."""
-        n, pairs, compatible = len(text), self.pairs, self.vocab.compatible
+        n, pairs, sizes = len(text), self.pairs, self.sizes
         if len(pairs) > 300_000:
             pairs.clear()
-        last = [-1] * n  # token that ends the encoding of each prefix; -1: a sign without a token
+        # token that ends the encoding of each prefix; -1: a sign without a token, and, found at place -1, the start
+        last = [-1] * (n + 1)
         for end, (token, size) in self.automaton.iter(text):
-            before = end - size
-            if last[end] >= 0:
-                continue
-            if before >= 0 and last[before] >= 0:
-                pair = last[before] << 20 | token
-                fits = pairs.get(pair)
-                if fits is None:
-                    fits = pairs[pair] = compatible(last[before], token)
-                if not fits:
-                    continue
-            last[end] = token
-        out, at = [], n
-        while at:
-            token = last[at - 1]
+            if last[end] < 0 and pairs[last[end - size] << 20 | token]:
+                last[end] = token
+        out, at = [], n - 1
+        while at >= 0:
+            token = last[at]
             if token >= 0:
                 out.append(token)
-                at -= len(self.vocab.pieces[token])
+                at -= sizes[token]
             else:
-                at -= 1
                 out.extend(self.vocab.byte_ids[b] for b in reversed(text[at].encode("utf-8", "replace")))
-        return out[::-1]
+                at -= 1
+        out.reverse()
+        return out
 
     def _blanks(self, number: int) -> list[int]:
         """Ids of a run of blanks: all merges of it rank alike, so the leftmost possible one is next."""
@@ -176,7 +183,7 @@ class PieceCodec:
             ids = ids[1:]
         elif blanks:
             blanks -= 1
-        return self._blanks(blanks) + ids
+        return self._blanks(blanks) + ids if blanks else ids
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
