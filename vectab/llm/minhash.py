@@ -194,20 +194,46 @@ def _components(edges: DataFrame) -> DataFrame:
     return cut_lineage(connected_components(both.select(F.col("u").alias("node")).distinct(), both))
 
 
-def _proposals(rows: DataFrame, per_member: int, share: int) -> DataFrame:
+def _opened(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (bucket, band, node, comp) of buckets with several components, dealt to blocks.
+
+    Only pairs across components matter. The members of a bucket's largest component are
+    dealt to blocks of about ``BLOCK`` and never meet each other; the others are dealt to blocks
+    of their own, numbered first, and meet all blocks. ``upto`` is the last block a row meets. A
+    bucket of at most ``BLOCK`` members is one block.
+    """
+    placed = members.join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("comp"))
+    per_comp = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per_comp.groupBy("bucket").agg(
+        F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"),
+    ).filter(F.col("main.n") < F.col("total"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    one = F.col("total") <= BLOCK
+    sizes = sizes.select(
+        "bucket", F.col("main.comp").alias("main"),
+        F.when(one, 1).otherwise(blocks(F.col("total") - F.col("main.n"))).alias("others"),
+        F.when(one, 0).otherwise(blocks(F.col("main.n"))).alias("mains"),
+    )
+    spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    apart = (F.col("comp") == F.col("main")) & (F.col("mains") > 0)
+    return placed.join(sizes, "bucket").select(
+        "bucket", "band", "node", "comp",
+        F.when(apart, F.col("others") + spread(F.col("mains"))).otherwise(spread(F.col("others"))).alias("mine"),
+        F.when(apart, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1).alias("upto"),
+    )
+
+
+def _proposals(rows: DataFrame, sketches: DataFrame, per_member: int, share: int) -> DataFrame:
     """Pairs (u, v) of one bucket, in different components, that may be similar enough.
 
-    ``rows``: bucket, band, node, comp, sketch. Members are dealt to blocks of about
-    ``BLOCK``; a task sees two blocks, so no bucket is gathered whole. A pair is proposed by
-    the first band it shares only.
+    ``rows``: those of ``_opened``. A task sees two blocks, so no bucket is gathered whole;
+    sketches join the dealt rows last. A pair is proposed by the first band it shares only.
     """
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    placed = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("upto")))).select(
         "bucket", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"),
         (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"),
-        "band", "node", "comp", "sketch",
-    )
+        "band", "node", "comp",
+    ).join(sketches, "node")
     least = share / 100 - SLACK
 
     def run(group: pa.Table) -> pa.Table:
@@ -256,18 +282,14 @@ def resolved(docs: DataFrame, key: str, text: str, size: int, share: int) -> Dat
     members = shared.filter("size > 2").select("bucket", "band", "node")  # with two, the only pair is tried
     tried, comps, sketches = pairs, _components(links), None
     for per_member in PROPOSALS:
-        placed = members.join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("comp"))
-        several = (
-            placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        )
-        members = cut_lineage(placed.join(several, "bucket", "left_semi"))
+        opened = cut_lineage(_opened(members, comps))
+        members = opened.select("bucket", "band", "node")
         if members.isEmpty():
             break
         if sketches is None:
             of_node = named_rows.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi")
             sketches = cut_lineage(of_node.dropDuplicates(["node"]))
-        found = _proposals(members.join(sketches, "node"), per_member, share)
-        members = members.drop("comp")
+        found = _proposals(opened, sketches, per_member, share)
         fresh = cut_lineage(found.join(tried, ["u", "v"], "left_anti"))
         if fresh.isEmpty():
             continue
