@@ -170,8 +170,10 @@ def shingles(text, size):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def test_minhash_planted(spark):
+@pytest.mark.parametrize("block", [4, minhash.BLOCK])
+def test_minhash_planted(spark, monkeypatch, block):
     """A chain of near copies, copies of one text, and a crowd that shares a passage, against all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(400)]
     base = [rng.choice(vocab) for _ in range(120)]
