@@ -2,11 +2,15 @@
 
 An existing vocabulary with its scores says which pieces there are and weights the
 segmentations at first: merge scores are ranks, so by Zipf's law piece r has weight
-1 / (r + 1). One expectation step over the training words turns this prior into
+1 / (r + 1). One expectation step over the distinct training words turns this prior into
 piece probabilities; a forward recursion in log space then sums over all
 segmentations of a word. Pieces never cross a word's start, so a text's probability is the
 product over its words, times that of the end.
 
+Every word of the training texts is one more edge of its own lattice, from its start to its end,
+weighted by its count less a discount; the mass so set free is what the edges of pieces share.
+So the word statistics grow with the corpus, and new words are spelled in pieces.
+
 Work on words is done once per distinct word. Texts are cut into chunks of some
 megabytes; a chunk lists its distinct words once, its texts refer to them by number,
 and the joined values come back to the chunk. A word is in a chunk at most once, so
@@ -162,6 +166,17 @@ def widened(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
+def discounted(tokens: int, distinct: int, once: int, twice: int) -> tuple[float, float]:
+    """(what is taken off every count, the mass this sets free): absolute discounting, by the words met once and twice.
+
+    With nothing to train on all mass is free.
+    """
+    if not tokens:
+        return 0.0, 1.0
+    discount = min(0.99, max(0.01, (once + 0.5) / (once + 2 * twice + 1)))
+    return discount, discount * distinct / tokens
+
+
 def _listed(docs: DataFrame, key: str, text: str, fold: tuple[int, int]) -> DataFrame:
     """Texts and distinct words by chunk, in one table.
 
@@ -233,7 +248,7 @@ def score_texts(
     Rows whose crc32(key) modulo ``fold[0]`` is ``fold[1]`` are held out of all learning. Texts
     are lower-cased (A to Z) and cut into words; the end is one more token. ``base_score`` is the
     add-one word model, ``score`` the base-ten logarithm of the text's probability over all
-    segmentations into pieces. A null or empty text is its end alone. Null keys are trained on,
+    segmentations into pieces and whole training words. A null or empty text is its end alone. Null keys are trained on,
     repeated rows count and are returned each, an empty table gives an empty one, other columns are
     ignored, and texts are read whole. With nothing to train on the vocabulary's own scores decide.
     """
@@ -241,19 +256,22 @@ def score_texts(
     listed = cut_lineage(_listed(docs, key, text, fold))
     uses = listed.filter("word IS NOT NULL").select("chunk", "word", "number", "c")
     counts = cut_lineage(uses.groupBy("word").agg(F.sum("c").alias("c")))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"),
+        F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"),
+    ).first()
     train_tokens, distinct = int(total["n"]), int(total["v"])
+    discount, spelled = discounted(train_tokens, distinct, int(total["once"]), int(total["twice"]))
     lattice = Lattice(pieces)
     first = np.log(np.maximum(lattice.prior, 1e-300))
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(len(first))
         for batch in batches:
-            given = batch[batch.word != ""]
-            weight = given.c.to_numpy(dtype=np.float64)
-            for part, signs in _by_length(given.word.tolist()):
-                sums += lattice.expected(lattice.edges(signs), first, weight[part])
-            sums[lattice.end_id] += batch.c[batch.word == ""].sum()
+            # every word counts once: the pieces' share of its count is the discount, however often it was met
+            for part, signs in _by_length(batch.word[batch.word != ""].tolist()):
+                sums += lattice.expected(lattice.edges(signs), first, np.ones(len(part)))
+            sums[lattice.end_id] += (batch.word == "").sum()
         used = np.flatnonzero(sums)
         yield pd.DataFrame({"piece": used, "expected": sums[used]})
 
@@ -273,6 +291,11 @@ def score_texts(
             names = batch.word.tolist()
             for part, signs in _by_length([names[i] for i in spot]):
                 value[spot[part]] = lattice.forward(lattice.edges(signs), logp)[-1]
+            # the word as one edge beside the paths over pieces
+            counted = batch.c.to_numpy(dtype=np.float64)
+            with np.errstate(divide="ignore"):
+                whole = np.log(np.maximum(counted - discount, 0) / max(1, train_tokens))
+                value = np.logaddexp(whole, value + np.log(spelled))
             yield pd.DataFrame({"word": batch.word, "c": batch.c, "lp": value / LN10})
 
     weighed = cut_lineage(counts.mapInPandas(weigh, "word string, c bigint, lp double"))
