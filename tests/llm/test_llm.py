@@ -278,13 +278,16 @@ def test_bounded_loads_move_little():
                for a in range(len(owner)) if owner[a] != owner[5])
 
 
-def test_codec_as_library():
+def test_codec_as_library(monkeypatch):
     library, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceCodec(piece_codec.vocabulary(PIECES))
-    texts = strange(6, 3000) + [" " * k + w for k in range(40) for w in ("", "a", "日", "the", "=")]
-    for text in texts:
-        ids = codec.encode(text)
-        assert ids == library.encode(text), text
-        assert codec.decode(ids) == library.decode(ids), text
+    texts = strange(6, 3000) + [" " * k + w for k in range(40) for w in ("", "a", "日", "the", "=")] + [None, ""]
+    texts += [t.replace(" ", "") for t in strange(7, 500)] + [" ".join(strange(8, 300, "abc.,  \n"))]
+    for long in (piece_codec.LONG, 50):  # whole, and cut before runs of blanks
+        monkeypatch.setattr(piece_codec, "LONG", long)
+        ids = codec.encode(texts)
+        assert [i.tolist() for i in ids] == [library.encode(t or "") for t in texts]
+        assert codec.decode(ids) == [library.decode(i.tolist()) for i in ids]
+        assert codec.listed(ids) == [",".join(map(str, i.tolist())).encode() for i in ids]
 
 
 def test_lattice_sums_all_segmentations():

@@ -11,19 +11,21 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, bound_batches, temp_name
+from .common import Recent, WordHasher, bound_batches, mix64, temp_name
 
 SPACE = "▁"  # stands for a blank in the vocabulary
 CACHE_WORDS = 150_000
 NEVER = 1 << 60
+LONG = 1 << 20  # bytes taken at once
+_BORDER = re.compile(rb"[^ ](?= )")
 
 
 def read_pieces(path: str) -> list[tuple[str, float, int]]:
@@ -113,8 +115,59 @@ class Fits(dict):
         return fits
 
 
+class SegmentHasher(WordHasher):
+    """Cuts texts where no merge can pass, and hashes what lies between.
+
+    A segment begins at a run of blanks, at and after a line end, and between two signs that no
+    piece holds side by side: such a border stays whatever the merges do.
+    """
+
+    def __init__(self, pieces: list[str]):
+        super().__init__(lower=False)
+        self.joined = np.zeros((256, 256), dtype=bool)  # last byte of a sign, first byte of the next
+        for piece in pieces:
+            signs = [c.encode() for c in piece.replace(SPACE, " ")]
+            for a, b in zip(signs, signs[1:]):
+                self.joined[a[-1], b[0]] = True
+
+    def cut(self, raw: bytes, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and end of the segments of ``raw``, which holds texts that begin at ``heads``."""
+        data = np.frombuffer(raw, dtype=np.uint8)
+        n = len(data)
+        self._reach(n)
+        blank, line = data == 32, data == 10
+        begins = line.copy()
+        begins[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        begins[1:] |= ~self.joined[data[:-1], data[1:]] & ((data[1:] & 0xC0) != 0x80) & ~blank[1:]
+        begins[heads] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], n)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
+            value = mix64((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        return value, starts, ends
+
+
+class Runs:
+    """Byte strings, one after another, and any sequence of them joined by array operations."""
+
+    def __init__(self, runs: list[bytes], kind: str = "u1"):
+        self.flat = np.frombuffer(b"".join(runs), dtype=kind)
+        self.size = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) // self.flat.itemsize
+        self.begin = np.cumsum(self.size) - self.size
+
+    def joined(self, picks: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+        """The runs ``picks`` joined, cut in parts that begin at the places ``cuts`` (last: the end) of ``picks``."""
+        size = self.size[picks]
+        ends = np.cumsum(size)
+        whole = self.flat[np.repeat(self.begin[picks] - (ends - size), size) + np.arange(size.sum())]
+        bounds = np.concatenate([[0], ends])[cuts]
+        return [whole[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+
+
 class PieceCodec:
-    """Encodes and decodes whole texts; the ids of a word are kept between texts."""
+    """Encodes and decodes whole texts; the ids of a segment are kept between texts, by its hash."""
 
     def __init__(self, vocab: Vocabulary):
         import ahocorasick
@@ -125,13 +178,13 @@ class PieceCodec:
         for i in vocab.left:
             self.automaton.add_word(vocab.pieces[i], (i, len(vocab.pieces[i])))
         self.automaton.make_automaton()
-        self.segment = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+        self.hasher = SegmentHasher([vocab.pieces[i] for i in [*vocab.id.values(), *vocab.blank_runs.values()]])
         self.longest_run = max(vocab.blank_runs)
         kinds = {i: b for b, i in vocab.byte_ids.items()}
-        self.surface = [
+        self.surface = Runs([
             bytes([kinds[i]]) if i in kinds else p.replace(SPACE, " ").encode() for i, p in enumerate(vocab.pieces)
-        ]
-        self.names = [str(i) for i in range(len(vocab.pieces))]
+        ])
+        self.names = Runs([b"%d," % i for i in range(len(vocab.pieces))])
 
     def _table(self, text: str) -> list[int]:
         """Ids of a text by its prefix table; signs outside the vocabulary stand alone, as their bytes."""
@@ -185,18 +238,57 @@ class PieceCodec:
             blanks -= 1
         return self._blanks(blanks) + ids if blanks else ids
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        segments, words = self.segment.findall(SPACE + text.replace(" ", SPACE)), self.words
-        for segment in words.unknown(set(segments)):
-            words[segment] = self.word(segment)
-        return list(chain.from_iterable(map(words.__getitem__, segments)))
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids of this encoder: pieces joined, blanks restored, without the blank put first."""
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """Ids per text. Long texts are cut before a run of blanks first, so that arrays stay small."""
+        raws, heads = [], [0]
+        for text in texts:
+            raw = (" " + text.replace(SPACE, " ")).encode("utf-8", "replace") if text else b""
+            at = 0
+            while len(raw) - at > LONG and (border := _BORDER.search(raw, at + LONG)):
+                raws.append(raw[at : border.end()])
+                at = border.end()
+            raws.append(raw[at:] if at else raw)
+            heads.append(len(raws))
+        ids, low, size = [], 0, 0
+        for i, raw in enumerate(raws, 1):
+            size += len(raw)
+            if size >= LONG or i == len(raws):
+                ids.extend(self._group(raws[low:i]))
+                low, size = i, 0
+        return [ids[i] if j == i + 1 else np.concatenate(ids[i:j]) for i, j in zip(heads[:-1], heads[1:])]
+
+    def _group(self, raws: list[bytes]) -> list[np.ndarray]:
+        raw, bounds = b"".join(raws), np.cumsum([0, *map(len, raws)])
+        if not raw:
+            return [np.zeros(0, dtype="<i4")] * len(raws)
+        value, starts, ends = self.hasher.cut(raw, bounds[:-1][np.diff(bounds) > 0])
+        named, at, back = np.unique(value, return_index=True, return_inverse=True)
+        names, words = named.tolist(), self.words
+        fresh = set(words.unknown(set(names)))
+        for name, i, j in zip(names, starts[at].tolist(), ends[at].tolist()):
+            if name in fresh:
+                words[name] = np.array(self.word(raw[i:j].decode().replace(" ", SPACE)), dtype="<i4").tobytes()
+        return Runs([words[name] for name in names], "<i4").joined(back, np.searchsorted(starts, bounds))
+
+    def decode(self, ids: Sequence[np.ndarray]) -> list[str]:
+        """The texts of ids of this encoder: pieces joined, blanks restored, without the blank put first."""
+        texts = [raw.tobytes().decode("utf-8", "replace") for raw in self._all(self.surface, ids)]
+        return [text[1:] if text.startswith(" ") else text for text in texts]
+
+    def listed(self, ids: Sequence[np.ndarray]) -> list[bytes]:
+        """Decimal ids joined by commas, per text."""
+        return [raw[:-1].tobytes() for raw in self._all(self.names, ids)]
+
+    @staticmethod
+    def _all(runs: Runs, ids: Sequence[np.ndarray]) -> Iterator[np.ndarray]:
+        """Joined runs per text, for some texts at a time."""
+        held, size = [], 0
+        for i, own in enumerate(ids, 1):
+            held.append(own)
+            size += len(own)
+            if size >= LONG // 4 or i == len(ids):
+                yield from runs.joined(np.concatenate(held), np.cumsum([0, *map(len, held)]))
+                held, size = [], 0
 
 
 def codec_column(path: str, text: str = "text", keep: bool = True):
@@ -208,15 +300,16 @@ def codec_column(path: str, text: str = "text", keep: bool = True):
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = PieceCodec(vocab)
         for batch in batches:
-            rows = []
-            for t in batch:
-                ids = codec.encode(t)
-                decoded = codec.decode(ids)
-                rows.append((
-                    len(ids), hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest(),
-                    hashlib.sha256(decoded.encode()).hexdigest(), *((ids, decoded) if keep else ()),
-                ))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if keep else ())])
+            ids = codec.encode(batch.tolist())
+            decoded = codec.decode(ids)
+            out = pd.DataFrame({
+                "n_tokens": np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)),
+                "ids_sha256": [hashlib.sha256(names).hexdigest() for names in codec.listed(ids)],
+                "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
+            })
+            if keep:
+                out["ids"], out["decoded"] = pd.Series(ids, dtype=object), decoded
+            yield out
 
     return coded.asNondeterministic()(text)
 
