@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, langid, lattice, minhash, packing, pii, piece_codec, quality, sharding, token_count
+from . import embed_dedup, hard_negatives, langid, lattice, minhash, packing, pii, piece_codec, quality, sharding, token_count
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -64,6 +64,13 @@ def op10_lattice_score(spark: SparkSession, sf: str) -> DataFrame:
     return lattice.score_texts(_documents(spark, sf), piece_codec.read_pieces(public_tokenizers.path(PIECES)))
 
 
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 7 change to the next of the ten labels first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("label", moved)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +81,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_packing, op3_pii, op4_language, op5_minhash, op6_embedding_dedup, op7_token_count,
-        op8_sharding, op9_piece_codec, op10_lattice_score, pipeline,
+        op8_sharding, op9_piece_codec, op10_lattice_score, op13_hard_negatives, pipeline,
     )
 }
 
@@ -135,4 +142,19 @@ VECTORS_SQL = f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v F
       SELECT n.id AS vec_id, (SELECT count(*) FROM links WHERE u = n.id) AS n_links, c.component_id, n.id = c.component_id AS kept
       FROM nodes n JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY 1) c USING (id)"""
 
-SQL = {"op1_quality_rules": QUALITY_SQL, "op5_minhash": MINHASH_SQL, "op6_embedding_dedup": VECTORS_SQL}
+NEGATIVES_SQL = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s
+            FROM e a JOIN e b ON a.vec_id % 100 = 0 AND (a.vec_id <> b.vec_id OR a.label <> b.label)),
+      pos AS (SELECT a, b, s FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+      SELECT pos.a AS anchor_id, pos.b AS positive_id, (row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY n.s DESC, n.b))::INT AS rank,
+        n.b AS negative_id, pos.s AS positive_score, n.s AS negative_score
+      FROM pos JOIN p n ON n.a = pos.a AND NOT n.same AND 80 * pos.s <= 100 * n.s AND n.s <= pos.s
+      QUALIFY row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY n.s DESC, n.b) <= 5"""
+
+SQL = {
+    "op13_hard_negatives": NEGATIVES_SQL,
+    "op1_quality_rules": QUALITY_SQL, "op5_minhash": MINHASH_SQL, "op6_embedding_dedup": VECTORS_SQL,
+}
