@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, hard_negatives, langid, lattice, minhash, packing, pii, piece_codec, quality, sharding, token_count
+from . import (
+    embed_dedup, hard_negatives, langid, lattice, minhash, packing, pii, piece_codec, quality, sharding, token_count, whitening,
+)
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -64,6 +66,10 @@ def op10_lattice_score(spark: SparkSession, sf: str) -> DataFrame:
     return lattice.score_texts(_documents(spark, sf), piece_codec.read_pieces(public_tokenizers.path(PIECES)))
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose vec_id is divisible by 7 change to the next of the ten labels first."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -81,7 +87,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_packing, op3_pii, op4_language, op5_minhash, op6_embedding_dedup, op7_token_count,
-        op8_sharding, op9_piece_codec, op10_lattice_score, op13_hard_negatives, pipeline,
+        op8_sharding, op9_piece_codec, op10_lattice_score, op11_whitening, op13_hard_negatives, pipeline,
     )
 }
 
