@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    embed_dedup, hard_negatives, langid, lattice, minhash, packing, pii, piece_codec, quality, sharding, token_count, whitening,
+    embed_dedup, hard_negatives, html_extract, langid, lattice, minhash, packing, pii, piece_codec, quality, sharding, token_count, whitening,
 )
 
 WORD_BPE = "word_bpe_49k.json"
@@ -70,6 +70,10 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
+def op12_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract_text(spark.read.parquet(f"{sf}/pages.parquet"), html_extract.fit())
+
+
 def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose vec_id is divisible by 7 change to the next of the ten labels first."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -87,7 +91,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_packing, op3_pii, op4_language, op5_minhash, op6_embedding_dedup, op7_token_count,
-        op8_sharding, op9_piece_codec, op10_lattice_score, op11_whitening, op13_hard_negatives, pipeline,
+        op8_sharding, op9_piece_codec, op10_lattice_score, op11_whitening,
+        op12_html_extraction, op13_hard_negatives, pipeline,
     )
 }
 
