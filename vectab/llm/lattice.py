@@ -36,6 +36,7 @@ SPACE = "▁"
 CHUNK_BYTES = 32 << 20
 PRIOR_TOKENS = 1000.0  # what the vocabulary's own scores weigh, in tokens
 SLOTS = 1 << 22
+WORDS_AT_ONCE = 1 << 15
 LN10 = np.log(10.0)
 
 
@@ -156,6 +157,19 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.frombuffer(raw, dtype="<u4").reshape(len(part), n).astype(np.uint64)
 
 
+def gathered(frames: Iterator[pd.DataFrame], least: int = WORDS_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of ``least`` rows and more, but the last: array steps on few words are all overhead."""
+    held, size = [], 0
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= least:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
 def shortest(values: np.ndarray) -> bytes:
     """Non-negative numbers as bytes: their width, then the numbers in 1, 2 or 4 bytes each."""
     width = 1 if values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
@@ -267,7 +281,7 @@ def score_texts(
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(len(first))
-        for batch in batches:
+        for batch in gathered(batches):
             # every word counts once: the pieces' share of its count is the discount, however often it was met
             for part, signs in _by_length(batch.word[batch.word != ""].tolist()):
                 sums += lattice.expected(lattice.edges(signs), first, np.ones(len(part)))
@@ -285,7 +299,7 @@ def score_texts(
     logp = np.log(np.maximum(mass / mass.sum(), 1e-300))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in gathered(batches):
             value = np.full(len(batch), logp[lattice.end_id])
             spot = np.flatnonzero((batch.word != "").to_numpy())
             names = batch.word.tolist()
