@@ -21,7 +21,10 @@ FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 DAY_SIDES = (271, 270)  # the smallest near-square rectangle that holds DAYS
 
 # in order: the first that fits at a place is taken; long digit runs are eaten whole, so that no part of one is taken for a number
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+# an address starts where its run of signs does, or behind the last match; a domain has 253 signs at most. So every
+# sign is looked at a bounded number of times, and no group repeats, which would take one stack frame a turn.
+_LOCAL = r"[A-Za-z0-9._%+\-]"
+EMAIL = rf"(?:(?<!{_LOCAL}){_LOCAL}++|\G{_LOCAL}{{1,64}}+)@[A-Za-z0-9\-][A-Za-z0-9.\-]{{0,188}}\.[A-Za-z]{{2,63}}"
 SECRET = r"[0-9A-Fa-f]{32,}"
 PHONE = r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}[0-9]*"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9]*|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}[0-9]*"
