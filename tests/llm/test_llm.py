@@ -358,3 +358,27 @@ def test_permutations(spark):
     assert two.select(pii.permute_digits(F.col("d"), F.lit("k")).alias("p")).distinct().count() == 100
     days = spark.range(0, 73049, 7).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     assert days.select(pii._date(F.col("d"), F.lit("k")).alias("p")).filter("p IS NOT NULL").distinct().count() == days.count()
+
+
+def test_words_that_collide_under_powers_of_a_base():
+    word = "a"
+    while len(word) < 4096:  # Thue-Morse and its complement agree in every polynomial hash modulo 2**64
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"x {word} {other} x"]
+    encoder, library = packing.WordTokenizer(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    assert [m.tolist() for m in encoder(texts)] == [t.ids for t in library.encode_batch(texts, add_special_tokens=False)]
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    codec = piece_codec.PieceCodec(piece_codec.vocabulary(PIECES))
+    assert [list(map(int, i)) for i in codec.encode(texts)] == [pieces.encode(t) for t in texts]
+    words = quality.WordHasher(lower=True)(texts)
+    assert len(set(words.hash.tolist())) == 3
+
+
+def test_pii_long_texts_without_blanks(spark):
+    texts = ["x" * 1_000_000, "1a" * 200_000, "a@" + "b." * 100_000 + "com", "a@" * 100_000, "f" * 31 + "g" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r.doc_id: r.text for r in pii.pseudonymise(docs).collect()}
+    assert [out[i] for i in (0, 2, 3, 4)] == [texts[i] for i in (0, 2, 3, 4)] and len(out[1]) == len(texts[1])
+    docs = spark.createDataFrame([(1, "bob@site.com. +49 123 4567 8901bob@x.com, a@b.co.1 @b.com a@b")], "doc_id int, text string")
+    assert "bob" not in (text := pii.pseudonymise(docs).collect()[0].text) and text.count("@mail.invalid") == 3

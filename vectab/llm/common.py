@@ -40,45 +40,43 @@ class WordHasher:
     """Hashes all words of many texts with array operations only.
 
     Every byte becomes a fixed random 64-bit number (A to Z like a to z when
-    ``lower``); a word's hash is a polynomial of these modulo 2**64, taken from
-    prefix sums, so the cost does not depend on the number of words. With ``parts``, two
+    ``lower``) and every place in a word another one; a word's hash is the sum of their
+    products, taken from prefix sums, so the cost does not depend on the number of words. (Powers
+    of one base in place of the random factors give some long words the same hash whatever the base.) With ``parts``, two
     masks over bytes, a word also ends between a byte of the first and one of the second.
     """
 
-    BASE = 0x9E3779B97F4A7C15
-
     def __init__(self, lower: bool, parts: tuple[np.ndarray, np.ndarray] | None = None):
         self.parts = parts
         byte = np.arange(256, dtype=np.uint64)
         if lower:
             byte[65:91] += np.uint64(32)
         self.values = mix64(byte + np.uint64(1))
-        self.powers = self.inverse = np.ones(0, dtype=np.uint64)
+        self.factors = np.zeros(0, dtype=np.uint64)
 
-    def _reach(self, n: int) -> None:
-        if n <= len(self.powers):
-            return
-        n = max(n, 2 * SEGMENT)
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words from ``starts`` to ``ends``, in rising order and apart from each other."""
+        n = len(data)
+        if n > len(self.factors):
+            self.factors = mix64(np.arange(1 << 40, (1 << 40) + max(n, 2 * SEGMENT), dtype=np.uint64)) | np.uint64(1)
+        begin = np.zeros(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+        begin[starts] = starts
+        place = np.arange(n, dtype=begin.dtype) - np.maximum.accumulate(begin)
+        sums = np.zeros(n + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            for name, base in (("powers", self.BASE), ("inverse", pow(self.BASE, -1, 1 << 64))):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+            np.cumsum(self.values[data] * self.factors[place], out=sums[1:])
+            return mix64(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
 
     def _segment(self, raw: bytes) -> tuple[np.ndarray, ...]:
         """Hash, code points, start and end of the words of one segment."""
         data = np.frombuffer(raw, dtype=np.uint8)
         n = len(data)
-        self._reach(n)
         edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True, append=True))
         starts, ends = edge[::2], edge[1::2]
         if self.parts is not None:
             cut = np.flatnonzero(self.parts[0][data[:-1]] & self.parts[1][data[1:]]) + 1
             starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
-            value = mix64((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        value = self.hashes(data, starts, ends)
         heads = np.zeros(n + 1, dtype=np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
         return value, heads[ends] - heads[starts], starts, ends

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, WordHasher, bound_batches, mix64, temp_name
+from .common import Recent, WordHasher, bound_batches, temp_name
 
 SPACE = "▁"  # stands for a blank in the vocabulary
 CACHE_WORDS = 150_000
@@ -134,7 +134,6 @@ class SegmentHasher(WordHasher):
         """Hash, start and end of the segments of ``raw``, which holds texts that begin at ``heads``."""
         data = np.frombuffer(raw, dtype=np.uint8)
         n = len(data)
-        self._reach(n)
         blank, line = data == 32, data == 10
         begins = line.copy()
         begins[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
@@ -142,11 +141,7 @@ class SegmentHasher(WordHasher):
         begins[heads] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], n)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
-            value = mix64((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
-        return value, starts, ends
+        return self.hashes(data, starts, ends), starts, ends
 
 
 class Runs:
