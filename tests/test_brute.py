@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectab.operators import ann, density, hac, labels, search, stats
+from vectab.operators import ann, cells, density, hac, labels, search, stats
 from vectab.plans.cluster_map import cluster_map
 from vectab.plans.graph import connected_components
 from vectab.plans.scaling import global_row_number, running
@@ -164,7 +164,7 @@ def copies(n, seed):
 
 def test_joins_with_copies(spark, tmp_path, monkeypatch):
     a, b = copies(60, 2), copies(90, 5)
-    monkeypatch.setattr(ann, "PART_ROWS", 16)
+    monkeypatch.setattr(cells, "PART_ROWS", 16)
     left, right = frame(spark, a), frame(spark, b)
     sims = np.round((a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)), 12)
     want = dict(enumerate(sims.argmax(axis=1).tolist()))

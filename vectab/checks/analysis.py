@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import ann, density, hac, labels, projection, search, spatial, stats, table as ops
+from ..functions.vector import cosine, lit_vector, unit
+from ..operators import ann, cells, codes, density, hac, labels, projection, search, spatial, stats, table as ops
 from ..plans.cluster_map import cluster_map
 from ..plans.graph import greedy_independent_set
 from ..plans.scaling import cut_lineage, scratch_path
@@ -47,7 +49,7 @@ def _(spark, sf):
 @_q("topk_per_group", f"""WITH {SIM_SQL} SELECT vec_id, label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank
     FROM sig QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 5""")
 def _(spark, sf):
-    from ..functions.vector import cosine, lit_vector, round_sig2
+    from ..functions.vector import round_sig2
 
     q = lit_vector(query_vector(spark, sf))
     scored = vectors(spark, sf).select("vec_id", "label", cosine("embedding", q).alias("s")).select(
@@ -75,6 +77,55 @@ def _(spark, sf):
     return ann.search_ann(index, query_vector(spark, sf)).select("key", r6("score").alias("score"))
 
 
+# The table as it is now, for an index that was saved when a third of its rows had not come yet: some rows have gone
+# since, some have turned round.
+NOW_SQL = """now AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN vec_id % 5 = 0 THEN -x ELSE x END) AS v
+    FROM embeddings WHERE vec_id % 7 <> 3)"""
+
+
+def _followed(spark, sf):
+    rows = vectors(spark, sf).select("vec_id", "embedding")
+    path = scratch_path(spark, "index")
+    ann.ann_open(rows.filter("vec_id % 3 <> 0"), "vec_id", "embedding", path)
+    turned = F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    return ann.ann_open(rows.filter("vec_id % 7 <> 3").withColumn("embedding", turned), "vec_id", "embedding", path)
+
+
+@_q("ann_follow", f"WITH {NOW_SQL} SELECT vec_id AS key, round(list_cosine_similarity(v, {Q_SQL}), 6) AS score FROM now")
+def _(spark, sf):
+    query = query_vector(spark, sf)
+    return _followed(spark, sf).entries.select("key", r6(cosine("u", lit_vector(query))).alias("score"))
+
+
+@_q("ann_follow_search", f"""WITH {NOW_SQL} SELECT vec_id AS key, round(list_cosine_similarity(v, {Q_SQL}), 6) AS score FROM now
+    ORDER BY round(list_cosine_similarity(v, {Q_SQL}), 12) DESC, vec_id LIMIT 10""")
+def _(spark, sf):
+    return ann.search_ann(_followed(spark, sf), query_vector(spark, sf)).select("key", r6("score").alias("score"))
+
+
+# Given centres: the first rows, 4 coarse ones and 32 fine ones dealt to them.
+@_q("ann_cells_given", """WITH c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS p, embedding::DOUBLE[] AS v FROM embeddings QUALIFY p < 36),
+    top AS (SELECT vec_id, e.embedding::DOUBLE[] AS v, arg_max(p, list_cosine_similarity(e.embedding::DOUBLE[], c.v)) AS parent
+            FROM embeddings e JOIN c ON p < 4 GROUP BY 1, 2),
+    placed AS (SELECT vec_id, parent, arg_max(p, list_cosine_similarity(top.v, c.v)) AS cell, max(list_cosine_similarity(top.v, c.v)) AS s
+               FROM top JOIN c ON p >= 4 AND p % 4 = parent GROUP BY 1, 2)
+    SELECT parent::INT AS parent, cell::INT AS cell, count(*) AS n, round(max(acos(least(s, 1))) + 1e-6, 5) AS reach FROM placed GROUP BY 1, 2""")
+def _(spark, sf):
+    first = vectors(spark, sf).orderBy("vec_id").limit(36).select(unit("embedding").alias("u")).collect()
+    given = [[float(x) for x in r["u"]] for r in first]
+    fine = spark.createDataFrame([(p % 4, p, c) for p, c in enumerate(given) if p >= 4], "parent int, cell int, centre array<double>")
+    index = ann.ann_build(vectors(spark, sf), "vec_id", "embedding", centres=cells.Centres(np.array(given[:4]), fine))
+    return index.cells.select("parent", "cell", "n", F.round("reach", 5).alias("reach"))
+
+
+@_q("search_sbq_stored", SQL["search_sbq"])
+def _(spark, sf):
+    rows, path = vectors(spark, sf), scratch_path(spark, "codes")
+    codes.save_codes(rows, "vec_id", "embedding", *stats.sbq_fit(rows, "embedding"), path)
+    found = codes.search_codes(codes.load_codes(spark, path), query_vector(spark, sf))
+    return found.select(F.col("key").alias("vec_id"), "score")
+
+
 MATCH_OUT = MATCH_SQL + """
     SELECT doc_id, lang, round(s, 3) AS score, b2.item_id AS "bestMatch-item_id", b2.text AS "bestMatch-text"
     FROM best JOIN documents USING (doc_id) JOIN benchmark b2 ON b2.item_id = best.item_id"""
@@ -96,6 +147,11 @@ def _(spark, sf):
     return search_ann_compare(spark, sf)
 
 
+@_q("best_match_probe")  # a better row outside the four nearest cells may be missed
+def _(spark, sf):
+    return ann.compare_ann(*_sides(spark, sf), "doc_id", "v", "item_id", scratch_path(spark, "index"), n_probe=4)
+
+
 def search_ann_compare(spark, sf):
     return ann.compare_ann(*_sides(spark, sf), "doc_id", "v", "item_id", scratch_path(spark, "index"))
 

@@ -1,251 +1,401 @@
-"""Cell index over unit vectors: build, save, load, search and batch matching.
-
-Rows belong to the cell of their nearest centre. Each cell keeps the largest
-angle of its rows to the centre, so the triangle inequality on angles bounds
-what a cell can still offer to a query: the search visits the cells that can
-beat the current k-th score and no others. It is exact; the index only saves
-work. ``n_probe`` limits the visit to the nearest cells for those who accept
-misses.
+"""Cell index over unit vectors: build, keep in step with its table, search and batch matching.
+
+Rows belong to cells (see ``cells``). Each cell keeps the largest angle of its rows to the centre, so the
+triangle inequality on angles bounds what a cell can still offer to a query: the exact search visits the cells that
+can beat the current k-th score and no others. With ``n_probe`` only the nearest cells are visited, and
+batch matching then compares two-bit codes first and vectors of a short list after.
+
+A saved index is a log of immutable segments. Opening it compares the table's fingerprint with the saved one; rows that
+came, changed or went since become a new segment and a list of removed rows, and many of these are merged.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.quant import sbq_code, sbq_words
 from ..functions.vector import dot, lit_vector, nonzero, unit
 from ..plans.scaling import cut_lineage, salted_join
-from .blocks import SCORE_DIGITS, best_k, kernel, matrix, rank_best, run_blocks
+from ..sources.segments import SegmentLog
+from .blocks import SCORE_DIGITS, TILE, best_k, emit, kernel, matrix, rank_best, run_blocks
+from .cells import SLACK, Centres, crowd, fit_centres, place_rows
 from .search import attach_matches
+from .stats import sbq_fit
 
-PART_ROWS = 16384
-SLACK = 1e-6  # widens angle bounds, so that rounding never hides a row
-MAX_CENTRE_VALUES = 16_000_000  # numbers in the centre matrix that tasks may hold
+MAX_SEGMENTS = 8  # more are merged into one
+REMOVED_SHARE = 0.25  # so are segments of which a larger share has been removed
+REFIT_GROWTH = 4  # centres are fitted anew for a table that has grown this much since
+SHORTLIST = 64  # rows per left row whose vectors are compared after the codes
 
 
 @dataclass
 class CellIndex:
-    """``entries``: key, u (unit vector), cell, part. ``cells``: cell, n, parts, reach. ``centres``: unit rows."""
+    """``entries``: key, h (hash of key and vector), u (unit vector), code, parent, cell. ``cells``: parent, cell, n,
+    reach. ``parents``: parent, reach. ``mean`` and ``std`` are those of the codes, ``state`` what is saved."""
 
     entries: DataFrame
     cells: DataFrame
-    centres: np.ndarray
+    parents: DataFrame
+    centres: Centres
+    mean: list[float]
+    std: list[float]
+    state: dict
 
 
-def ann_build(table: DataFrame, key: str, vector: str, n_cells: int | None = None, seed: int = 42) -> CellIndex:
-    """Fit centres, assign every row to the nearest, measure each cell's reach.
+def keyed_rows(table: DataFrame, key: str, vector: str) -> DataFrame:
+    """The rows an index holds: key, h, u. Rows without a direction are left out."""
+    wide = F.col(vector).cast("array<double>")
+    return table.filter(nonzero(vector)).select(F.col(key).alias("key"), F.xxhash64(key, wide).alias("h"), unit(vector).alias("u"))
 
-    The number of cells is sqrt(rows) unless given, and bounded so that the
-    centre matrix stays small enough to hand to every task. Centres are fitted
-    on at most 256 rows per cell: they only steer the search, and every row is
-    then assigned and measured.
-    """
-    rows = cut_lineage(
-        table.filter(nonzero(vector)).select(F.col(key).alias("key"), unit(vector).alias("u"))
-    )
-    n = rows.count()
-    if n == 0:
-        raise ValueError("no rows with a vector to index")
-    dims = rows.select(F.size("u").alias("d")).first()["d"]
-    wanted = n_cells or max(1, round(math.sqrt(n)))
-    wanted = max(1, min(wanted, n, MAX_CENTRE_VALUES // dims))
-    share = min(1.0, 256.0 * wanted / n)
-    fit_rows = (rows if share >= 1.0 else rows.sample(share, seed)).select(array_to_vector("u").alias("features"))
-    model = KMeans(k=wanted, seed=seed, maxIter=10).fit(fit_rows)
-    raw = np.array(model.clusterCenters())
-    size = np.linalg.norm(raw, axis=1, keepdims=True)
-    centres = np.divide(raw, size, out=np.zeros_like(raw), where=size > 0)
-    return _assign(rows, centres)
-
-
-def _assign(rows: DataFrame, centres: np.ndarray) -> CellIndex:
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(centres)
-    types = rows.select("key", "u").schema
-    out = T.StructType([*types.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(out)
+def fingerprint(rows: DataFrame) -> tuple[int, str]:
+    """Row count and sum of the row hashes: equal for equal rows in any order, one pass without a shuffle."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s")).first()
+    return found["n"], str(found["s"] or 0)
 
-    def nearest(batches):
-        c = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = pa.Table.from_batches([batch])
-            scores = matrix(part["u"]) @ c.T
-            cell = scores.argmax(axis=1)
-            top = np.clip(scores[np.arange(len(cell)), cell], -1, 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("u"), pa.array(cell, pa.int32()), pa.array(np.arccos(top))],
-                schema=arrow,
-            )
-
-    placed = cut_lineage(rows.select("key", "u").mapInArrow(nearest, out))
-    cells = cut_lineage(
-        placed.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), (F.max("angle") + F.lit(SLACK)).alias("reach")
-        ).withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
-    )
-    parts = salted_join(placed, cells.select("cell", "parts"), ["cell"], spread="key")
-    entries = parts.select(
-        "key", "u", "cell", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part")
-    )
-    return CellIndex(entries, cells, centres)
 
+def coded(rows: DataFrame, mean: list[float], std: list[float], vector: str = "u", name: str = "code") -> DataFrame:
+    return rows.withColumn(name, sbq_words(sbq_code(vector, mean, std), len(mean)))
 
-def ann_save(index: CellIndex, path: str) -> None:
-    """Write the index; entries are laid out by cell, a crowded cell in several files."""
-    index.entries.repartition("cell", "part").write.partitionBy("cell").parquet(f"{path}/entries")
-    index.cells.write.parquet(f"{path}/cells")
-    spark = index.entries.sparkSession
-    rows = [(i, [float(v) for v in c]) for i, c in enumerate(index.centres)]
-    spark.createDataFrame(rows, "cell int, centre array<double>").write.parquet(f"{path}/centres")
 
+def ann_build(
+    table: DataFrame, key: str, vector: str, n_cells: int | None = None, seed: int = 42, centres: Centres | None = None,
+) -> CellIndex:
+    """Fit centres unless given, place every row, measure each cell's reach.
 
-def ann_exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/centres/_SUCCESS")
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    The number of cells is sqrt(rows) unless given; a few more or less come out, as every coarse centre
+    gets equally many. The fit looks at a bounded number of rows per centre.
+    """
+    rows = cut_lineage(keyed_rows(table, key, vector))
+    n, total = fingerprint(rows)
+    if n == 0:
+        raise ValueError("no rows with a vector to index")
+    dims = rows.select(F.size("u").alias("d")).first()["d"]
+    if centres is None:
+        centres = fit_centres(rows, n, dims, min(n, n_cells or max(1, round(math.sqrt(n)))), seed)
+    mean, std = sbq_fit(rows, "u")
+    entries, cells, parents = place_rows(coded(rows, mean, std), centres)
+    state = {"rows": n, "hashes": total, "fit_rows": n, "dims": dims, "source": None, "key": rows.schema["key"].dataType.simpleString()}
+    return CellIndex(entries, cells, parents, centres, mean, std, state)
+
+
+def _segment(log: SegmentLog, entries: DataFrame, cells: DataFrame, parents: DataFrame) -> dict:
+    """Write the folders of a segment; the rows lie by parent, in the order of their cells."""
+    laid = entries.select("key", "h", "u", "code", "cell", "parent")
+    laid = laid.repartition("parent", F.pmod(F.col("cell"), F.lit(8))).sortWithinPartitions("parent", "cell")
+    return {
+        "entries": log.write(laid, "parent"), "cells": log.write(cells.select("parent", "cell", "n", "reach").coalesce(1)),
+        "parents": log.write(parents.select("parent", "reach").coalesce(1)), "rows": cells.agg(F.sum("n")).first()[0] or 0,
+    }
+
+
+def ann_save(index: CellIndex, path: str) -> int:
+    """Write the index as a new version of the log at ``path``; its number."""
+    spark = index.entries.sparkSession
+    log = SegmentLog(spark, path)
+    coarse = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(index.centres.coarse)], "parent int, centre array<double>")
+    return log.commit({
+        **index.state, "mean": index.mean, "std": index.std, "coarse": log.write(coarse.coalesce(1)),
+        "fine": log.write(index.centres.fine.select("parent", "cell", "centre")),
+        "segments": [_segment(log, index.entries, index.cells, index.parents)], "removed": [],
+    })
 
 
-def ann_load(spark: SparkSession, path: str) -> CellIndex:
-    """Read a saved index; the centre matrix is bounded when it is built."""
-    centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+def ann_exists(spark: SparkSession, path: str) -> bool:
+    return bool(SegmentLog(spark, path).versions())
+
+
+def ann_load(spark: SparkSession, path: str, version: int | None = None) -> CellIndex:
+    """A saved index as it was at a version, by default the last one: all segments less the rows removed after them."""
+    log = SegmentLog(spark, path)
+    state = log.read(version)
+    if state is None:
+        raise ValueError(f"no index at {path}")
+    kind, live, removed = state["key"], [], state["removed"]
+    for number, segment in enumerate(state["segments"]):
+        part = log.data(segment["entries"], f"key {kind}, h bigint, u array<double>, code array<bigint>, cell int, parent int")
+        later = [log.data(r["keys"], f"key {kind}, h bigint").select(F.col("key").alias("gone"), F.col("h").alias("gone_h"))
+                 for r in removed if r["before"] > number]
+        if later:
+            gone = reduce(DataFrame.union, later)
+            part = part.join(gone, F.col("key").eqNullSafe(F.col("gone")) & (F.col("h") == F.col("gone_h")), "left_anti")
+        live.append(part)
+
+    def measured(name: str, by: list[str], schema: str, *sums: Column) -> DataFrame:
+        parts = [log.data(s[name], schema) for s in state["segments"]]
+        if len(parts) == 1:
+            return parts[0]
+        # removed rows are still counted: a reach may be too wide, never too narrow
+        return cut_lineage(reduce(DataFrame.union, parts).groupBy(*by).agg(*sums, F.max("reach").alias("reach")))
+
+    top = log.data(state["coarse"], "parent int, centre array<double>").orderBy("parent").collect()  # bounded by the fit
     return CellIndex(
-        spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/cells"),
-        np.array([r.centre for r in centres]),
+        reduce(DataFrame.union, live),
+        measured("cells", ["parent", "cell"], "parent int, cell int, n bigint, reach double", F.sum("n").alias("n")),
+        measured("parents", ["parent"], "parent int, reach double"),
+        Centres(np.array([r["centre"] for r in top]), log.data(state["fine"], "parent int, cell int, centre array<double>")),
+        state["mean"], state["std"], state,
     )
 
 
-def ann_open(table: DataFrame, key: str, vector: str, path: str) -> CellIndex:
-    """The saved index, built and saved first when there is none."""
+def ann_open(table: DataFrame, key: str, vector: str, path: str, source: str | None = None, n_cells: int | None = None) -> CellIndex:
+    """The saved index, brought in step with the table first; built when there is none.
+
+    ``source`` may name the table's state, such as its folder and version; an index saved under the same name is
+    taken without a look at the table. Otherwise one pass takes the table's fingerprint, and only if it differs keys and hashes
+    of both sides are compared: new and changed rows are placed into the existing cells as a
+    new segment, changed and deleted ones are listed as removed. A table that has grown ``REFIT_GROWTH`` times
+    since its centres were fitted, or whose vectors have another dimension, is indexed anew.
+    """
     spark = table.sparkSession
-    if not ann_exists(spark, path):
-        ann_save(ann_build(table, key, vector), path)
+    log = SegmentLog(spark, path)
+    state = log.read()
+    if state is not None and source is not None and state["source"] == source:
+        return ann_load(spark, path)
+    rows = keyed_rows(table, key, vector)
+    n, total = fingerprint(rows)
+    kind = rows.schema["key"].dataType.simpleString()
+    if state is not None and (state["rows"], state["hashes"], state["key"]) == (n, total, kind):
+        if state["source"] != source:
+            log.commit({**state, "source": source})
+        return ann_load(spark, path)
+    if n == 0 and state is None:
+        raise ValueError("no rows with a vector to index")
+    widths = rows.agg(F.max(F.size("u")).alias("w")).first()["w"]
+    stale = state is None or state["key"] != kind or n > REFIT_GROWTH * state["fit_rows"] or (n and widths != state["dims"])
+    if stale:
+        index = ann_build(table, key, vector, n_cells)
+        index.state["source"] = source
+        ann_save(index, path)
+        return ann_load(spark, path)
+    state = {**state, **_changes(log, ann_load(spark, path), rows), "rows": n, "hashes": total, "source": source}
+    log.commit(state)
+    held, gone = (sum(x["rows"] for x in state[name]) for name in ("segments", "removed"))
+    if len(state["segments"]) > MAX_SEGMENTS or gone > REMOVED_SHARE * held:
+        ann_compact(spark, path)
     return ann_load(spark, path)
 
 
+def _changes(log: SegmentLog, index: CellIndex, rows: DataFrame) -> dict:
+    """Segments and removals of the state that follows: keys and hashes alone tell what has changed."""
+    state = index.state
+    now = rows.groupBy("key", "h").agg(F.count(F.lit(1)).alias("now"))
+    was = index.entries.groupBy("key", "h").agg(F.count(F.lit(1)).alias("was")).withColumnsRenamed({"key": "old", "h": "old_h"})
+    both = now.join(was, F.col("key").eqNullSafe(F.col("old")) & (F.col("h") == F.col("old_h")), "full_outer")
+    diff = cut_lineage(both.filter(~F.col("now").eqNullSafe(F.col("was"))))
+    gone = diff.filter("was IS NOT NULL").select(F.col("old").alias("key"), F.col("old_h").alias("h"), "was")
+    wanted = diff.filter("now IS NOT NULL").select(F.col("key").alias("new"), F.col("h").alias("new_h"))
+    fresh = rows.join(wanted, F.col("key").eqNullSafe(F.col("new")) & (F.col("h") == F.col("new_h")), "left_semi")
+    segments, removed = list(state["segments"]), list(state["removed"])
+    n_gone = gone.agg(F.sum("was")).first()[0]
+    if n_gone:
+        removed.append({"keys": log.write(gone.select("key", "h")), "before": len(segments), "rows": n_gone})
+    if not wanted.isEmpty():
+        segments.append(_segment(log, *place_rows(coded(fresh, index.mean, index.std), index.centres)))
+    return {"segments": segments, "removed": removed}
+
+
+def ann_compact(spark: SparkSession, path: str) -> int:
+    """Merge all live rows into one segment, under the same centres, as a new version; its number."""
+    log, index = SegmentLog(spark, path), ann_load(spark, path)
+    placed = place_rows(index.entries.select("key", "h", "u", "code"), index.centres)
+    return log.commit({**index.state, "segments": [_segment(log, *placed)], "removed": []})
+
+
 def search_ann(
     index: CellIndex, query: Sequence[float], k: int = 10, n_probe: int = 4, exact: bool = True
 ) -> DataFrame:
     """(key, score) of the k rows most similar to the query.
 
     The nearest cells give a first k-th score; then only cells that can beat it
-    are read. The cell filter prunes the partitions of a saved index.
+    are read. The cells' parents prune the folders of a saved index.
     """
     q = np.asarray(query, dtype=np.float64)
     size = np.linalg.norm(q)
     if size == 0:
         raise ValueError("the query vector has length zero")
-    angles = np.arccos(np.clip(index.centres @ (q / size), -1, 1))
-    reach = np.full(len(angles), -1.0)
-    for r in index.cells.select("cell", "reach").collect():  # one row per cell, bounded at build
-        reach[r["cell"]] = r["reach"]
-    filled = [int(c) for c in np.argsort(angles, kind="stable") if reach[c] >= 0]
-    score = F.round(dot("u", lit_vector(q / size)), SCORE_DIGITS)
-
-    def best(cells: list[int]) -> DataFrame:
-        return (
-            index.entries.filter(F.col("cell").isin(cells)).select("key", score.alias("score"))
-            .orderBy(F.col("score").desc(), "key").limit(k)
-        )
+    direction = lit_vector(q / size)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("centre", direction))))
+    cells = index.cells.join(index.centres.fine, ["parent", "cell"]).select("parent", "cell", "reach", angle.alias("angle"))
+    score = F.round(dot("u", direction), SCORE_DIGITS)
+
+    def best(entries: DataFrame) -> DataFrame:
+        return entries.select("key", score.alias("score")).orderBy(F.col("score").desc(), "key").limit(k)
 
-    first = filled[:n_probe]
+    near = cells.orderBy("angle", "cell").limit(n_probe).collect()
+    first = best(index.entries.filter(
+        F.col("parent").isin([r["parent"] for r in near]) & F.col("cell").isin([r["cell"] for r in near])))
     if not exact:
-        return best(first)
-    found = best(first).collect()  # at most k rows
+        return first
+    found = first.collect()  # at most k rows
     if len(found) < k:
-        return best(filled)
+        return best(index.entries)
     bound = math.acos(max(-1.0, min(1.0, found[-1]["score"]))) + SLACK
-    return best([c for c in filled if angles[c] - reach[c] <= bound])
+    open_cells = cells.filter(F.col("angle") - F.col("reach") <= bound).select("parent", "cell")
+    return best(index.entries.join(open_cells, ["parent", "cell"], "left_semi"))
 
 
-def match_ann(left: DataFrame, index: CellIndex, key: str, vector: str) -> DataFrame:
+def _doors(index: CellIndex, rows: DataFrame, most: int | None) -> DataFrame:
+    """Parents that each row (l_key, l_vec, maybe score) has to enter: the ``most`` nearest, or all that can beat its score."""
+    reach = np.full(len(index.centres.coarse), -np.inf)
+    for r in index.parents.collect():  # one row per coarse centre, bounded by the fit
+        reach[r["parent"]] = r["reach"]
+    shared = rows.sparkSession.sparkContext.broadcast((index.centres.coarse, reach))
+    out = T.StructType([*rows.schema.fields, T.StructField("parent", T.IntegerType())])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coarse, reach = shared.value
+        for batch in batches:
+            step = max(1, TILE // len(coarse))
+            for part in (batch.slice(low, step) for low in range(0, batch.num_rows, step)):
+                table = pa.Table.from_batches([part])
+                angles = np.arccos(np.clip(matrix(table["l_vec"]) @ coarse.T, -1, 1))
+                angles[:, np.isinf(reach)] = np.inf
+                if most is None:
+                    bound = np.arccos(np.clip(table["score"].to_numpy(), -1, 1)) + SLACK
+                    i, parent = np.nonzero(angles - reach <= bound[:, None])
+                else:
+                    i, parent = best_k(-angles, most)
+                at = pa.array(i)
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns), pa.array(parent, pa.int32())], schema=arrow)
+
+    return rows.mapInArrow(run, out)
+
+
+def _visits(index: CellIndex, rows: DataFrame, most: int | None) -> DataFrame:
+    """Cells that each row has to visit: its ``most`` nearest, or all that can beat its score. Adds parent, cell, away."""
+    at_doors = cut_lineage(_doors(index, rows, most))
+    load = at_doors.groupBy("parent").agg(crowd(F.count(F.lit(1))).alias("shares"))
+    lefts = salted_join(at_doors, load, ["parent"], spread="l_key").withColumn(
+        "share", F.pmod(F.xxhash64("l_key"), F.col("shares")).cast("int")).drop("shares")
+    cells = index.cells.join(index.centres.fine, ["parent", "cell"]).join(load, "parent")
+    rights = cells.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("parent", "share", "cell", "centre", "reach")
+    out = T.StructType([*lefts.drop("share").schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+    arrow = to_arrow_schema(out)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return arrow.empty_table()
+        right = right.sort_by("cell")
+        centres, reach, vectors = matrix(right["centre"]), right["reach"].to_numpy(), matrix(left["l_vec"])
+        step, parts = max(1, TILE // len(centres)), []
+        for low in range(0, len(vectors), step):
+            angles = np.arccos(np.clip(vectors[low:low + step] @ centres.T, -1, 1))
+            if most is None:
+                bound = np.arccos(np.clip(left["score"].to_numpy()[low:low + step], -1, 1)) + SLACK
+                i, j = np.nonzero(angles - reach <= bound[:, None])
+            else:
+                i, j = best_k(-angles, most)
+            parts.append((i + low, j, angles[i, j]))
+        i, j, away = (np.concatenate(p) for p in zip(*parts))
+        kept = left.drop(["share"]).take(pa.array(i))
+        return pa.table([*kept.columns, right["cell"].combine_chunks().take(pa.array(j)), pa.array(away)], schema=arrow)
+
+    found = lefts.groupBy("parent", "share").cogroup(rights.groupBy("parent", "share")).applyInArrow(run, out)
+    if most is None:
+        return found
+    nearest = Window.partitionBy("l_key").orderBy("away", "cell")
+    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= most).drop("rank")
+
+
+def _against(index: CellIndex, visits: DataFrame, left: str, right: str, run: Callable, out: T.StructType) -> DataFrame:
+    """``run`` on the visitors and rows of each cell. Both sides of a cell are cut: rows into parts, visitors into shares."""
+    load = visits.groupBy("cell").agg(crowd(F.count(F.lit(1))).alias("shares"))
+    plan = index.cells.select("cell", crowd("n").alias("parts")).join(load, "cell")
+    lefts = (
+        salted_join(visits.select("l_key", left, "cell"), plan, ["cell"], spread="l_key")
+        .withColumn("share", F.pmod(F.xxhash64("l_key"), F.col("shares")).cast("int"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("l_key", left, "cell", "part", "share")
+    )
+    rows = index.entries.select(F.col("key").alias("r_key"), F.col(right).alias(f"r{left[1:]}"), "cell")
+    rights = (
+        salted_join(rows, plan, ["cell"], spread="r_key")
+        .withColumn("part", F.pmod(F.xxhash64("r_key"), F.col("parts")).cast("int"))
+        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        .select("r_key", f"r{left[1:]}", "cell", "part", "share")
+    )
+    return run_blocks(lefts, rights, ["cell", "part", "share"], run, out)
+
+
+def code_kernel(l_type: T.DataType, r_type: T.DataType, k: int) -> tuple[Callable, T.StructType]:
+    """The k rows of a block whose codes differ least from each left code; score = -distance, ties by smaller key."""
+    out = T.StructType([
+        T.StructField("l_key", l_type), T.StructField("r_key", r_type), T.StructField("score", T.DoubleType()),
+    ])
+    arrow = to_arrow_schema(out)
+
+    def words(column: pa.ChunkedArray) -> np.ndarray:
+        lists = column.combine_chunks()
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return arrow.empty_table()
+        right = right.sort_by("r_key")
+        a, b = words(left["l_code"]), words(right["r_code"])
+        step, pieces = max(1, TILE // len(b)), []
+        for low in range(0, len(a), step):
+            part = a[low:low + step]
+            far = sum(np.bitwise_count(part[:, w, None] ^ b[None, :, w]).astype(np.float32) for w in range(a.shape[1]))
+            i, j = best_k(-far, k)
+            pieces.append((i + low, j, -far[i, j].astype(np.float64)))
+        return emit(left, right, pieces, arrow)
+
+    return run, out
+
+
+def match_ann(
+    left: DataFrame, index: CellIndex, key: str, vector: str, n_probe: int | None = None, shortlist: int = SHORTLIST
+) -> DataFrame:
     """For each left row its most similar indexed row: (key, hit_key, _raw).
 
-    Round one compares a row with its nearest filled cell and so gets a bound;
-    round two visits the cells that can still beat it.
+    Exact without ``n_probe``: round one compares a row with its nearest filled cell and so gets a bound;
+    round two visits the cells that can still beat it. With ``n_probe`` each row visits that many cells; there
+    only keys and codes are read, and the vectors of its ``shortlist`` best codes are compared after, so
+    the work per row is bounded and a better row elsewhere may be missed.
     """
-    spark = left.sparkSession
-    cells = index.cells
-    live = cells.select("cell", "reach").collect()
-    reach = np.full(len(index.centres), -1.0)
-    for r in live:
-        reach[r["cell"]] = r["reach"]
-    shared = spark.sparkContext.broadcast((index.centres, reach))
     rows = cut_lineage(
         left.filter(nonzero(vector)).select(F.col(key).alias("l_key"), unit(vector).alias("l_vec"))
     )
     key_type, hit_type = rows.schema["l_key"].dataType, index.entries.schema["key"].dataType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = T.StructType([*rows.select("l_key", "l_vec").schema.fields, T.StructField("cell", T.IntegerType())])
-    arrow = to_arrow_schema(out)
-
-    def visit(batches):
-        """Cells to visit: the nearest one, or with a bound all that can beat it, but the nearest."""
-        c, r = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = pa.Table.from_batches([batch])
-            angles = np.arccos(np.clip(matrix(part["l_vec"]) @ c.T, -1, 1))
-            angles[:, r < 0] = np.inf
-            nearest = angles.argmin(axis=1)
-            if "score" in part.column_names:
-                bound = np.arccos(np.clip(part["score"].to_numpy(), -1, 1)) + SLACK
-                wanted = angles - r[None, :] <= bound[:, None]
-                wanted[np.arange(len(nearest)), nearest] = False
-                i, cell = np.nonzero(wanted)
-            else:
-                i, cell = np.arange(len(nearest)), nearest
-            if len(i):
-                at = pa.array(i)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("l_key").take(at), batch.column("l_vec").take(at), pa.array(cell, pa.int32())],
-                    schema=arrow,
-                )
-
-    run, hit_schema = kernel(key_type, hit_type, lambda s: best_k(s, 1), "dot", False)
-    rights = index.entries.select(F.col("key").alias("r_key"), F.col("u").alias("r_vec"), "cell", "part")
-
-    def against(visits: DataFrame) -> DataFrame:
-        # Both sides of a cell are cut: the index into its parts, the visitors by their number.
-        load = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("shares"))
-        plan = cells.select("cell", "parts").join(load, "cell")
-        lefts = (
-            salted_join(visits, plan, ["cell"], spread="l_key")
-            .withColumn("share", F.pmod(F.xxhash64("l_key"), F.col("shares")).cast("int"))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("l_key", "l_vec", "cell", "part", "share")
-        )
-        targets = (
-            salted_join(rights, plan, ["cell"], spread="r_key")
-            .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-            .select("r_key", "r_vec", "cell", "part", "share")
-        )
-        return run_blocks(lefts, targets, ["cell", "part", "share"], run, hit_schema)
-
-    first = cut_lineage(rank_best(against(cut_lineage(rows.mapInArrow(visit, out))), 1).drop("rank"))
-    bounded = rows.join(first.select("l_key", "score"), "l_key")
-    more = cut_lineage(bounded.mapInArrow(visit, out))
-    second = first.unionByName(against(more)) if not more.isEmpty() else first
-    return rank_best(second, 1).select(
+    if n_probe is None:
+        exact = kernel(key_type, hit_type, lambda s: best_k(s, 1), "dot", False)
+        first = cut_lineage(_visits(index, rows, 1))
+        known = cut_lineage(rank_best(_against(index, first, "l_vec", "u", *exact), 1).drop("rank"))
+        more = _visits(index, rows.join(known.select("l_key", "score"), "l_key"), None)
+        seen = first.select(F.col("l_key").alias("seen"), F.col("cell").alias("seen_cell"))
+        more = cut_lineage(more.join(seen, (F.col("l_key") == F.col("seen")) & (F.col("cell") == F.col("seen_cell")), "left_anti"))
+        hits = known.unionByName(_against(index, more, "l_vec", "u", *exact)) if not more.isEmpty() else known
+    else:
+        asked = coded(rows, index.mean, index.std, "l_vec", "l_code")
+        visits = cut_lineage(_visits(index, asked, n_probe).drop("l_vec"))
+        codes = _against(index, visits, "l_code", "code", *code_kernel(key_type, hit_type, shortlist))
+        listed = cut_lineage(rank_best(codes, shortlist).select("l_key", "r_key"))
+        vectors = index.entries.select(F.col("key").alias("r_key"), F.col("u").alias("r_vec"))
+        hits = listed.join(vectors, "r_key").join(rows, "l_key").select(
+            "l_key", "r_key", F.round(dot("l_vec", "r_vec"), SCORE_DIGITS).alias("score"))
+    return rank_best(hits, 1).select(
         F.col("l_key").alias(key), F.col("r_key").alias("hit_key"), F.col("score").alias("_raw")
     )
 
 
-def compare_ann(left: DataFrame, right: DataFrame, key: str, vector: str, right_key: str, path: str) -> DataFrame:
-    """Best-match table through the index of the right side, built when missing.
+def compare_ann(
+    left: DataFrame, right: DataFrame, key: str, vector: str, right_key: str, path: str,
+    n_probe: int | None = None, source: str | None = None,
+) -> DataFrame:
+    """Best-match table through the index of the right side, built or brought in step first.
 
     An empty side gives an empty result, checked before the index is touched.
     """
@@ -255,5 +405,5 @@ def compare_ann(left: DataFrame, right: DataFrame, key: str, vector: str, right_
             F.lit(None).cast("double").alias("_raw"),
         )
     else:
-        hits = match_ann(left, ann_open(right, right_key, vector, path), key, vector)
+        hits = match_ann(left, ann_open(right, right_key, vector, path, source), key, vector, n_probe)
     return attach_matches(hits, left, right, key, vector, right_key)
