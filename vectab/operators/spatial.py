@@ -189,31 +189,65 @@ def eps_join(points: DataFrame, eps: float, key: str, x: str = "x", y: str = "y"
         F.col("dist") < float(eps)).select("i", "j", "dist")
 
 
-def overlap_join(boxes: DataFrame, key: str, side: float, strict: bool = False) -> DataFrame:
+def paired_cells(targets: DataFrame, probes: DataFrame, cell: list[str], target: str, probe: str) -> DataFrame:
+    """Targets and probes that lie in the same cell.
+
+    A crowded cell is cut on both sides, targets into parts and probes into shares, and every part meets
+    every share in a task of its own. The column names of both sides differ but for the cell.
+    """
+    def load(frame: DataFrame, name: str) -> DataFrame:
+        return frame.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias(name))
+
+    crowded = cut_lineage(load(targets, "parts").join(load(probes, "shares"), cell).filter("parts > 1 OR shares > 1"))
+
+    def dealt(frame: DataFrame, key: str, own: str, number: str, others: str, copies: str) -> DataFrame:
+        return (
+            salted_join(frame, crowded, cell, spread=key, how="left")
+            .withColumn(number, F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))).cast("int"))
+            .withColumn(copies, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)))
+            .drop("parts", "shares")
+        )
+
+    return dealt(targets, target, "parts", "part", "shares", "share").join(
+        dealt(probes, probe, "shares", "share", "parts", "part"), [*cell, "part", "share"])
+
+
+def overlap_join(boxes: DataFrame, key: str, side: float | None = None, strict: bool = False) -> DataFrame:
     """Pairs i < j of boxes that overlap; touching counts unless ``strict``.
 
-    Boxes are listed in every grid cell they cover. A pair is reported only in
-    the cell that holds the lower left corner of the common area, so no
-    distinct is needed. ``side`` should be near the typical box size.
+    A grid for each power of two: a box is listed in the grid whose cells are as large as its longer edge, in
+    four cells at most, and looks for partners there and in all coarser grids in use, again in four cells each. So a very
+    large or very small box among others costs nothing extra. A pair is reported in the cell of the coarser
+    box's grid that holds the lower left corner of the common area, so no distinct is needed. Boxes smaller than ``side``
+    share one grid; so do boxes below 2**-40 of the whole extent. Boxes with a null edge meet nothing.
     """
     cols = ["min_x", "min_y", "max_x", "max_y"]
-    base = boxes.select(F.col(key).alias("k"), *cols)
-    covered = (
-        base.withColumn("cx", F.explode(F.sequence(cell_of("min_x", side), cell_of("max_x", side))))
-        .withColumn("cy", F.explode(F.sequence(cell_of("min_y", side), cell_of("max_y", side))))
-    )
-    target, crowded = split_cells(covered, "k")
-    a = to_all_parts(covered, crowded).select(
-        F.col("k").alias("i"), "cx", "cy", "part", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = target.select(F.col("k").alias("j"), "cx", "cy", "part", *[F.col(c).alias(f"b_{c}") for c in cols])
     c = F.col
+    base = boxes.select(c(key).alias("k"), *[c(x).cast("double").alias(x) for x in cols]).dropna(subset=cols)
+    far = base.agg(F.max(F.greatest(*[F.abs(x) for x in cols])).alias("far")).first()["far"] or 1.0
+    lowest = math.ceil(math.log2(max(far * 2.0**-40, side or 0.0)))
+    edge = F.greatest(c("max_x") - c("min_x"), c("max_y") - c("min_y"))
+    sized = base.withColumn("level", F.greatest(F.coalesce(F.ceil(F.log2(F.when(edge > 0, edge))).cast("int"), F.lit(lowest)), F.lit(lowest)))
+    levels = [r["level"] for r in sized.select("level").distinct().collect()]  # from ``lowest`` up, 43 at most
+    cells = ["level", "cx", "cy"]
+
+    def at(value: Column | str) -> Column:
+        return F.floor((c(value) if isinstance(value, str) else value) / F.pow(F.lit(2.0), c("level"))).cast("long")
+
+    def listed(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("cx", F.explode(F.sequence(at("min_x"), at("max_x")))).withColumn(
+            "cy", F.explode(F.sequence(at("min_y"), at("max_y"))))
+
+    coarser = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= c("own"))
+    probes = listed(sized.withColumnRenamed("level", "own").withColumn("level", F.explode(coarser))).select(
+        c("k").alias("p"), "own", *cells, *[c(x).alias(f"p_{x}") for x in cols])
+    targets = listed(sized).select("k", *cells, *cols)
     if strict:
-        hit = (c("a_min_x") < c("b_max_x")) & (c("b_min_x") < c("a_max_x"))
-        hit &= (c("a_min_y") < c("b_max_y")) & (c("b_min_y") < c("a_max_y"))
+        hit = (c("p_min_x") < c("max_x")) & (c("min_x") < c("p_max_x")) & (c("p_min_y") < c("max_y")) & (c("min_y") < c("p_max_y"))
     else:
-        hit = (c("a_min_x") <= c("b_max_x")) & (c("b_min_x") <= c("a_max_x"))
-        hit &= (c("a_min_y") <= c("b_max_y")) & (c("b_min_y") <= c("a_max_y"))
-    here = (cell_of(F.greatest("a_min_x", "b_min_x"), side) == c("cx")) & (
-        cell_of(F.greatest("a_min_y", "b_min_y"), side) == c("cy")
-    )
-    return a.join(b, ["cx", "cy", "part"]).filter((c("i") < c("j")) & hit & here).select("i", "j")
+        hit = (c("p_min_x") <= c("max_x")) & (c("min_x") <= c("p_max_x")) & (c("p_min_y") <= c("max_y")) & (c("min_y") <= c("p_max_y"))
+    here = (at(F.greatest("p_min_x", "min_x")) == c("cx")) & (at(F.greatest("p_min_y", "min_y")) == c("cy"))
+    # boxes of one grid find each other twice
+    once = (c("own") < c("level")) | (c("p") < c("k"))
+    return paired_cells(targets, probes, cells, "k", "p").filter(once & hit & here & (c("p") != c("k"))).select(
+        F.least("p", "k").alias("i"), F.greatest("p", "k").alias("j"))

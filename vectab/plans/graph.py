@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scaling import cut_lineage, salted_join
 
+BLOCK_ITEMS = 4096  # items that one task of a greedy round walks in order
+OPEN, KEPT, FALLEN = range(3)
+
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node id of each component.
@@ -60,6 +64,37 @@ def climb_to_roots(tree: DataFrame) -> DataFrame:
     return current.select("node", F.col("at").alias("root"), "total")
 
 
+def _by_position(items: DataFrame) -> DataFrame:
+    """Add ``block``: stretches of about ``BLOCK_ITEMS`` items in ``pos`` order."""
+    blocks = -(-items.count() // BLOCK_ITEMS)
+    if blocks <= 1:
+        return items.withColumn("block", F.lit(0))
+    return items.repartitionByRange(blocks, "pos").withColumn("block", F.spark_partition_id())
+
+
+def _walk(group: pa.Table, earlier: pa.Table) -> pa.Table:
+    """The probes of one block that are kept for certain, walked in order.
+
+    A probe falls by a kept one before it. While one before it is open, in another block or for lack of knowledge
+    about items behind a fallen probe, it stays open itself.
+    """
+    before: dict = {}
+    for probe, first, direct, other in zip(*(earlier[c].to_pylist() for c in ("probe", "first", "direct", "other"))):
+        before.setdefault(probe, []).append((first, direct, other))
+    state: dict = {}
+    for pos in sorted(group["pos"].to_pylist()):
+        verdict = KEPT
+        for first, direct, other in before.get(pos, ()):
+            met = state.get(first, OPEN)
+            if met == KEPT and direct:
+                verdict = FALLEN
+                break
+            if met == OPEN or (met == FALLEN and other):
+                verdict = OPEN
+        state[pos] = verdict
+    return pa.table([pa.array([p for p, v in state.items() if v == KEPT], group.schema.field("pos").type)], names=["pos"])
+
+
 def greedy_rounds(
     items: DataFrame,
     conflicts: Callable[[DataFrame, DataFrame], DataFrame],
@@ -67,26 +102,38 @@ def greedy_rounds(
 ) -> DataFrame:
     """Items kept when walked in ``pos`` order and none conflicts with a kept one.
 
-    Each round keeps every item that conflicts with no earlier undecided item
-    and drops what conflicts with those: the result of the sequential walk,
-    whatever the partitioning. ``conflicts(probes, items)`` gives (probe, pos) pairs:
-    the probe's ``pos`` and that of an item it conflicts with. ``clique`` names
-    columns under which all items conflict with each other; then only the first
+    The items are cut into stretches of ``pos``. Each round walks all stretches at once and keeps the items whose
+    earlier conflicts are all known there, then drops what conflicts with those: the result of the
+    sequential walk, whatever the partitioning. A stretch is decided at the latest once all before it are, so the rounds are at
+    most as many as stretches (and members of a clique that fall one by one), and a handful when the order is
+    mixed. ``conflicts(probes, items)`` gives (probe, pos) pairs: the probe's ``pos`` and that of an item it conflicts with.
+    ``clique`` names columns under which all items conflict with each other; then only the first
     of each clique is probed, so crowded spots stay linear.
     """
-    undecided = cut_lineage(items)
+    undecided = cut_lineage(_by_position(items))
     kept = []
     while not undecided.isEmpty():
-        probes = undecided
         if clique:
             rest = [c for c in undecided.columns if c not in clique and c != "pos"]
             first = undecided.groupBy(*clique).agg(F.min(F.struct("pos", *rest)).alias("f"))
-            probes = first.select(*clique, "f.*")
-        blocked = conflicts(probes, undecided).filter("pos < probe").selectExpr("probe AS pos").distinct()
-        winners = cut_lineage(probes.join(blocked, "pos", "left_anti").select(*undecided.columns))
+            probes = cut_lineage(first.select(*clique, "f.*"))
+            heads = salted_join(
+                undecided.select("pos", *clique), probes.select(*clique, F.col("pos").alias("first")), clique, spread="pos"
+            ).select("pos", "first")
+        else:
+            probes, heads = undecided, undecided.select("pos", F.col("pos").alias("first"))
+        # an item behind the first of its clique is gone if that one is kept, and unknown otherwise
+        earlier = (
+            conflicts(probes, undecided).select("probe", "pos").filter("pos < probe").join(heads, "pos")
+            .groupBy("probe", "first").agg(F.bool_or(F.expr("pos = first")).alias("direct"), F.bool_or(F.expr("pos <> first")).alias("other"))
+            .join(probes.select(F.col("pos").alias("probe"), "block"), "probe")
+        )
+        sure = probes.select("block", "pos").groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(
+            _walk, items.select("pos").schema)
+        winners = cut_lineage(probes.join(sure, "pos", "left_semi").select(*undecided.columns))
         gone = conflicts(winners, undecided).select("pos").unionByName(winners.select("pos")).distinct()
         undecided = cut_lineage(undecided.join(gone, "pos", "left_anti"))
-        kept.append(winners)
+        kept.append(winners.drop("block"))
     out = items.limit(0) if not kept else kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
