@@ -6,13 +6,13 @@ Plan of a run:
    and a sketch. Texts with the same set form one class from here on, so copies
    cost one row each and never a pair.
 2. Sketch coordinates are cut into bands. Each band bucket proposes its members
-   to its smallest member only: linear in the bucket, whatever its size.
-3. Proposals are verified on the full sets; links give components.
-4. Buckets that still hold several components are opened: blocks of their
-   members compare sketches, and each member is proposed to its most similar
-   members of other components, in growing numbers, in the last round to all whose
-   sketch leaves a chance of a link. So no link between two components is lost
-   to the star shape of step 2.
+   to its smallest member, the hub, only: linear in the bucket, whatever its size.
+3. Each member is verified against one hub first, on the full sets, and against its other hubs
+   only where that left them in different components. A hub's text travels once for many members.
+4. Buckets that still hold several components are opened: blocks of their members compare sketches and
+   name the members that may have a link to another component; those come back with their sets, are
+   verified block by block, and only links that join components leave the task. So no link between two
+   components is lost to the star shape of step 2, and a crowd just below the limit costs time but no rows.
 """
 
 from __future__ import annotations
@@ -23,18 +23,19 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
-from ..plans.scaling import cut_lineage
-from .common import WordHasher, bound_batches, mix64, temp_name
+from ..plans.scaling import salted_join
+from .common import WordHasher, bound_batches, cut, free, mix64, temp_name
 
 ROWS, BANDS = 7, 48  # a pair at similarity 0.8 shares no band with probability 1.2e-5
 WIDTH = ROWS * BANDS
 SLACK = 0.09  # 4.1 standard deviations of a sketch estimate at 0.8: missed with probability 2e-5
 BLOCK = 1024  # members compared at once inside an opened bucket
-PROPOSALS = (2, 32, 0)  # per member and round; 0: all that the sketch allows
+HUBS = (1, 0)  # hubs that a member is verified against in each round; 0: all that are left
+PACK_ROWS = 2000  # texts that a task verifies at a time, on average
 
 
 class Shingler:
@@ -144,54 +145,65 @@ def sketched(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, share: int) -> DataFrame:
-    """(u, v) of the pairs (u, ku, v, kv) whose full sets are similar enough.
+def alike(a: np.ndarray, b: np.ndarray, share: int) -> bool:
+    """Whether two sorted sets have ``share`` hundredths of their union in common."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(small) < share * len(large):
+        return False
+    spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int(np.count_nonzero(large[spot] == small))
+    return 100 * both >= share * (len(a) + len(b) - both)
 
-    Texts are joined by key; where keys repeat, the class decides which row is meant.
-    """
-    pairs = cut_lineage(pairs)
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    needed = pairs.select(F.col("ku").alias("k")).union(pairs.select(F.col("kv").alias("k"))).distinct()
-    texts = cut_lineage(
-        texts.join(needed.withColumnRenamed("k", "nk"), F.col("k").eqNullSafe(F.col("nk")), "left_semi")
-    )
-    left = texts.select(F.col("k").alias("lk"), F.col("t").alias("tu"))
-    right = texts.select(F.col("k").alias("rk"), F.col("t").alias("tv"))
-    rows = (
-        pairs.join(left, F.col("ku").eqNullSafe(F.col("lk"))).select("u", "v", "kv", "tu")
-        .join(right, F.col("kv").eqNullSafe(F.col("rk"))).select("u", "v", "tu", "tv")
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(size)
+def sets_of(nodes: list[int], texts: list[str], shingle: Shingler) -> list[np.ndarray | None]:
+    """The set of each text, None where it is not the set of its class."""
+    out: list[np.ndarray | None] = []
+    for low in range(0, len(texts), 500):
+        for node, own in zip(nodes[low : low + 500], shingle(texts[low : low + 500])):
+            out.append(own if len(own) and node_of(own) == node else None)
+    return out
 
-        def sets(nodes: list[int], texts: pa.Array) -> dict[int, np.ndarray]:
-            """The set of every node, from those of its rows whose text has that set."""
-            given = list(dict.fromkeys(zip(nodes, texts.to_pylist())))
-            return {n: s for (n, _), s in zip(given, shingle([t for _, t in given])) if len(s) and node_of(s) == n}
 
-        for batch in batches:
-            for low in range(0, batch.num_rows, 250):
-                part = batch.slice(low, 250)
-                us, vs, keep = part.column(0).to_pylist(), part.column(1).to_pylist(), []
-                left, right = sets(us, part.column(2)), sets(vs, part.column(3))
-                for u, v in zip(us, vs):
-                    a, b = left.get(u), right.get(v)
-                    if a is None or b is None:
-                        keep.append(False)
-                        continue
-                    small, large = (a, b) if len(a) <= len(b) else (b, a)
-                    spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    both = int(np.count_nonzero(large[spot] == small))
-                    keep.append(100 * both >= share * (len(a) + len(b) - both))
-                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return cut_lineage(rows.mapInArrow(run, "u bigint, v bigint").distinct())
+def verified(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
+    """The (u, v) whose full sets are similar enough; u is a hub of many v.
+
+    ``texts``: node, t. The members of a hub are dealt to shares, each with one copy of the hub, and a task
+    gets packs of many small stars or a part of a large one.
+    """
+    pairs = cut(pairs)
+    load = cut(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PACK_ROWS).cast("int").alias("shares")))
+    packs = max(1, -(-pairs.count() // PACK_ROWS))
+    members = salted_join(pairs, load, ["u"], spread="v").select(
+        "u", F.pmod(F.xxhash64("v"), F.col("shares")).cast("int").alias("share"), F.col("v").alias("node"))
+    hubs = load.select("u", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("u").alias("node"))
+    rows = members.unionByName(hubs).withColumn("pack", F.pmod(F.xxhash64("u", "share"), F.lit(packs)))
+
+    def run(group: pa.Table) -> pa.Table:
+        u, part, node = (group[c].to_pylist() for c in ("u", "share", "node"))
+        own = sets_of(node, group["t"].to_pylist(), Shingler(size))
+        middle = {(a, p): s for a, p, n, s in zip(u, part, node, own) if a == n and s is not None}
+        found = [
+            (a, n) for a, p, n, s in zip(u, part, node, own)
+            if a != n and s is not None and (a, p) in middle and alike(middle[a, p], s, share)
+        ]
+        out = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"u": out[:, 0], "v": out[:, 1]})
+
+    found = cut(rows.join(texts, "node").groupBy("pack").applyInArrow(run, "u bigint, v bigint"))
+    free(pairs, load)
+    return found
 
 
 def _components(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    return cut_lineage(connected_components(both.select(F.col("u").alias("node")).distinct(), both))
+    return cut(connected_components(both.select(F.col("u").alias("node")).distinct(), both))
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    cu, cv = (comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "uv")
+    known = salted_join(salted_join(pairs, cu, ["u"], "v", "left"), cv, ["v"], "u", "left")
+    return known.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
 
 def _opened(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -223,39 +235,79 @@ def _opened(members: DataFrame, comps: DataFrame) -> DataFrame:
     )
 
 
-def _proposals(rows: DataFrame, sketches: DataFrame, per_member: int, share: int) -> DataFrame:
-    """Pairs (u, v) of one bucket, in different components, that may be similar enough.
+def plausible(same: np.ndarray, band: int, share: int) -> np.ndarray:
+    """Which rows of sketch agreements may belong to linked pairs that share no band before ``band``."""
+    fits = np.count_nonzero(same, axis=1) >= (share / 100 - SLACK) * same.shape[1]
+    at = np.flatnonzero(fits)
+    fits[at] = ~same[at, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
+    return fits
+
 
-    ``rows``: those of ``_opened``. A task sees two blocks, so no bucket is gathered whole;
-    sketches join the dealt rows last. A pair is proposed by the first band it shares only.
+def _live(rows: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
+    """The dealt rows of opened buckets that may have a link to another component in their block pair.
+
+    ``rows``: those of ``_opened``. A task sees two blocks, so no bucket is gathered whole, and returns no more rows
+    than it got. A pair counts in the first band that it shares only.
     """
     placed = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("upto")))).select(
         "bucket", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"),
         (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"),
         "band", "node", "comp",
-    ).join(sketches, "node")
-    least = share / 100 - SLACK
+    )
+    packs = _packs(placed)
 
     def run(group: pa.Table) -> pa.Table:
-        node, comp, band = group["node"].to_numpy(), group["comp"].to_numpy(), group["band"][0].as_py()
-        sketch = np.stack([np.frombuffer(s.as_py(), dtype=np.uint16) for s in group["sketch"]])
-        right = np.flatnonzero(group["right"].to_numpy(zero_copy_only=False))
-        others, out = sketch[right], []
-        for i in np.flatnonzero(group["left"].to_numpy(zero_copy_only=False)):
-            same = others == sketch[i]
-            alike = np.count_nonzero(same, axis=1) / sketch.shape[1]
-            fits = np.flatnonzero((alike >= least) & (comp[right] != comp[i]))
-            if len(fits):
-                bands = same[fits, : band * ROWS].reshape(len(fits), band, ROWS)
-                fits = fits[~bands.all(axis=2).any(axis=1)]
-            if per_member and len(fits) > per_member:
-                fits = fits[np.argsort(-alike[fits], kind="stable")[:per_member]]
-            # in a block with itself every pair is seen twice
-            out.extend((min(node[i], x), max(node[i], x)) for x in node[right[fits]])
-        pairs = np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 2)
+        keep = np.zeros(len(group), dtype=bool)
+        for own, left, right, band, comp, sketch in _blocks(group):
+            for i in left:
+                fits = plausible(sketch[right] == sketch[i], band, share) & (comp[right] != comp[i])
+                if fits.any():
+                    keep[own[i]] = True
+                    keep[own[right[fits]]] = True
+        return group.select(["pack", "bucket", "bi", "bj", "left", "right", "band", "node", "comp"]).filter(pa.array(keep))
+
+    dealt = placed.withColumn("pack", F.pmod(F.xxhash64("bucket", "bi", "bj"), F.lit(packs))).join(sketches, "node")
+    return dealt.groupBy("pack").applyInArrow(run, dealt.drop("sketch").select(
+        "pack", "bucket", "bi", "bj", "left", "right", "band", "node", "comp").schema)
+
+
+def _packs(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // PACK_ROWS))
+
+
+def _blocks(group: pa.Table) -> Iterator[tuple]:
+    """Block pairs of a pack: the rows' places, those of the left and right side within them, band, comp and sketches."""
+    bucket, bi, bj = (group[c].to_numpy() for c in ("bucket", "bi", "bj"))
+    left, right = (group[c].to_numpy(zero_copy_only=False) for c in ("left", "right"))
+    comp, band = group["comp"].to_numpy(), group["band"].to_numpy()
+    order = np.lexsort((bj, bi, bucket))
+    new = np.any([np.diff(c[order]) != 0 for c in (bucket, bi, bj)], axis=0)
+    raw = group["sketch"].combine_chunks()
+    for own in np.split(order, np.flatnonzero(new) + 1):
+        sketch = np.stack([np.frombuffer(raw[int(i)].as_py(), dtype=np.uint16) for i in own])
+        yield own, np.flatnonzero(left[own]), np.flatnonzero(right[own]), int(band[own[0]]), comp[own], sketch
+
+
+def _joined(live: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
+    """Links (u, v) that join the components of live rows: at most one per row, verified on the full sets."""
+    def run(group: pa.Table) -> pa.Table:
+        nodes, out = group["node"].to_numpy(), []
+        sets = sets_of(nodes.tolist(), group["t"].to_pylist(), Shingler(size))
+        for own, left, right, band, comp, sketch in _blocks(group):
+            _, root = np.unique(comp, return_inverse=True)
+            for i in left:
+                fits = right[plausible(sketch[right] == sketch[i], band, share)]
+                for j in fits.tolist():
+                    a, b = sets[own[i]], sets[own[j]]
+                    if root[i] != root[j] and a is not None and b is not None and alike(a, b, share):
+                        out.append((nodes[own[i]], nodes[own[j]]))
+                        root[root == root[j]] = root[i]
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return placed.groupBy("bucket", "bi", "bj").applyInArrow(run, "u bigint, v bigint").distinct()
+    packs = _packs(live)
+    rows = live.withColumn("pack", F.pmod(F.xxhash64("bucket", "bi", "bj"), F.lit(packs)))
+    return rows.join(sketches, "node").join(texts, "node").groupBy("pack").applyInArrow(run, "u bigint, v bigint")
 
 
 def resolved(docs: DataFrame, key: str, text: str, size: int, share: int) -> DataFrame:
@@ -264,40 +316,47 @@ def resolved(docs: DataFrame, key: str, text: str, size: int, share: int) -> Dat
     ``first`` is the row of the component, (no key, k, th), that comes first.
     """
     bound_batches(docs)
-    rows = cut_lineage(sketched(docs, key, text, size))
+    rows = cut(sketched(docs, key, text, size))
     named_rows = rows.filter("node IS NOT NULL")
     order = F.struct(F.col("k").isNull().alias("no_k"), "k", "th")
-    classes = cut_lineage(
-        named_rows.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys"))
-    )
-    key_of = classes.select("node", F.col("first.k").alias("k"))
+    classes = cut(named_rows.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys")))
     buckets = classes.select("node", F.posexplode("keys").alias("band", "bucket"))
     hubs = (
         buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"))
         .filter("hub <> last").drop("last")
     )
-    shared = cut_lineage(buckets.join(hubs, "bucket"))
-    pairs = cut_lineage(shared.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
-    links = verified(_with_keys(pairs, key_of), docs, key, text, size, share)
+    shared = cut(buckets.join(hubs, "bucket"))
+    todo = cut(shared.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
+    # the text of one row of each class that shares a bucket
+    wanted = classes.select("node", "first").join(shared.select("node").distinct(), "node", "left_semi").select(
+        "node", F.col("first.k").alias("wk"), F.col("first.th").alias("wh"))
+    given = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("th"))
+    texts = cut(given.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & (F.col("th") == F.col("wh"))).select("node", "t").dropDuplicates(["node"]))
     members = shared.filter("size > 2").select("bucket", "band", "node")  # with two, the only pair is tried
-    tried, comps, sketches = pairs, _components(links), None
-    for per_member in PROPOSALS:
-        opened = cut_lineage(_opened(members, comps))
-        members = opened.select("bucket", "band", "node")
-        if members.isEmpty():
-            break
-        if sketches is None:
-            of_node = named_rows.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi")
-            sketches = cut_lineage(of_node.dropDuplicates(["node"]))
-        found = _proposals(opened, sketches, per_member, share)
-        fresh = cut_lineage(found.join(tried, ["u", "v"], "left_anti"))
-        if fresh.isEmpty():
-            continue
-        more = verified(_with_keys(fresh, key_of), docs, key, text, size, share)
-        tried = tried.unionByName(fresh)
+    nearest = Window.partitionBy("v").orderBy("u")
+    links, comps = None, None
+    for most in HUBS:
+        rest = todo if comps is None else cut(_apart(todo, comps))
+        now = rest.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= most).drop("rank") if most else rest
+        found = verified(now, texts, size, share)
+        links = found if links is None else links.unionByName(found)
+        if comps is not None:
+            free(comps)
+        comps = _components(links)
+        if rest is not todo:
+            free(todo)
+        todo = cut(rest.join(now, ["u", "v"], "left_anti")) if most else rest
+        free(rest)
+    opened = cut(_opened(members, comps))
+    if not opened.isEmpty():
+        of_node = named_rows.select("node", "sketch").join(opened.select("node").distinct(), "node", "left_semi")
+        sketches = cut(of_node.dropDuplicates(["node"]))
+        live = cut(_live(opened, sketches, share).drop("pack"))
+        more = cut(_joined(live, sketches, texts, size, share))
+        free(live, sketches)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = _components(links)
+            comps = _components(links.unionByName(more))
+    free(opened, shared, texts)
     named = classes.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     least = named.groupBy("comp").agg(F.min("first").alias("first"))
     ids = named.select("node", "comp").join(least, "comp").select("node", "first")
@@ -307,13 +366,6 @@ def resolved(docs: DataFrame, key: str, text: str, size: int, share: int) -> Dat
     )
 
 
-def _with_keys(pairs: DataFrame, key_of: DataFrame) -> DataFrame:
-    return (
-        pairs.join(key_of.select(F.col("node").alias("u"), F.col("k").alias("ku")), "u")
-        .join(key_of.select(F.col("node").alias("v"), F.col("k").alias("kv")), "v")
-    )
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, share: int = 80) -> DataFrame:
     """One row per input row: key, n_shingles, component_id, kept.
 
@@ -344,6 +396,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     name = temp_name(docs, "th")
     rows = docs.withColumn(name, F.xxhash64(text))
     left = rows.join(gone, rows[key].eqNullSafe(gone["_gone"]) & (rows[name] == gone["th"]), "left_anti")
-    # one pass in which only rows that repeat key and text meet; blank texts are told apart by no set, so they pass
-    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return left.filter(blank).unionByName(left.filter(~blank).dropDuplicates([key, name])).drop(name)
+    # only rows whose key and text occur twice meet; the others go straight through. Blank texts are told apart by no set
+    twice = decided.filter(stays & F.col("node").isNotNull()).groupBy("k", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = twice.select(F.col("k").alias("_k"), F.col("th").alias("_th"))
+    again = left[key].eqNullSafe(twice["_k"]) & (left[name] == twice["_th"])
+    once = left.join(twice, again, "left_anti")
+    return once.unionByName(left.join(twice, again, "left_semi").dropDuplicates([key, name])).drop(name)
