@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, lit_vector, unit
-from ..operators import ann, cells, codes, density, hac, labels, projection, search, spatial, stats, table as ops
+from ..operators import ann, cells, codes, density, descent, hac, labels, projection, search, spatial, stats, table as ops
 from ..plans.cluster_map import cluster_map
 from ..plans.graph import greedy_independent_set
 from ..plans.scaling import cut_lineage, scratch_path
@@ -181,6 +181,12 @@ def _(spark, sf):
     return search.knn_graph(vectors(spark, sf), "vec_id", "embedding", 5).select("i", "j", r6("dist").alias("dist"), "rank")
 
 
+@_q("knn_graph_descent")  # a neighbour may be missed; tests hold its recall against the exact graph
+def _(spark, sf):
+    found = descent.knn_graph_descent(vectors(spark, sf), "vec_id", "embedding", 5)
+    return found.select("i", "j", r6("dist").alias("dist"), "rank")
+
+
 @_q("cluster_spread", """SELECT a.label, round(avg(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS spread
     FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1""")
 def _(spark, sf):

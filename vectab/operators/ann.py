@@ -273,7 +273,7 @@ def _doors(index: CellIndex, rows: DataFrame, most: int | None) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
-def _visits(index: CellIndex, rows: DataFrame, most: int | None) -> DataFrame:
+def nearest_cells(index: CellIndex, rows: DataFrame, most: int | None) -> DataFrame:
     """Cells that each row has to visit: its ``most`` nearest, or all that can beat its score. Adds parent, cell, away."""
     at_doors = cut_lineage(_doors(index, rows, most))
     load = at_doors.groupBy("parent").agg(crowd(F.count(F.lit(1))).alias("shares"))
@@ -372,15 +372,15 @@ def match_ann(
     key_type, hit_type = rows.schema["l_key"].dataType, index.entries.schema["key"].dataType
     if n_probe is None:
         exact = kernel(key_type, hit_type, lambda s: best_k(s, 1), "dot", False)
-        first = cut_lineage(_visits(index, rows, 1))
+        first = cut_lineage(nearest_cells(index, rows, 1))
         known = cut_lineage(rank_best(_against(index, first, "l_vec", "u", *exact), 1).drop("rank"))
-        more = _visits(index, rows.join(known.select("l_key", "score"), "l_key"), None)
+        more = nearest_cells(index, rows.join(known.select("l_key", "score"), "l_key"), None)
         seen = first.select(F.col("l_key").alias("seen"), F.col("cell").alias("seen_cell"))
         more = cut_lineage(more.join(seen, (F.col("l_key") == F.col("seen")) & (F.col("cell") == F.col("seen_cell")), "left_anti"))
         hits = known.unionByName(_against(index, more, "l_vec", "u", *exact)) if not more.isEmpty() else known
     else:
         asked = coded(rows, index.mean, index.std, "l_vec", "l_code")
-        visits = cut_lineage(_visits(index, asked, n_probe).drop("l_vec"))
+        visits = cut_lineage(nearest_cells(index, asked, n_probe).drop("l_vec"))
         codes = _against(index, visits, "l_code", "code", *code_kernel(key_type, hit_type, shortlist))
         listed = cut_lineage(rank_best(codes, shortlist).select("l_key", "r_key"))
         vectors = index.entries.select(F.col("key").alias("r_key"), F.col("u").alias("r_vec"))
