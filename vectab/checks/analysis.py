@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, lit_vector, unit
-from ..operators import ann, cells, codes, density, descent, hac, labels, projection, search, spatial, stats, table as ops
+from ..operators import ann, cells, codes, density, descent, hac, labels, packed, projection, search, spatial, stats, table as ops
 from ..plans.cluster_map import cluster_map
 from ..plans.graph import greedy_independent_set
 from ..plans.scaling import cut_lineage, scratch_path
@@ -294,6 +294,22 @@ def _(spark, sf):
     return spatial.knn_2d(plane(spark, sf), 0, 0, "vec_id", 8, 0.05).select("vec_id", F.round("d2", 9).alias("d2"))
 
 
+def _packed(spark, sf):
+    path = scratch_path(spark, "packed")
+    packed.save_packed(plane(spark, sf), "vec_id", path, file_rows=64)
+    return packed.open_packed(spark, path)
+
+
+@_q("window_query_packed", SQL["window_query"])
+def _(spark, sf):
+    return packed.window_packed(_packed(spark, sf), -0.1, -0.05, 0.15, 0.2).select("vec_id")
+
+
+@_q("knn_2d_packed", SQL["knn_2d"])
+def _(spark, sf):
+    return packed.knn_packed(_packed(spark, sf), 0, 0, "vec_id", 8, 0.05).select("vec_id", F.round("d2", 9).alias("d2"))
+
+
 @_q("hilbert_sort", f"WITH RECURSIVE {HILBERT_SQL} SELECT vec_id, h FROM curve")
 def _(spark, sf):
     return spatial.hilbert_sort(spatial.point_boxes(plane(spark, sf)), "vec_id").select("vec_id", "h")
