@@ -9,7 +9,9 @@ Plan of a run:
    to its smallest member, the hub, only: linear in the bucket, whatever its size.
 3. Each member is verified against one hub first, on the full sets, and against its other hubs
    only where that left them in different components. A hub's text travels once for many members.
-4. Buckets that still hold several components are opened: blocks of their members compare sketches and
+4. Buckets that still hold several components get another hub, chosen at random, a few times: that joins most
+   of a crowd of near copies, again with work linear in the bucket.
+5. Buckets that hold several components even then are opened: blocks of their members compare sketches and
    name the members that may have a link to another component; those come back with their sets, are
    verified block by block, and only links that join components leave the task. So no link between two
    components is lost to the star shape of step 2, and a crowd just below the limit costs time but no rows.
@@ -33,8 +35,9 @@ from .common import WordHasher, bound_batches, cut, free, mix64, temp_name
 ROWS, BANDS = 7, 48  # a pair at similarity 0.8 shares no band with probability 1.2e-5
 WIDTH = ROWS * BANDS
 SLACK = 0.09  # 4.1 standard deviations of a sketch estimate at 0.8: missed with probability 2e-5
-BLOCK = 1024  # members compared at once inside an opened bucket
+BLOCK = 2048  # members compared at once inside an opened bucket
 HUBS = (1, 0)  # hubs that a member is verified against in each round; 0: all that are left
+MORE_HUBS = 3  # rounds with another hub for each bucket that holds several components
 PACK_ROWS = 2000  # texts that a task verifies at a time, on average
 
 
@@ -235,6 +238,14 @@ def _opened(members: DataFrame, comps: DataFrame) -> DataFrame:
     )
 
 
+def _other_hubs(opened: DataFrame, number: int) -> DataFrame:
+    """Pairs (u, v): a member of each bucket, drawn by hash, and the members of other components."""
+    drawn = opened.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "comp")).alias("hub"))
+    met = salted_join(opened.select("bucket", "node", "comp"), drawn, ["bucket"], spread="node")
+    apart = met.filter(F.col("comp") != F.col("hub.comp"))
+    return apart.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
+
+
 def plausible(same: np.ndarray, band: int, share: int) -> np.ndarray:
     """Which rows of sketch agreements may belong to linked pairs that share no band before ``band``."""
     fits = np.count_nonzero(same, axis=1) >= (share / 100 - SLACK) * same.shape[1]
@@ -348,6 +359,16 @@ def resolved(docs: DataFrame, key: str, text: str, size: int, share: int) -> Dat
         todo = cut(rest.join(now, ["u", "v"], "left_anti")) if most else rest
         free(rest)
     opened = cut(_opened(members, comps))
+    for number in range(MORE_HUBS):
+        now = cut(_other_hubs(opened, number))
+        if now.isEmpty():
+            break
+        links = links.unionByName(verified(now, texts, size, share))
+        free(now, comps)
+        comps = _components(links)
+        fewer = cut(_opened(opened.select("bucket", "band", "node"), comps))
+        free(opened)
+        opened = fewer
     if not opened.isEmpty():
         of_node = named_rows.select("node", "sketch").join(opened.select("node").distinct(), "node", "left_semi")
         sketches = cut(of_node.dropDuplicates(["node"]))
