@@ -187,6 +187,27 @@ def _(spark, sf):
     return _vec_result(files.read_json_array(spark, path, multiline=False))
 
 
+@_q("json_array_scan", _VEC_SQL)
+def _(spark, sf):
+    # arrays of about a thousand rows, a file each
+    rows, path = _with_map(spark, sf), scratch_path(spark, "json")
+    arrays = -(-rows.count() // 1000)
+    texts = rows.select(F.struct(*rows.columns).alias("r"), F.pmod(F.xxhash64("vec_id"), F.lit(arrays)).alias("file")).groupBy("file").agg(
+        F.to_json(F.collect_list("r")).alias("value"))
+    texts.write.partitionBy("file").text(path)
+    return _vec_result(files.read_json_array(spark, path))
+
+
+@_q("csv_scan_mixed", """SELECT doc_id::VARCHAR AS doc_id, text, lang, CASE WHEN lang = 'de' THEN NULL ELSE source END AS source,
+      CASE WHEN lang = 'de' THEN n_chars::VARCHAR END AS n_chars FROM documents""")
+def _(spark, sf):
+    # two sets of files, their columns in another order and not the same
+    rows, path = docs(spark, sf), scratch_path(spark, "csv")
+    files.write_csv(rows.filter("lang = 'de'").select("n_chars", "text", "lang", "doc_id"), f"{path}/a")
+    files.write_csv(rows.filter("lang <> 'de' OR lang IS NULL").select("doc_id", "lang", "text", "source"), f"{path}/b")
+    return files.read_csv(spark, f"{path}/*", ",").select("doc_id", "text", "lang", "source", "n_chars")
+
+
 @_q("json_gz_sink", _VEC_SQL)
 def _(spark, sf):
     path = scratch_path(spark, "json")

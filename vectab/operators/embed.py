@@ -80,39 +80,53 @@ def hash_model(dims: int = 64, normalize: bool = False) -> Callable[[], EmbedFn]
 register_model(HASH_MODEL, hash_model(64))
 
 
+ANSWER = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
+ERROR_MAP = "map<string,struct<tries:int,message:string>>"
+
+
+def answers(fn: EmbedFn, texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
+    """(vector, None) or (None, message) per text. A failing batch is halved until the failing texts stand alone."""
+    try:
+        found = list(fn(texts))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        return [(np.asarray(v, dtype=np.float32), None) for v in found]
+    except Exception as e:  # a provider's failure must not lose the other rows
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        half = len(texts) // 2
+        return answers(fn, texts[:half]) + answers(fn, texts[half:])
+
+
 def embed_column(text: Column, factory: Callable[[], EmbedFn], batch: int = BATCH) -> Column:
-    """Vectors for a text column, Arrow batches in, Arrow batches out.
+    """Struct (vector, error) for a text column, Arrow batches in, Arrow batches out.
 
-    NULL texts are not sent to the model. A batch that fails gives NULL
-    vectors, which a later run with ``keep_existing`` picks up again. The call
-    is marked nondeterministic so that the optimizer never copies it into a
-    pushed filter and runs the model twice.
+    NULL texts are not sent to the model and get two NULLs. The call is marked nondeterministic so that the
+    optimizer never copies it into a pushed filter and runs the model twice.
     """
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(ANSWER)
+    def run(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fn = factory()
         for chunk in chunks:
-            vectors = pd.Series([None] * len(chunk), index=chunk.index, dtype=object)
-            wanted = chunk[chunk.notna()]
-            for start in range(0, len(wanted), batch):
-                part = wanted.iloc[start:start + batch]
-                try:
-                    found = list(fn(part.tolist()))
-                except Exception:  # a provider's failed batch must not lose the rows
-                    continue
-                if len(found) != len(part):
-                    continue
-                for i, v in zip(part.index, found):
-                    vectors.at[i] = np.asarray(v, dtype=np.float32)
-            yield vectors
+            wanted = np.flatnonzero(chunk.notna().to_numpy())
+            vectors, errors = np.full(len(chunk), None, dtype=object), np.full(len(chunk), None, dtype=object)
+            for part in (wanted[low:low + batch] for low in range(0, len(wanted), batch)):
+                for i, (vector, error) in zip(part, answers(fn, chunk.iloc[part].tolist())):
+                    vectors[i], errors[i] = vector, error
+            yield pd.DataFrame({"vector": vectors, "error": errors})
 
     return run.asNondeterministic()(text)
 
 
-def filter_unembedded(df: DataFrame, model: str, embeddings: str = "embeddings") -> DataFrame:
-    """Rows that have no vector for the model yet."""
-    return df.filter(get_vector(embeddings, model).isNull())
+def filter_unembedded(
+    df: DataFrame, model: str, embeddings: str = "embeddings", errors: str | None = None, tries: int | None = None
+) -> DataFrame:
+    """Rows that have no vector for the model yet; with ``errors`` and ``tries``, not those that failed so often."""
+    bare = get_vector(embeddings, model).isNull()
+    if errors in df.columns and tries is not None:
+        bare &= F.coalesce(F.try_element_at(errors, F.lit(model))["tries"], F.lit(0)) < tries
+    return df.filter(bare)
 
 
 def embed(
@@ -123,11 +137,13 @@ def embed(
     batch: int = BATCH,
     missing: str = MISSING_TEXT,
     embeddings: str = "embeddings",
+    errors: str | None = None,
 ) -> DataFrame:
     """Compose the fields' text, embed it and store the vector under the model's name.
 
-    One narrow pass: no shuffle, no second read. Rows that keep their vector
-    send NULL to the model and cost nothing there.
+    One narrow pass: no shuffle, no second read. Rows that keep their vector send NULL to the model and cost
+    nothing there. A row on which the model fails gets no vector; ``errors`` names a column that then holds,
+    under the model's name, how often that happened and the last message. A row that succeeds loses its entry.
     """
     if embeddings not in df.columns:
         df = df.withColumn(embeddings, F.create_map().cast("map<string,array<float>>"))
@@ -136,6 +152,15 @@ def embed(
     if keep_existing:
         text = F.when(have.isNull(), text)
     fresh = df.withColumn("_fresh", embed_column(text, model_factory(model), batch))
-    chosen = F.coalesce(F.col("_fresh"), get_vector(embeddings, model)) if keep_existing else F.col("_fresh")
+    vector, message = F.col("_fresh.vector"), F.col("_fresh.error")
+    if errors:
+        known = F.coalesce(F.col(errors), F.create_map().cast(ERROR_MAP)) if errors in df.columns else F.create_map().cast(ERROR_MAP)
+        tries = F.coalesce(F.try_element_at(known, F.lit(model))["tries"], F.lit(0)) + 1
+        entry = F.create_map(F.lit(model), F.struct(tries.alias("tries"), message.alias("message")))
+        others = F.map_filter(known, lambda k, _: k != F.lit(model))
+        fresh = fresh.withColumn(errors, (
+            F.when(message.isNotNull(), F.map_concat(others, entry)).when(vector.isNotNull(), others).otherwise(known)
+        ).cast(ERROR_MAP))
+    chosen = F.coalesce(vector, get_vector(embeddings, model)) if keep_existing else vector
     stored = F.when(chosen.isNotNull(), put_vector(embeddings, model, chosen)).otherwise(F.col(embeddings))
     return fresh.withColumn(embeddings, stored).drop("_fresh")

@@ -12,6 +12,7 @@ from ..operators.hac import auto_cluster
 from ..operators.projection import project_2d
 from ..operators.stats import nearest_to_centroid, record_lows, singletons_to_noise
 from ..operators.table import label_join, scan_many
+from ..sources.store import Store
 from .scaling import cut_lineage, global_row_number
 
 
@@ -44,3 +45,26 @@ def cluster_map(
         ROW, F.array("x", "y").alias("coordinates"), F.col("cluster").alias("dbscanCluster")
     )
     return rows.join(found, ROW, "left").join(centers, ROW, "left").drop(ROW)
+
+
+FOUND = ["clusterNumber", "coordinates", "dbscanCluster", "center"]
+
+
+def save_cluster_map(store: Store, names: Sequence[str], vector: str, **options) -> DataFrame:
+    """``cluster_map`` over stored tables whose result is kept: each table gets a new version with the found columns.
+
+    Found columns of an earlier run are replaced, all other columns stay. The rows of all tables are returned, with
+    ``table_name``. A run that dies leaves tables in their old or their new version, never in between. All tables
+    must have the same key column.
+    """
+    keys = {store.key(n) for n in names}
+    if len(keys) != 1:
+        raise ValueError(f"tables with different keys: {sorted(keys)}")
+    key = keys.pop()
+    tables = [store.read(n).drop(*FOUND) for n in names]
+    mapped = cut_lineage(cluster_map([t.select(key, vector) for t in tables], key, vector, names=names, **options))
+    found = [c for c in FOUND if c in mapped.columns]
+    for name, table in zip(names, tables):
+        own = mapped.filter(F.col("table_name") == name).select(key, *found)
+        store.write(name, table.join(own, key, "left"), key)
+    return mapped

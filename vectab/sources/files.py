@@ -15,18 +15,38 @@ EXPORT_DROPS = ["hnsw", "embeddings", "state"]
 CORRUPT = "_corrupt_record"
 
 
+def header_groups(spark: SparkSession, path: str) -> list[str | list[str]]:
+    """The files below ``path`` by their first line; ``path`` itself when all have the same.
+
+    One look at the files' first blocks. Only files that differ come to the driver, as lists by header.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+    ).filter("start = 0")
+    firsts = lines.groupBy("file").agg(F.regexp_replace(F.min_by("value", "place"), "[\\ufeff\\r]", "").alias("header"))
+    kinds = firsts.select("header").distinct().limit(2).count()
+    if kinds < 2:
+        return [path]
+    return [sorted(r["files"]) for r in firsts.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()]
+
+
 def guess_delimiter(spark: SparkSession, path: str, multiline: bool = True) -> str:
-    """The delimiter under which the largest share of all records has as many fields as the header.
+    """The delimiter under which the largest share of all records has as many fields as their file's header.
 
     Every candidate reads the whole input. A header that none of them parts is one
     column. When two do equally well the choice is the caller's: an error says so.
     """
+    groups = header_groups(spark, path)
     shares = {}
     for delimiter in DELIMITERS:
-        frame, names, _ = _csv_with_errors(spark, path, delimiter, multiline)
-        if len(names) > 1:
-            seen = frame.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(CORRUPT).isNull()).alias("fit")).first()
-            shares[delimiter] = seen["fit"] / seen["n"] if seen["n"] else 1.0
+        parts = _csv_parts(spark, groups, delimiter, multiline)
+        if all(len(names) > 1 for _, names in parts):
+            counted = [
+                frame.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(CORRUPT).isNull()).alias("fit")).first()
+                for frame, names in parts]
+            n, fit = (sum(c[i] for c in counted) for i in range(2))
+            shares[delimiter] = fit / n if n else 1.0
     if not shares:
         return DELIMITERS[0]
     best = [d for d, share in shares.items() if share == max(shares.values())]
@@ -35,20 +55,37 @@ def guess_delimiter(spark: SparkSession, path: str, multiline: bool = True) -> s
     return best[0]
 
 
+def _csv_parts(
+    spark: SparkSession, groups: list[str | list[str]], delimiter: str, multiline: bool
+) -> list[tuple[DataFrame, list[str]]]:
+    """Rows and column names of each group of files that share a header."""
+    parts = []
+    for files in groups:
+        reader = spark.read.options(
+            header=True, sep=delimiter, quote='"', escape='"', multiLine=multiline,
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+            nullValue="\x00", emptyValue="",
+        )
+        names = reader.csv(files).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+        frame = reader.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(files)
+        blank = F.length(F.trim(F.concat_ws("", *[F.col(f"`{c}`") for c in names]))) == 0
+        parts.append((frame.filter(~blank), names))
+    return parts
+
+
 def _csv_with_errors(
     spark: SparkSession, path: str, delimiter: str | None, multiline: bool
-) -> tuple[DataFrame, list[str], str]:
+) -> tuple[list[tuple[DataFrame, list[str]]], str]:
     delimiter = delimiter or guess_delimiter(spark, path, multiline)
-    reader = spark.read.options(
-        header=True, sep=delimiter, quote='"', escape='"', multiLine=multiline,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        nullValue="\x00", emptyValue="",
-    )
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
-    frame = reader.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    blank = F.length(F.trim(F.concat_ws("", *[F.col(f"`{c}`") for c in names]))) == 0
-    return frame.filter(~blank), names, delimiter
+    return _csv_parts(spark, header_groups(spark, path), delimiter, multiline), delimiter
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
 
 
 def read_csv(
@@ -56,34 +93,38 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header, every field a string, all-blank rows left out.
 
+    Each file is read by its own header: columns are matched by name, and one that a file lacks is null there.
     ``multiline=True`` allows line breaks inside quotes, but then each file is
     read by one task: for large inputs give many files, or ``multiline=False``.
     """
-    frame, names, _ = _csv_with_errors(spark, path, delimiter, multiline)
-    return frame.drop(CORRUPT)
+    parts, _ = _csv_with_errors(spark, path, delimiter, multiline)
+    return _together([frame.drop(CORRUPT) for frame, _ in parts])
 
 
 def csv_errors(
     spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool = True
 ) -> DataFrame:
     """Rows with too few or too many fields: kind, expected and parsed counts, raw text."""
-    frame, names, sep = _csv_with_errors(spark, path, delimiter, multiline)
+    parts, sep = _csv_with_errors(spark, path, delimiter, multiline)
     bare = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")  # a doubled quote is two quoted parts side by side
     parsed = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
-    return frame.filter(F.col(CORRUPT).isNotNull()).select(
-        F.when(parsed < len(names), "TooFewFields").otherwise("TooManyFields").alias("kind"),
-        F.lit(len(names)).alias("expected"),
-        parsed.cast("int").alias("parsed"),
-        F.col(CORRUPT).alias("raw"),
-    )
+    return _together([
+        frame.filter(F.col(CORRUPT).isNotNull()).select(
+            F.when(parsed < len(names), "TooFewFields").otherwise("TooManyFields").alias("kind"),
+            F.lit(len(names)).alias("expected"),
+            parsed.cast("int").alias("parsed"),
+            F.col(CORRUPT).alias("raw"),
+        )
+        for frame, names in parts
+    ])
 
 
 def csv_report(
     spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool = True
 ) -> DataFrame:
     """One row: kept rows and rows with a field-count error."""
-    frame, _, _ = _csv_with_errors(spark, path, delimiter, multiline)
-    return frame.agg(
+    parts, _ = _csv_with_errors(spark, path, delimiter, multiline)
+    return _together([frame.select(CORRUPT) for frame, _ in parts]).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(F.col(CORRUPT)).alias("n_errors")
     )
 

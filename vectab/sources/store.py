@@ -30,13 +30,14 @@ def upsert(
 ) -> DataFrame:
     """Replace or insert the batch rows; of equal keys in the batch the last wins.
 
-    The target is only probed on its key (anti join), never sorted or regrouped.
+    A row is replaced as a whole: columns that only the target has are null in batch rows, columns that only the
+    batch has are added and null in the others. The target is only probed on its key (anti join), never sorted or regrouped.
     """
     if skip_keys is not None:
         batch = batch.join(skip_keys.select(key), key, "left_anti")
-    newest = last_per_key(batch, key, order_by).select(*target.columns)
+    newest = last_per_key(batch, key, order_by)
     changed = batch.select(key).distinct()  # keys alone: the ranking need not run twice
-    return target.join(changed, key, "left_anti").unionByName(newest)
+    return target.join(changed, key, "left_anti").select(*target.columns).unionByName(newest, allowMissingColumns=True)
 
 
 def new_rows(
@@ -142,8 +143,11 @@ class Store:
         return self.write(name, upsert(self.read(name), batch, key, order_by), key)
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
-        """Add rows to the current version; nothing that is there is rewritten."""
+        """Add rows to the current version; nothing that is there is rewritten unless the rows bring new columns."""
         known = self.read(name)
+        if set(rows.columns) - set(known.columns):
+            return self.write(name, known.unionByName(rows, allowMissingColumns=True), self.key(name))
+        rows = known.limit(0).unionByName(rows, allowMissingColumns=True)
         path = f"{self.root}/{name}/v{self._current(name):08d}"
         rows.select(*known.columns).write.mode("append").parquet(path)
         return self.read(name)
