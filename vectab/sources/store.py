@@ -31,11 +31,12 @@ def upsert(
     """Replace or insert the batch rows; of equal keys in the batch the last wins.
 
     A row is replaced as a whole: columns that only the target has are null in batch rows, columns that only the
-    batch has are added and null in the others. The target is only probed on its key (anti join), never sorted or regrouped.
+    batch has are added and null in the others, but for columns that are named to order the batch. The target is only probed on its key (anti join), never sorted or regrouped.
     """
     if skip_keys is not None:
         batch = batch.join(skip_keys.select(key), key, "left_anti")
-    newest = last_per_key(batch, key, order_by)
+    helpers = [c for c in order_by if isinstance(c, str) and c not in target.columns]
+    newest = last_per_key(batch, key, order_by).drop(*helpers)
     changed = batch.select(key).distinct()  # keys alone: the ranking need not run twice
     return target.join(changed, key, "left_anti").select(*target.columns).unionByName(newest, allowMissingColumns=True)
 
