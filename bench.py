@@ -22,7 +22,8 @@ HEADLINE = [
     "knn_graph", "pair_distances", "embed", "compose_text", "token_count", "rule_tags", "upsert",
     "insert_new", "union_last_wins", "csv_scan", "json_scan", "dim_mean", "sbq_encode", "medoid",
     "cluster_spread", "linkage_avg", "project_2d", "density_ball", "dbscan", "declutter_labels",
-    "eps_join", "overlap_join", "density_blur", "node_bbox",
+    "eps_join", "overlap_join", "density_blur", "node_bbox", "ann_follow_search", "search_sbq_stored", "best_match_probe",
+    "knn_graph_descent", "window_query_packed", "knn_2d_packed", "greedy_independent_set",
 ]
 
 
