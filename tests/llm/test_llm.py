@@ -382,3 +382,15 @@ def test_pii_long_texts_without_blanks(spark):
     assert [out[i] for i in (0, 2, 3, 4)] == [texts[i] for i in (0, 2, 3, 4)] and len(out[1]) == len(texts[1])
     docs = spark.createDataFrame([(1, "bob@site.com. +49 123 4567 8901bob@x.com, a@b.co.1 @b.com a@b")], "doc_id int, text string")
     assert "bob" not in (text := pii.pseudonymise(docs).collect()[0].text) and text.count("@mail.invalid") == 3
+
+
+def test_shards_do_not_depend_on_files_and_move_little(spark):
+    rows = [(i, f"text {i % 7}") for i in range(4000)] + [(5, "text 5")] * 1500 + [(None, None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (
+        sorted(map(str, sharding.shard(d).drop("slot").collect())) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == two
+    keys = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    before, after = ({r.doc_id: r.shard for r in sharding.shard(keys, shards=n).collect()} for n in (24, 25))
+    moved = [k for k in before if before[k] != after[k]]
+    assert len(moved) / 20_000 < 0.08 and sum(after[k] != 24 for k in moved) / 20_000 < 0.04

@@ -67,8 +67,8 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
 
     The law is ``rows``: shards differ by at most one row. ``size`` is the UTF-8 length
     of the text plus 8. A key hashes to an arc of the ring, so rows with equal keys,
-    and null keys, share an arc; the arc is cut where its shard is full, so no key
-    can overfill a shard. Equal texts lie wherever their keys put them. ``slot`` is gapless
+    and null keys, share an arc; the arc is cut, in the order of the key hashes, where its shard is full, so no key
+    can overfill a shard and the same rows in other files go to the same shards. Equal texts lie wherever their keys put them. ``slot`` is gapless
     from 0 in each shard. ``grown_shard`` is null under this law. A null text has size
     8 and checksum 0. With fewer rows than shards some shards stay empty; an
     empty table gives an empty one. Other columns are not read.
@@ -76,8 +76,12 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     t = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(
         F.col(key).alias("k"), (F.length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"),
-        F.xxhash64(F.col(key), F.lit("shard")).alias("h"),
+        F.xxhash64(F.col(key), F.lit("shard")).alias("h"), F.monotonically_increasing_id().alias("tie"),
     )
+    # in ring order, so that ranks inside an arc do not depend on the files, and an arc lies in one task or a few
+    # neighbouring ones; rows that repeat differ by ``tie`` alone, which spreads them
+    around = ["h", "text_crc32", "size", "tie"]
+    rows = rows.repartitionByRange(*around).sortWithinPartitions(*around).drop("tie")
     places, owner = ring(shards, nodes)
     arcs = len(places)
 
@@ -96,7 +100,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
 
     kind = dict(rows.dtypes)["k"]
     ranked = cut_lineage(rows.mapInArrow(run, f"k {kind}, size bigint, text_crc32 bigint, part int, arc int, rank bigint"))
-    # only counts per task and arc are summed up; the plan is bounded by the ring
+    # only counts per task and arc are summed up, about as many as tasks and arcs; the plan is bounded by the ring
     counts = ranked.groupBy("part", "arc").agg((F.max("rank") + 1).alias("n"))
     before = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut_lineage(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
