@@ -394,3 +394,16 @@ def test_shards_do_not_depend_on_files_and_move_little(spark):
     before, after = ({r.doc_id: r.shard for r in sharding.shard(keys, shards=n).collect()} for n in (24, 25))
     moved = [k for k in before if before[k] != after[k]]
     assert len(moved) / 20_000 < 0.08 and sum(after[k] != 24 for k in moved) / 20_000 < 0.04
+
+
+@pytest.mark.parametrize("end_id", [0, 70_000])
+def test_packed_ids_are_whole(spark, end_id):
+    texts = ["", None, "some words here", "word " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = packing.pack_documents(docs, WORD_BPE, end_id=end_id).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    library = Tokenizer.from_file(WORD_BPE)
+    for k, t in enumerate(texts):
+        pieces = sorted((r.piece, bytes(r.ids)) for r in rows if r.doc_id == k)
+        ids = np.frombuffer(b"".join(raw for _, raw in pieces), dtype="<u4").tolist()
+        assert ids == [*library.encode(t or "", add_special_tokens=False).ids, end_id]
