@@ -338,8 +338,12 @@ def _(spark, sf):
 
 
 def _arriving(spark, sf, name):
+    """The table as a stream, be it one file or a folder of part files.
+
+    A plain path must be a folder for the stream's reader, a pattern may match either.
+    """
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.[p]arquet")
 
 
 @_q("stream_embed", _EMBED_SQL)
