@@ -2,9 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from vectab.checks import QUERIES
+from vectab.operators import spatial
+from vectab.plans import graph
 
 
 @pytest.mark.parametrize("name, table", [("stream_embed", "documents"), ("stream_search", "embeddings")])
@@ -17,3 +20,35 @@ def test_streams_read_folders_of_parts(spark, sf, tmp_path, name, table):
     spark.read.parquet(str(tmp_path / f"{table}.parquet")).toPandas().to_parquet(tmp_path / "one" / f"{table}.parquet")
     parts = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
     assert parts and parts == sorted(map(tuple, QUERIES[name](spark, str(tmp_path / "one")).collect()))
+
+
+def test_greedy_set_of_a_crowd_forms_no_square(spark, tmp_path, monkeypatch):
+    """Everyone is close to everyone: one item is kept, and the edges asked for stay in line with the items."""
+    rows = spark.range(3000).selectExpr("id AS vec_id", "array(cast(rand(3) / 50 AS float), cast(rand(4) / 50 AS float)) AS embedding", "0 AS label")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    asked, join = [], spatial.eps_join
+    monkeypatch.setattr(spatial, "eps_join", lambda *a, **k: asked.append(join(*a, **k)) or asked[-1])
+    assert [r.vec_id for r in QUERIES["greedy_independent_set"](spark, str(tmp_path)).collect()] == [0]
+    assert asked and sum(e.count() for e in asked) < 100 * 3000
+
+
+@pytest.mark.parametrize("eps", [0.05, 0.3])
+def test_greedy_set_edges_on_demand(spark, eps):
+    """Given edges, edges on demand and a plain walk agree, with several stretches of the order."""
+    rng = np.random.default_rng(5)
+    xy = rng.random((300, 2)).tolist()
+    kept = []
+    for i, p in enumerate(xy):
+        if all(np.hypot(p[0] - xy[j][0], p[1] - xy[j][1]) >= eps for j in kept):
+            kept.append(i)
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(xy)], "pos long, x double, y double")
+    edges = spatial.eps_join(points, eps, "pos").selectExpr("i AS a", "j AS b")
+    on_demand = lambda probes, others: spatial.eps_join(probes, eps, "pos", others=others).selectExpr("i AS a", "j AS b")
+    monkey = graph.BLOCK_ITEMS
+    graph.BLOCK_ITEMS = 50
+    try:
+        found = [graph.greedy_independent_set(points, edges), graph.greedy_independent_set(points, on_demand),
+                 graph.greedy_independent_set(spatial.clique_cells(points, eps), on_demand, ["cx", "cy"])]
+        assert [sorted(r.pos for r in f.collect()) for f in found] == [kept] * 3
+    finally:
+        graph.BLOCK_ITEMS = monkey

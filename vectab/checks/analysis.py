@@ -431,9 +431,11 @@ def _(spark, sf):
       FROM walk JOIN near ON near.k = walk.k + 1)
     SELECT unnest(f) AS vec_id FROM (SELECT f FROM walk ORDER BY k DESC LIMIT 1)""")
 def _(spark, sf):
-    points = plane(spark, sf)
-    edges = spatial.eps_join(points, 0.04, "vec_id").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    return greedy_independent_set(points.select(F.col("vec_id").alias("pos")), edges).select(F.col("pos").alias("vec_id"))
+    def edges(probes, others):
+        return spatial.eps_join(probes, 0.04, "pos", others=others).select(F.col("i").alias("a"), F.col("j").alias("b"))
+
+    points = spatial.clique_cells(plane(spark, sf), 0.04).select(F.col("vec_id").alias("pos"), "x", "y", "cx", "cy")
+    return greedy_independent_set(points, edges, ["cx", "cy"]).select(F.col("pos").alias("vec_id"))
 
 
 BOX_SQL = f"{SCREEN_SQL}, box AS (SELECT vec_id, sx AS x0, sx + (label + 1) * 7.0::DOUBLE AS x1, sy AS y0, sy + 14.0::DOUBLE AS y1 FROM screen)"
