@@ -3,10 +3,12 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.classic import dataframe as spark_frame
 
 from vectab.checks import QUERIES
-from vectab.operators import spatial
+from vectab.operators import blocks, hac, search, spatial
 from vectab.plans import graph
 
 
@@ -52,3 +54,49 @@ def test_greedy_set_edges_on_demand(spark, eps):
         assert [sorted(r.pos for r in f.collect()) for f in found] == [kept] * 3
     finally:
         graph.BLOCK_ITEMS = monkey
+
+
+def test_blocks_are_copied_as_little_as_cores_allow():
+    rows = blocks.BLOCK_ROWS
+    assert blocks.plan_blocks(615_000, 615_000, rows, 12) == (7, 7)
+    left, right = blocks.plan_blocks(40, 615_000, rows, 12)
+    assert left == 1 and 7 <= right <= 12  # the large side is not copied for a few that ask
+    assert blocks.plan_blocks(0, 0, rows, 12) == (1, 1)
+
+
+def test_many_hits_leave_tile_by_tile(spark, monkeypatch):
+    v = np.random.default_rng(2).normal(size=(120, 4))
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "id long, v array<double>")
+    monkeypatch.setattr(blocks, "HIT_TILE", 500)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = search.pair_distances(rows, "id", "v", 2.0).collect()
+    assert len(got) == 120 * 119 // 2 and all(abs(r.dist - (1 - u[r.i] @ u[r.j])) < 1e-9 for r in got)
+    # what a task gives for a block pair comes in pieces of a tile at most
+    seen = {}
+    monkeypatch.setattr(spark_frame.DataFrame, "groupBy", lambda f, *k: seen.setdefault("g", type("G", (), {"applyInArrow": lambda s, run, out: seen.setdefault("run", run)})()))
+    left, right = (blocks.keyed_vectors(rows, "id", "v", s) for s in "lr")
+    run = blocks.threshold_join(left, right, -1.0, sizes=(120, 120))
+    columns = {"is_left": [True] * 120 + [False] * 120, "l_key": [*range(120)] + [None] * 120, "l_vec": v.tolist() + [None] * 120,
+               "r_key": [None] * 120 + [*range(120)], "r_vec": [None] * 120 + v.tolist()}
+    sizes = [b.num_rows for b in run(iter(pa.table(columns).to_batches()))]
+    assert sum(sizes) == 120 * 120 and max(sizes) <= 500
+
+
+def test_best_one_is_best_k_with_rivals():
+    rng = np.random.default_rng(4)
+    s = rng.integers(0, 4, (50, 9)) / 3 + rng.normal(size=(50, 9)) * 1e-14
+    s[3], s[4, 2], s[5, :] = -np.inf, np.nan, 0.5
+    for got, want in zip(blocks.best_one(s), blocks.best_k(np.round(s, 12), 1)):
+        assert got.tolist() == want.tolist()
+
+
+def test_tree_is_the_same_wherever_its_end_is_made(spark, monkeypatch):
+    rows = [(i, x) for i, x in enumerate(np.random.default_rng(6).normal(size=(60, 5)).tolist())]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    jobs, cut = [], hac.cut_lineage
+    monkeypatch.setattr(hac, "cut_lineage", lambda df: jobs.append(1) or cut(df))
+    whole = sorted(map(tuple, hac.hac(table, "id", "v")[1].selectExpr("rank", "node", "left", "right", "round(height, 9)", "size", "round(spread, 9)").collect()))
+    assert len(jobs) < 6  # the last clusters cost no jobs
+    monkeypatch.setattr(hac, "FINISH", 20)
+    parts = sorted(map(tuple, hac.hac(table, "id", "v")[1].selectExpr("rank", "node", "left", "right", "round(height, 9)", "size", "round(spread, 9)").collect()))
+    assert whole == parts and len(whole) == 59

@@ -54,13 +54,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def block_count(rows: int, block_rows: int, parallelism: int, least: int = 256) -> int:
-    """Blocks of at most ``block_rows`` rows, yet enough to keep all cores busy."""
-    for_size = -(-rows // block_rows)
-    for_cores = min(parallelism, -(-rows // least))
-    return max(1, for_size, for_cores)
-
-
 def _columns(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
