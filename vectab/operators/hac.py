@@ -10,17 +10,20 @@ neighbour did not merge keeps it, so later rounds only ask for the others.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, nonzero, unit
 from ..plans.graph import climb_to_roots
 from ..plans.scaling import cut_lineage, global_row_number, salted_join
-from .blocks import topk_join
+from .blocks import SCORE_DIGITS, matrix, topk_join
 from .stats import pick_k_peak, spread_by_k
 from .table import scan_many
 
-CLUSTER = "struct(id, rep, size, h, spread, s, nn, dist)"
+FINISH = 4096  # clusters that one task may merge to the end
+CLUSTER = "struct(id, rep, size, h, spread, nn, dist)"
 MERGE_SCHEMA = (
     "rank long, node long, left long, right long, height double, size long, "
     "spread double, left_spread double, right_spread double"
@@ -38,29 +41,34 @@ def _merge_mutual(state: DataFrame, stride: int) -> DataFrame:
 
     A cluster and its nearest neighbour form a sorted pair of ids. Two rows with
     the same pair are each other's nearest and merge (``l``, ``r`` are set); a
-    single row stays as it is. No group has more than two rows.
+    single row stays as it is. No group has more than two rows. The spread of a merged
+    cluster is left open, it needs the vectors.
     """
     grouped = (
         state.groupBy(F.expr("least(id, nn) AS l"), F.expr("greatest(id, nn) AS r"))
         .agg(F.expr(f"min({CLUSTER}) AS a"), F.expr(f"max({CLUSTER}) AS b"), F.expr("count(1) = 2 AS both"))
-        .selectExpr(
-            "*", "least(a.rep, b.rep) AS rep",
-            "if(both, a.size + b.size, a.size) AS size",
-            "if(both, zip_with(a.s, b.s, (x, y) -> x + y), a.s) AS s",
-        )
     )
-    spread = spread_of(F.col("size"), F.col("s")).alias("new_spread")
-    return grouped.select("*", spread).selectExpr(
-        f"if(both, {stride}L + rep, a.id) AS id", "rep", "size",
+    return grouped.selectExpr(
+        f"if(both, {stride}L + least(a.rep, b.rep), a.id) AS id", "least(a.rep, b.rep) AS rep",
+        "if(both, a.size + b.size, a.size) AS size",
         # a merge is never lower than its parts; this also holds against rounding
         "if(both, greatest(a.dist, a.h, b.h), a.h) AS h",
-        "if(both, new_spread, a.spread) AS spread", "s",
+        "if(both, NULL, a.spread) AS spread",
         "if(both, NULL, a.nn) AS nn", "if(both, NULL, a.dist) AS dist",
         "if(both, l, NULL) AS l", "if(both, r, NULL) AS r",
         "if(both, a.spread, NULL) AS left_spread", "if(both, b.spread, NULL) AS right_spread",
     )
 
 
+def _merge_vectors(vectors: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged clusters with size, sum and spread, all clusters with size and sum) after a round."""
+    moves = pool.filter("l IS NOT NULL").selectExpr("id AS new", "explode(array(l, r)) AS id")
+    pairs = vectors.join(moves, "id").groupBy("new").agg(F.sum("size").alias("size"), F.collect_list("s").alias("p"))
+    born = pairs.selectExpr("new AS id", "size", "zip_with(p[0], p[1], (x, y) -> x + y) AS s")
+    born = cut_lineage(born.withColumn("spread", spread_of(F.col("size"), F.col("s"))))
+    return born, cut_lineage(vectors.join(moves, "id", "left_anti").unionByName(born.drop("spread")))
+
+
 def _forget_merged(pool: DataFrame) -> DataFrame:
     """Clear the nearest neighbour of clusters whose neighbour has merged.
 
@@ -69,7 +77,7 @@ def _forget_merged(pool: DataFrame) -> DataFrame:
     gone = pool.filter("l IS NOT NULL").selectExpr("explode(array(l, r)) AS nn", "true AS _gone")
     known = salted_join(pool, gone, ["nn"], spread="id", how="left")
     return known.selectExpr(
-        "id", "rep", "size", "h", "spread", "s",
+        "id", "rep", "size", "h", "spread",
         "if(_gone IS NULL, nn, NULL) AS nn", "if(_gone IS NULL, dist, NULL) AS dist",
     )
 
@@ -90,34 +98,78 @@ def hac_rows(rows: DataFrame) -> DataFrame:
     n = rows.count()
     if n < 2:
         return rows.sparkSession.createDataFrame([], MERGE_SCHEMA)
+    # the vectors lie apart, so that what a round shuffles by neighbours is a few numbers per cluster
+    vectors = rows.select(F.col("idx").alias("id"), F.lit(1).cast("long").alias("size"), F.col("u").alias("s"))
     state = rows.select(
         F.col("idx").alias("id"), F.col("idx").alias("rep"), F.lit(1).cast("long").alias("size"),
-        F.lit(0.0).alias("h"), F.lit(0.0).alias("spread"), F.col("u").alias("s"),
+        F.lit(0.0).alias("h"), F.lit(0.0).alias("spread"),
         F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("dist"),
     )
     steps: list[DataFrame] = []
-    live = n
-    while live > 1:
-        state = cut_lineage(_with_neighbours(state, live))
-        pool = cut_lineage(_merge_mutual(state, (len(steps) + 1) * n))
-        step = pool.filter("l IS NOT NULL")
-        steps.append(step.select(
+    live = asking = n
+    while live > FINISH:
+        pool = cut_lineage(_merge_mutual(_with_neighbours(state, vectors, asking, live), (len(steps) + 1) * n))
+        born, vectors = _merge_vectors(vectors, pool)
+        spreads = born.select("id", F.col("spread").alias("_spread"))
+        pool = pool.join(spreads, "id", "left").withColumn("spread", F.coalesce("spread", "_spread")).drop("_spread")
+        steps.append(pool.filter("l IS NOT NULL").select(
             "id", "l", "r", F.col("h").alias("height"), "size", "spread", "left_spread", "right_spread"))
-        live = pool.count()
-        state = _forget_merged(pool)
+        state = cut_lineage(_forget_merged(pool))
+        counts = state.agg(F.count(F.lit(1)).alias("live"), F.count_if(F.col("nn").isNull()).alias("asking")).first()
+        live, asking = counts["live"], counts["asking"]
+    if live > 1:
+        steps.append(_finish(state.join(vectors.select("id", "s"), "id"), n, len(steps)))
     return _number_merges(scan_many(steps), n)
 
 
-def _with_neighbours(state: DataFrame, live: int) -> DataFrame:
-    """Fill in the nearest other cluster where it is unknown; ``live`` is the row count."""
+def _finish(state: DataFrame, n: int, turn: int) -> DataFrame:
+    """The merges of the last ``FINISH`` clusters, whatever the table: the same rounds, without a job for each."""
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids, rep, size, h, spread, dist = (group[c].to_numpy() for c in ("id", "rep", "size", "h", "spread", "dist"))
+        nn, s = group["nn"].fill_null(-1).to_numpy().copy(), matrix(group["s"])
+        dist, number, out = dist.copy(), turn, []
+        while len(ids) > 1:
+            number += 1
+            mean, ask = s / size[:, None], np.flatnonzero(nn < 0)
+            for part in np.array_split(ask, 1 + len(ask) // 512):
+                scores = np.round(mean[part] @ mean.T, SCORE_DIGITS)
+                scores[np.arange(len(part)), part] = -np.inf
+                nn[part], dist[part] = ids[scores.argmax(axis=1)], 1 - scores.max(axis=1, initial=-np.inf)
+            at = np.searchsorted(ids, nn)
+            a = np.flatnonzero((at[at] == np.arange(len(ids))) & (np.arange(len(ids)) < at))
+            b = at[a]
+            if not len(a):
+                raise ValueError("vectors with values that are no finite numbers")
+            new, both, total = number * n + np.minimum(rep[a], rep[b]), size[a] + size[b], s[a] + s[b]
+            high = np.maximum(dist[a], np.maximum(h[a], h[b]))
+            wide = 1 - ((total * total).sum(axis=1) - both) / (both * (both - 1))
+            out.append((new, ids[a], ids[b], high, both, wide, spread[a], spread[b]))
+            rest = np.ones(len(ids), dtype=bool)
+            rest[a] = rest[b] = False
+            nn = np.where(rest[at], nn, -1)[rest]
+            none = np.full(len(a), -1, dtype=np.int64)
+            columns = zip((ids[rest], rep[rest], size[rest], h[rest], spread[rest], nn, dist[rest], s[rest]),
+                          (new, np.minimum(rep[a], rep[b]), both, high, wide, none, np.zeros(len(a)), total))
+            order = np.argsort(np.concatenate([ids[rest], new]))
+            ids, rep, size, h, spread, nn, dist, s = (np.concatenate(c)[order] for c in columns)
+        return pa.table([np.concatenate(c) for c in zip(*out)], names=["id", "l", "r", "height", "size", "spread", "left_spread", "right_spread"])
+
+    return state.groupBy(F.lit(0).alias("all")).applyInArrow(
+        run, "id long, l long, r long, height double, size long, spread double, left_spread double, right_spread double")
+
+
+def _with_neighbours(state: DataFrame, vectors: DataFrame, asking: int, live: int) -> DataFrame:
+    """Fill in the nearest other cluster where it is unknown: for ``asking`` of ``live`` clusters."""
     mean = "transform(s, x -> x / size)"
-    left = state.filter("nn IS NULL").selectExpr("id AS l_key", f"{mean} AS l_vec")
-    right = state.selectExpr("id AS r_key", f"{mean} AS r_vec")
-    found = topk_join(left, right, 1, metric="dot", exclude_same=True, sizes=(live, live)).selectExpr(
-        "l_key AS id", "r_key AS _nn", "1 - score AS _dist"
-    )
+    open_ids = state.filter("nn IS NULL").select("id")
+    left = vectors if asking == live else vectors.join(open_ids, "id", "left_semi")
+    found = topk_join(
+        left.selectExpr("id AS l_key", f"{mean} AS l_vec"), vectors.selectExpr("id AS r_key", f"{mean} AS r_vec"),
+        1, metric="dot", exclude_same=True, sizes=(asking, live),
+    ).selectExpr("l_key AS id", "r_key AS _nn", "1 - score AS _dist")
     return state.join(found, "id", "left").selectExpr(
-        "id", "rep", "size", "h", "spread", "s", "coalesce(nn, _nn) AS nn", "coalesce(dist, _dist) AS dist",
+        "id", "rep", "size", "h", "spread", "coalesce(nn, _nn) AS nn", "coalesce(dist, _dist) AS dist",
     )
 
 
@@ -176,8 +228,7 @@ def hac_edges(edges: DataFrame, n: int, linkage: str = "average") -> DataFrame:
         nearest = both.groupBy("id").agg(F.min(F.struct("d", "o")).alias("m")).select(
             "id", F.col("m.o").alias("nn"), F.col("m.d").alias("dist"))
         state = nearest.join(sizes, "id").select(
-            "id", "rep", "size", "h", F.lit(0.0).alias("spread"), F.array().cast("array<double>").alias("s"),
-            "nn", "dist")
+            "id", "rep", "size", "h", F.lit(0.0).alias("spread"), "nn", "dist")
         new = cut_lineage(_merge_mutual(state, turn * n).filter("l IS NOT NULL"))
         renamed = new.select(F.explode(F.array("l", "r")).alias("old"), F.col("id").alias("new"))
 
