@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql.classic import dataframe as spark_frame
 
 from vectab.checks import QUERIES
-from vectab.operators import blocks, hac, search, spatial
+from vectab.operators import ann, blocks, hac, search, spatial
 from vectab.plans import graph
 
 
@@ -100,3 +100,20 @@ def test_tree_is_the_same_wherever_its_end_is_made(spark, monkeypatch):
     monkeypatch.setattr(hac, "FINISH", 20)
     parts = sorted(map(tuple, hac.hac(table, "id", "v")[1].selectExpr("rank", "node", "left", "right", "round(height, 9)", "size", "round(spread, 9)").collect()))
     assert whole == parts and len(whole) == 59
+
+
+def test_limited_matching_shuffles_no_pair_with_a_vector(spark):
+    """Visits carry codes only, and short lists meet a small indexed side by broadcast."""
+    v = np.random.default_rng(8).normal(size=(80, 6)).tolist()
+    table = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>")
+    index = ann.ann_build(table, "id", "v", n_cells=6)
+    rows = table.selectExpr("id AS l_key", "v AS l_vec", "1 AS more")
+    assert set(ann.nearest_cells(index, rows, 2, with_vector=False).columns) == {"l_key", "more", "parent", "cell", "away"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ann.match_ann(table, index, "id", "v", n_probe=3)
+        assert all(r.id == r.hit_key for r in found.collect())
+        assert "BroadcastHashJoin [r_key" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

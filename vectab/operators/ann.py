@@ -35,6 +35,7 @@ from .stats import sbq_fit
 MAX_SEGMENTS = 8  # more are merged into one
 REMOVED_SHARE = 0.25  # so are segments of which a larger share has been removed
 REFIT_GROWTH = 4  # centres are fitted anew for a table that has grown this much since
+BROADCAST_VALUES = 1 << 21  # numbers of an indexed side that every task may hold: 16 MB
 SHORTLIST = 64  # rows per left row whose vectors are compared after the codes
 
 
@@ -273,15 +274,19 @@ def _doors(index: CellIndex, rows: DataFrame, most: int | None) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
-def nearest_cells(index: CellIndex, rows: DataFrame, most: int | None) -> DataFrame:
-    """Cells that each row has to visit: its ``most`` nearest, or all that can beat its score. Adds parent, cell, away."""
+def nearest_cells(index: CellIndex, rows: DataFrame, most: int | None, with_vector: bool = True) -> DataFrame:
+    """Cells that each row has to visit: its ``most`` nearest, or all that can beat its score. Adds parent, cell, away.
+
+    Every visit carries the row's vector, unless ``with_vector`` is false.
+    """
     at_doors = cut_lineage(_doors(index, rows, most))
     load = at_doors.groupBy("parent").agg(crowd(F.count(F.lit(1))).alias("shares"))
     lefts = salted_join(at_doors, load, ["parent"], spread="l_key").withColumn(
         "share", F.pmod(F.xxhash64("l_key"), F.col("shares")).cast("int")).drop("shares")
     cells = index.cells.join(index.centres.fine, ["parent", "cell"]).join(load, "parent")
     rights = cells.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("parent", "share", "cell", "centre", "reach")
-    out = T.StructType([*lefts.drop("share").schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+    left_out = ["share"] if with_vector else ["share", "l_vec"]
+    out = T.StructType([*lefts.drop(*left_out).schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
     arrow = to_arrow_schema(out)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -299,7 +304,7 @@ def nearest_cells(index: CellIndex, rows: DataFrame, most: int | None) -> DataFr
                 i, j = best_k(-angles, most)
             parts.append((i + low, j, angles[i, j]))
         i, j, away = (np.concatenate(p) for p in zip(*parts))
-        kept = left.drop(["share"]).take(pa.array(i))
+        kept = left.drop(left_out).take(pa.array(i))
         return pa.table([*kept.columns, right["cell"].combine_chunks().take(pa.array(j)), pa.array(away)], schema=arrow)
 
     found = lefts.groupBy("parent", "share").cogroup(rights.groupBy("parent", "share")).applyInArrow(run, out)
@@ -380,11 +385,14 @@ def match_ann(
         hits = known.unionByName(_against(index, more, "l_vec", "u", *exact)) if not more.isEmpty() else known
     else:
         asked = coded(rows, index.mean, index.std, "l_vec", "l_code")
-        visits = cut_lineage(nearest_cells(index, asked, n_probe).drop("l_vec"))
+        visits = cut_lineage(nearest_cells(index, asked, n_probe, with_vector=False))
         codes = _against(index, visits, "l_code", "code", *code_kernel(key_type, hit_type, shortlist))
-        listed = cut_lineage(rank_best(codes, shortlist).select("l_key", "r_key"))
         vectors = index.entries.select(F.col("key").alias("r_key"), F.col("u").alias("r_vec"))
-        hits = listed.join(vectors, "r_key").join(rows, "l_key").select(
+        if index.state["rows"] * index.state["dims"] <= BROADCAST_VALUES:
+            vectors = F.broadcast(vectors)
+        # the short lists lie by left key already: no pair is shuffled with a vector, if the right side is small
+        listed = rank_best(codes, shortlist).select("l_key", "r_key").join(rows, "l_key")
+        hits = listed.join(vectors, "r_key").select(
             "l_key", "r_key", F.round(dot("l_vec", "r_vec"), SCORE_DIGITS).alias("score"))
     return rank_best(hits, 1).select(
         F.col("l_key").alias(key), F.col("r_key").alias("hit_key"), F.col("score").alias("_raw")
