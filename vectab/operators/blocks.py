@@ -41,15 +41,20 @@ def row_bound(table: DataFrame) -> int:
     return table.count()
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """A list column of equal lengths as a float64 matrix."""
+def raw_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of equal lengths as a matrix of its own number type."""
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):  # older Arrow keeps one chunk wrapped
         lists = lists.chunk(0)
     sizes = pc.unique(pc.list_value_length(lists)).to_pylist()
     if len(sizes) != 1:
         raise ValueError(f"vectors of different dimensions in one comparison: {sizes}")
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), sizes[0])
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), sizes[0])
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of equal lengths as a float64 matrix."""
+    return raw_matrix(column).astype(np.float64)
 
 
 def score_tiles(left: pa.Table, right: pa.Table, metric: str, exclude_same: bool, tile: int = TILE, rounded: bool = True):
