@@ -5,7 +5,9 @@ import os
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.classic import dataframe as spark_frame
+from pyspark.sql.group import GroupedData
 
 from vectab.checks import QUERIES
 from vectab.operators import ann, blocks, hac, search, spatial
@@ -117,3 +119,38 @@ def test_limited_matching_shuffles_no_pair_with_a_vector(spark):
         assert "BroadcastHashJoin [r_key" in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_exact_matching_sends_a_row_to_a_block_once(spark, tmp_path, monkeypatch):
+    """Not to each cell that may win. Cutting the index into blocks, and crowded cells into parts, changes no match."""
+    rng = np.random.default_rng(9)
+    v, asked = rng.normal(size=(300, 6)), rng.normal(size=(500, 6))
+    v[40:120] = v[40]  # a crowd of copies: the smallest key wins
+    asked[:50] = v[40]
+    rows = lambda x: spark.createDataFrame(list(enumerate(x.tolist())), "id long, v array<double>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = dict(enumerate(np.round(unit(asked) @ unit(v).T, 12).argmax(axis=1).tolist()))
+    sent, cogroup = [], GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda a, b: (sent.append(a._df) if "l_vec" in a._df.columns else None) or cogroup(a, b))
+    index = ann.ann_build(rows(v), "id", "v")
+    found = lambda: {r.id: r.hit_key for r in ann.match_ann(rows(asked), index, "id", "v").collect()}
+    assert found() == want and sum(f.count() for f in sent) == len(asked)
+    sent.clear()
+    monkeypatch.setattr(ann, "BLOCK_VALUES", 6 * 50)
+    monkeypatch.setattr(ann, "PART_ROWS", 64)
+    assert found() == want
+    blocks = sum(f.select("block").distinct().count() for f in sent[:1])
+    pairs = sum(f.count() for f in sent)
+    assert len(sent) == 2 and blocks >= 4 and pairs == sent[0].union(sent[1]).select("l_key", "block").distinct().count()
+    # the rows of whole blocks are gone, then all rows
+    near = index.entries.filter(F.col("parent") == index.entries.first()["parent"]).select("key").toPandas()["key"].tolist()
+    path = str(tmp_path / "ix")
+    ann.ann_open(rows(v), "id", "v", path)
+    index = ann.ann_open(rows(v).filter(~F.col("id").isin(near)), "id", "v", path)
+    scores = np.round(unit(asked) @ unit(v).T, 12)
+    scores[:, near] = -2
+    assert found() == dict(enumerate(scores.argmax(axis=1).tolist()))
+    ann.ann_open(rows(v).limit(0), "id", "v", path)
+    ann.ann_compact(spark, path)
+    index = ann.ann_load(spark, path)
+    assert found() == {}

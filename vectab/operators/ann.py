@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +28,8 @@ from ..functions.quant import sbq_code, sbq_words
 from ..functions.vector import dot, lit_vector, nonzero, unit
 from ..plans.scaling import cut_lineage, salted_join
 from ..sources.segments import SegmentLog
-from .blocks import SCORE_DIGITS, TILE, best_k, emit, kernel, matrix, rank_best, run_blocks
-from .cells import SLACK, Centres, crowd, fit_centres, place_rows
+from .blocks import BLOCK_VALUES, SCORE_DIGITS, TILE, best_k, best_one, emit, matrix, rank_best, run_blocks
+from .cells import PART_ROWS, SLACK, Centres, crowd, fit_centres, place_rows, side_by_side
 from .search import attach_matches
 from .stats import sbq_fit
 
@@ -246,13 +247,45 @@ def search_ann(
     return best(index.entries.join(open_cells, ["parent", "cell"], "left_semi"))
 
 
-def _doors(index: CellIndex, rows: DataFrame, most: int | None) -> DataFrame:
-    """Parents that each row (l_key, l_vec, maybe score) has to enter: the ``most`` nearest, or all that can beat its score."""
+def _doors(index: CellIndex, rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` nearest parents of each row (l_key, l_vec)."""
+
+    def pick(table: pa.Table, angles: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return best_k(-angles, most)
+
+    return _picked_by_angle(index, rows, "parent", pick)
+
+
+def _block_doors(index: CellIndex, rows: DataFrame, plan: list[tuple[int, int, int]], scored: bool) -> DataFrame:
+    """Blocks that each row has to enter: those of its nearest parent, or with ``scored`` rows all others that can beat their score."""
+    first, parts = np.zeros((2, len(index.centres.coarse)), dtype=np.int64)
+    for parent, at, n in plan:
+        first[parent], parts[parent] = at, n
+    n_blocks = max(1, int((first + parts).max()))
+
+    def blocks(i: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Row and block as one number; a row enters a block once, however many parents it has there."""
+        n = parts[parent]
+        along = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.unique(np.repeat(i * n_blocks + first[parent], n) + along)
+
+    def pick(table: pa.Table, angles: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        into = blocks(np.arange(len(angles)), angles.argmin(axis=1))
+        if scored:
+            bound = np.arccos(np.clip(table["score"].fill_null(-1.0).to_numpy(), -1, 1)) + SLACK
+            into = np.setdiff1d(blocks(*np.nonzero(angles - reach <= bound[:, None])), into, assume_unique=True)
+        return np.divmod(into, n_blocks)
+
+    return _picked_by_angle(index, rows, "block", pick)
+
+
+def _picked_by_angle(index: CellIndex, rows: DataFrame, name: str, pick: Callable) -> DataFrame:
+    """Rows as often as ``pick`` has them, with the numbers it gives them; it sees their angles to the coarse centres and the reaches."""
     reach = np.full(len(index.centres.coarse), -np.inf)
     for r in index.parents.collect():  # one row per coarse centre, bounded by the fit
         reach[r["parent"]] = r["reach"]
     shared = rows.sparkSession.sparkContext.broadcast((index.centres.coarse, reach))
-    out = T.StructType([*rows.schema.fields, T.StructField("parent", T.IntegerType())])
+    out = T.StructType([*rows.schema.fields, T.StructField(name, T.IntegerType())])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,19 +296,15 @@ def _doors(index: CellIndex, rows: DataFrame, most: int | None) -> DataFrame:
                 table = pa.Table.from_batches([part])
                 angles = np.arccos(np.clip(matrix(table["l_vec"]) @ coarse.T, -1, 1))
                 angles[:, np.isinf(reach)] = np.inf
-                if most is None:
-                    bound = np.arccos(np.clip(table["score"].to_numpy(), -1, 1)) + SLACK
-                    i, parent = np.nonzero(angles - reach <= bound[:, None])
-                else:
-                    i, parent = best_k(-angles, most)
+                i, number = pick(table, angles, reach)
                 at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns), pa.array(parent, pa.int32())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns), pa.array(number, pa.int32())], schema=arrow)
 
     return rows.mapInArrow(run, out)
 
 
-def nearest_cells(index: CellIndex, rows: DataFrame, most: int | None, with_vector: bool = True) -> DataFrame:
-    """Cells that each row has to visit: its ``most`` nearest, or all that can beat its score. Adds parent, cell, away.
+def nearest_cells(index: CellIndex, rows: DataFrame, most: int, with_vector: bool = True) -> DataFrame:
+    """The ``most`` nearest cells of each row. Adds parent, cell, away.
 
     Every visit carries the row's vector, unless ``with_vector`` is false.
     """
@@ -284,7 +313,7 @@ def nearest_cells(index: CellIndex, rows: DataFrame, most: int | None, with_vect
     lefts = salted_join(at_doors, load, ["parent"], spread="l_key").withColumn(
         "share", F.pmod(F.xxhash64("l_key"), F.col("shares")).cast("int")).drop("shares")
     cells = index.cells.join(index.centres.fine, ["parent", "cell"]).join(load, "parent")
-    rights = cells.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("parent", "share", "cell", "centre", "reach")
+    rights = cells.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("parent", "share", "cell", "centre")
     left_out = ["share"] if with_vector else ["share", "l_vec"]
     out = T.StructType([*lefts.drop(*left_out).schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
     arrow = to_arrow_schema(out)
@@ -293,23 +322,17 @@ def nearest_cells(index: CellIndex, rows: DataFrame, most: int | None, with_vect
         if not len(left) or not len(right):
             return arrow.empty_table()
         right = right.sort_by("cell")
-        centres, reach, vectors = matrix(right["centre"]), right["reach"].to_numpy(), matrix(left["l_vec"])
+        centres, vectors = matrix(right["centre"]), matrix(left["l_vec"])
         step, parts = max(1, TILE // len(centres)), []
         for low in range(0, len(vectors), step):
             angles = np.arccos(np.clip(vectors[low:low + step] @ centres.T, -1, 1))
-            if most is None:
-                bound = np.arccos(np.clip(left["score"].to_numpy()[low:low + step], -1, 1)) + SLACK
-                i, j = np.nonzero(angles - reach <= bound[:, None])
-            else:
-                i, j = best_k(-angles, most)
+            i, j = best_k(-angles, most)
             parts.append((i + low, j, angles[i, j]))
         i, j, away = (np.concatenate(p) for p in zip(*parts))
         kept = left.drop(left_out).take(pa.array(i))
         return pa.table([*kept.columns, right["cell"].combine_chunks().take(pa.array(j)), pa.array(away)], schema=arrow)
 
     found = lefts.groupBy("parent", "share").cogroup(rights.groupBy("parent", "share")).applyInArrow(run, out)
-    if most is None:
-        return found
     nearest = Window.partitionBy("l_key").orderBy("away", "cell")
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= most).drop("rank")
 
@@ -334,6 +357,79 @@ def _against(index: CellIndex, visits: DataFrame, left: str, right: str, run: Ca
     return run_blocks(lefts, rights, ["cell", "part", "share"], run, out)
 
 
+def _in_blocks(index: CellIndex, visits: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """The best row for each visitor (l_key, l_vec, score or null) in a block: (l_key, r_key, score).
+
+    A block holds whole coarse cells, or part of a crowded one. The visitor goes there once; the cells that can beat its score are
+    found and compared inside. Many visitors come in shares, as large as the block, so that it is not copied more than they are.
+    """
+    blocks = F.broadcast(visits.sparkSession.createDataFrame(plan, "parent int, first int, parts int"))
+    places = F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)
+    rows = index.entries.join(blocks, "parent").select(
+        (F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int").alias("block"),
+        F.col("key").alias("r_key"), F.col("u").alias("r_vec"), "cell", F.lit(None).cast("double").alias("reach"))
+    cells = index.cells.join(index.centres.fine, ["parent", "cell"]).join(blocks, "parent").select(
+        F.explode(places).alias("block"), F.lit(None).cast(rows.schema["r_key"].dataType).alias("r_key"),
+        F.col("centre").alias("r_vec"), "cell", "reach")
+    size = rows.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    load = F.broadcast(cut_lineage(visits.groupBy("block").agg(F.count(F.lit(1)).alias("n")).join(size, "block").select(
+        "block", F.ceil(F.col("n") / F.greatest(F.lit(PART_ROWS), "size")).cast("int").alias("shares"))))
+    lefts = visits.join(load, "block").withColumn("share", F.pmod(F.xxhash64("l_key"), F.col("shares")).cast("int")).drop("shares")
+    rights = rows.unionByName(cells).join(load, "block").withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    return run_blocks(lefts, rights, ["block", "share"], *block_kernel(lefts.schema["l_key"].dataType, rows.schema["r_key"].dataType))
+
+
+def block_kernel(l_type: T.DataType, r_type: T.DataType) -> tuple[Callable, T.StructType]:
+    """The best row of a block for each left one, ties by smaller key. Right rows with a reach are the cells, with their centres."""
+    out = T.StructType([
+        T.StructField("l_key", l_type), T.StructField("r_key", r_type), T.StructField("score", T.DoubleType()),
+    ])
+    arrow = to_arrow_schema(out)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        cells = right.filter(pc.is_valid(right["reach"])).sort_by("cell")
+        right = right.filter(pc.is_null(right["reach"])).sort_by("r_key")
+        if not len(left) or not len(right):
+            return arrow.empty_table()
+        a, b, centres = matrix(left["l_vec"]), matrix(right["r_vec"]), matrix(cells["r_vec"])
+        reach, numbers = cells["reach"].to_numpy(), cells["cell"].to_numpy()
+        place = np.searchsorted(numbers, right["cell"].to_numpy())
+        order = np.argsort(place, kind="stable")
+        members = np.split(order, np.searchsorted(place[order], np.arange(1, len(numbers))))
+        filled = [c for c, own in enumerate(members) if len(own)]
+        known = left["score"].fill_null(-1.0).to_numpy()
+        best, hit = np.full(len(a), -np.inf), np.full(len(a), len(b))
+
+        def visit(cell: int, rows: np.ndarray) -> None:
+            own = members[cell]
+            step = max(1, TILE // len(own))
+            for some in (rows[low:low + step] for low in range(0, len(rows), step)):
+                scores = a[some] @ b[own].T
+                i, j = best_one(scores)
+                score, at, to = np.round(scores[i, j], SCORE_DIGITS), some[i], own[j]
+                won = (score > best[at]) | ((score == best[at]) & (to < hit[at]))
+                best[at[won]], hit[at[won]] = score[won], to[won]
+
+        step = max(1, TILE // len(centres))
+        for low in range(0, len(a), step):
+            angles = np.full((len(a[low:low + step]), len(centres)), np.inf)
+            angles[:, filled] = np.arccos(np.clip(a[low:low + step] @ centres[filled].T, -1, 1))
+            near = angles.argmin(axis=1)
+            bound = np.arccos(np.clip(known[low:low + step], -1, 1)) + SLACK
+            open_ = angles - reach <= bound[:, None]
+            for cell in filled:
+                visit(cell, low + np.flatnonzero((near == cell) & open_[:, cell]))
+            bound = np.minimum(bound, np.arccos(np.clip(best[low:low + step], -1, 1)) + SLACK)
+            open_ = angles - reach <= bound[:, None]
+            for cell in filled:
+                visit(cell, low + np.flatnonzero((near != cell) & open_[:, cell]))
+        found = np.flatnonzero(hit < len(b))
+        return emit(left, right, [(found, hit[found], best[found])], arrow)
+
+    return run, out
+
+
 def code_kernel(l_type: T.DataType, r_type: T.DataType, k: int) -> tuple[Callable, T.StructType]:
     """The k rows of a block whose codes differ least from each left code; score = -distance, ties by smaller key."""
     out = T.StructType([
@@ -366,8 +462,8 @@ def match_ann(
 ) -> DataFrame:
     """For each left row its most similar indexed row: (key, hit_key, _raw).
 
-    Exact without ``n_probe``: round one compares a row with its nearest filled cell and so gets a bound;
-    round two visits the cells that can still beat it. With ``n_probe`` each row visits that many cells; there
+    Exact without ``n_probe``: round one compares a row with what can win in the block of its nearest coarse cell;
+    round two visits the other blocks that can still beat it, each once. With ``n_probe`` each row visits that many cells; there
     only keys and codes are read, and the vectors of its ``shortlist`` best codes are compared after, so
     the work per row is bounded and a better row elsewhere may be missed.
     """
@@ -376,13 +472,14 @@ def match_ann(
     )
     key_type, hit_type = rows.schema["l_key"].dataType, index.entries.schema["key"].dataType
     if n_probe is None:
-        exact = kernel(key_type, hit_type, lambda s: best_k(s, 1), "dot", False)
-        first = cut_lineage(nearest_cells(index, rows, 1))
-        known = cut_lineage(rank_best(_against(index, first, "l_vec", "u", *exact), 1).drop("rank"))
-        more = nearest_cells(index, rows.join(known.select("l_key", "score"), "l_key"), None)
-        seen = first.select(F.col("l_key").alias("seen"), F.col("cell").alias("seen_cell"))
-        more = cut_lineage(more.join(seen, (F.col("l_key") == F.col("seen")) & (F.col("cell") == F.col("seen_cell")), "left_anti"))
-        hits = known.unionByName(_against(index, more, "l_vec", "u", *exact)) if not more.isEmpty() else known
+        filled = {r["parent"]: r["n"] for r in index.cells.groupBy("parent").agg(F.sum("n").alias("n")).collect()}  # per coarse centre
+        plan = side_by_side(index.centres.coarse, filled, max(1, BLOCK_VALUES // index.state["dims"]))
+        first = cut_lineage(_block_doors(index, rows.withColumn("score", F.lit(None).cast("double")), plan, False))
+        known = hits = cut_lineage(rank_best(_in_blocks(index, first, plan), 1).drop("rank"))
+        if any(at + parts > 1 for _, at, parts in plan):
+            # a block whose rows were all removed gives no score
+            more = cut_lineage(_block_doors(index, rows.join(known.select("l_key", "score"), "l_key", "left"), plan, True))
+            hits = known.unionByName(_in_blocks(index, more, plan)) if not more.isEmpty() else known
     else:
         asked = coded(rows, index.mean, index.std, "l_vec", "l_code")
         visits = cut_lineage(nearest_cells(index, asked, n_probe, with_vector=False))

@@ -162,3 +162,20 @@ def place_rows(rows: DataFrame, centres: Centres) -> tuple[DataFrame, DataFrame,
 def crowd(cell_rows: Column | str) -> Column:
     """Parts of a cell: one per ``PART_ROWS`` rows begun."""
     return F.greatest(F.lit(1), F.ceil((F.col(cell_rows) if isinstance(cell_rows, str) else cell_rows) / PART_ROWS)).cast("int")
+
+
+def side_by_side(coarse: np.ndarray, rows: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(parent, first, parts): coarse cells that lie side by side share a group of up to ``most`` rows, a larger one is cut into parts.
+
+    ``rows`` has the number of rows of each filled parent; groups are numbered from 0, parts from ``first`` on.
+    """
+    left, at, group, held, plan = sorted(rows), min(rows, default=0), 0, 0, []
+    while left:
+        left.remove(at)
+        parts = max(1, -(-rows[at] // most))
+        if held and held + rows[at] > most:
+            group, held = group + 1, 0
+        plan.append((at, group, parts))
+        group, held = group + parts - 1, most if parts > 1 else held + rows[at]
+        at = left[int((coarse[left] @ coarse[at]).argmax())] if left else at
+    return plan
