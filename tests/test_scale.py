@@ -26,6 +26,17 @@ def test_streams_read_folders_of_parts(spark, sf, tmp_path, name, table):
     assert parts and parts == sorted(map(tuple, QUERIES[name](spark, str(tmp_path / "one")).collect()))
 
 
+@pytest.mark.parametrize("name, table, column", [("stream_embed", "documents", "lang"), ("stream_search", "embeddings", "label")])
+def test_streams_read_partitioned_folders(spark, sf, tmp_path, name, table, column):
+    """A column may stand in the names of the folders only."""
+    rows = spark.read.parquet(f"{sf}/{table}.parquet").limit(40)
+    rows.write.partitionBy(column).parquet(str(tmp_path / "k=1" / f"{table}.parquet"))
+    os.mkdir(tmp_path / "one")
+    rows.toPandas().to_parquet(tmp_path / "one" / f"{table}.parquet")
+    parts = sorted(map(tuple, QUERIES[name](spark, str(tmp_path / "k=1")).collect()))
+    assert parts and parts == sorted(map(tuple, QUERIES[name](spark, str(tmp_path / "one")).collect()))
+
+
 def test_greedy_set_of_a_crowd_forms_no_square(spark, tmp_path, monkeypatch):
     """Everyone is close to everyone: one item is kept, and the edges asked for stay in line with the items."""
     rows = spark.range(3000).selectExpr("id AS vec_id", "array(cast(rand(3) / 50 AS float), cast(rand(4) / 50 AS float)) AS embedding", "0 AS label")

@@ -338,12 +338,13 @@ def _(spark, sf):
 
 
 def _arriving(spark, sf, name):
-    """The table as a stream, be it one file or a folder of part files.
+    """The table as a stream, be it one file or a folder of part files, partitioned or not.
 
-    A plain path must be a folder for the stream's reader, a pattern may match either.
+    A plain path must be a folder for the stream's reader, a pattern may match either. Below a
+    pattern, columns that only the folders' names hold are found where a base path is named.
     """
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.[p]arquet")
+    return spark.readStream.schema(schema).option("basePath", sf).parquet(f"{sf}/{name}.[p]arquet")
 
 
 @_q("stream_embed", _EMBED_SQL)
