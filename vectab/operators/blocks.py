@@ -25,6 +25,7 @@ BLOCK_VALUES = 64 * BLOCK_ROWS  # numbers in a block of wider vectors: 48 MB
 TASK_PAIRS = 1 << 22  # fewer are not worth a task
 TILE = 1 << 22  # scores held at once inside a task
 HIT_TILE = 1 << 20  # the same where all of them may be hits
+GROUP = 64  # columns whose best score stands for them while the k best are looked for
 # Scores are rounded before ranking, so the order in which a sum of floats ran
 # never decides a rank.
 SCORE_DIGITS = 12
@@ -119,6 +120,40 @@ def best_one(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], np.concatenate([columns[~close], j])[order]
 
 
+def best_few(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``best_k`` of scores that are yet to be rounded: only those that can be among the k best are, and are ranked.
+
+    The columns are dealt to groups of at most ``GROUP``. The k-th largest of the groups' best is reached by k scores, so
+    nothing clearly below it wins a place. Rows with odd scores, or too many close ones, go through ``best_k``.
+    """
+    n = scores.shape[1]
+    groups = -(-n // GROUP)
+    if groups < 4 * k:
+        return best_k(np.round(scores, SCORE_DIGITS), k)
+    most = scores[:, :groups].copy()
+    for start in range(groups, n, groups):
+        part = scores[:, start:start + groups]
+        np.maximum(most[:, :part.shape[1]], part, out=most[:, :part.shape[1]])
+    usual = (np.abs(most) < 1e200).all(axis=1)  # neither missing nor infinite, before or after rounding
+    bound = np.partition(most, -k, axis=1)[:, -k]
+    bound[~usual] = 0
+    bound -= 2 * 10.0**-SCORE_DIGITS + 1e-14 * np.abs(bound)  # what rounding may move
+    near = scores >= bound[:, None]
+    usual &= np.count_nonzero(near, axis=1) <= max(n // 16, k)
+    near[~usual] = False
+    rows, columns = np.divmod(np.flatnonzero(near), n)
+    order = np.lexsort((columns, -np.round(scores[rows, columns], SCORE_DIGITS), rows))
+    rows, columns = rows[order], columns[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    rows, columns = rows[first], columns[first]
+    if not usual.all():
+        again = np.flatnonzero(~usual)
+        i, j = best_k(np.round(scores[again], SCORE_DIGITS), k)
+        rows, columns = np.concatenate([rows, again[i]]), np.concatenate([columns, j])
+    order = np.lexsort((columns, rows))
+    return rows[order], columns[order]
+
+
 def emit(left: pa.Table, right: pa.Table, pieces, schema: pa.Schema) -> pa.Table:
     """Build (l_key, r_key, score) rows from index arrays."""
     if not pieces:
@@ -218,7 +253,7 @@ def topk_join(
     """k best right rows per left row: (l_key, r_key, score, rank)."""
     run, out = kernel(
         left.schema["l_key"].dataType, right.schema["r_key"].dataType,
-        best_one if k == 1 else lambda s: best_k(s, k), metric, exclude_same, rounded=k != 1,
+        best_one if k == 1 else lambda s: best_few(s, k), metric, exclude_same, rounded=False,
     )
     lefts, rights = spread_pairs(left, right, block_rows, sizes)
     return rank_best(run_blocks(lefts, rights, ["l_block", "r_block"], run, out), k)
