@@ -407,3 +407,9 @@ def test_packed_ids_are_whole(spark, end_id):
         pieces = sorted((r.piece, bytes(r.ids)) for r in rows if r.doc_id == k)
         ids = np.frombuffer(b"".join(raw for _, raw in pieces), dtype="<u4").tolist()
         assert ids == [*library.encode(t or "", add_special_tokens=False).ids, end_id]
+
+
+def test_packed_ids_need_one_python_worker(spark):
+    docs = spark.createDataFrame([(1, "some words here")], "doc_id int, text string")
+    plan = packing.pack_documents(docs, WORD_BPE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # each such node of a task holds a worker of its own

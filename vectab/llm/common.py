@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,6 +164,15 @@ def bound_batches(df: DataFrame) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system: its Python worker lives on, idle or in other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """As ``cut_lineage``, but the folder can be given back before the driver ends, with ``free``."""
     spark = df.sparkSession

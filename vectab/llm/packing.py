@@ -18,16 +18,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.scaling import cut_lineage
-from .common import Recent, WordHasher, bound_batches
+from .common import Recent, WordHasher, bound_batches, give_back
 
 CAPACITY = 2048
 CACHE_WORDS = 120_000
-GATHER = 2 << 20
+GATHER = 1 << 19
 _BYTES = np.arange(256)
 _LETTER = (_BYTES >= 97) & (_BYTES <= 122)
 _SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_LETTER
@@ -204,6 +204,8 @@ def tokenized_pieces(docs: DataFrame, path: str, key: str, text: str, capacity:
                     arrays.append(pa.array(ids, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        del tokenizer
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -214,23 +216,20 @@ def narrowed(code: bytes) -> bytes:
     return ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else code
 
 
-def widened(ids: Column, length: Column) -> Column:
+def widened(ids: pd.Series, length: pd.Series) -> pd.Series:
     """The 32-bit ids of narrowed ones; their size tells which they are."""
-    @F.pandas_udf("binary")
-    def run(ids: pd.Series, length: pd.Series) -> pd.Series:
-        return pd.Series([
-            np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes() if len(raw) == 2 * n else raw
-            for raw, n in zip(ids, length)], index=ids.index, dtype=object)
-
-    return run(ids, length)
+    return pd.Series([
+        np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes() if len(raw) == 2 * n else raw
+        for raw, n in zip(ids, length)], index=ids.index, dtype=object)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (length, part, rank, more) with ``sequence_id`` and ``offset``.
+    """``pieces`` (length, part, rank, more) with ``sequence_id`` and ``offset``; narrowed ``ids`` become 32-bit ones.
 
     ``rank`` numbers the pieces of one length inside one ``part`` from 0. Only counts per
     (part, length) are summed up; the plan has at most two rows per length
-    and remaining capacity, so its size is bounded by the capacity alone.
+    and remaining capacity, so its size is bounded by the capacity alone. One function
+    places and widens: a task with two would hold two Python workers.
     """
     counts = pieces.groupBy("part", "length").agg((F.max("rank") + 1).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -238,18 +237,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     offsets = cut_lineage(offsets)
     table = plan({r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
 
-    @F.pandas_udf("sequence_id bigint, offset bigint")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    own = [c for c in pieces.columns if c == "ids"]
+
+    @F.pandas_udf("sequence_id bigint, offset bigint" + ", ids binary" * len(own))
+    def place(length: pd.Series, rank: pd.Series, *ids: pd.Series) -> pd.DataFrame:
         n, r = length.to_numpy(), rank.to_numpy()
         step = np.int64(1) << 48  # ranks stay below 2**48
         row = np.searchsorted(table[:, 0] * step + table[:, 1], n * step + r, side="right") - 1
         _, first, bin_, offset, each = table[row].T
-        return pd.DataFrame({"sequence_id": bin_ + (r - first) // each, "offset": offset + (r - first) % each * n})
+        out = {"sequence_id": bin_ + (r - first) // each, "offset": offset + (r - first) % each * n}
+        return pd.DataFrame(out | {"ids": widened(i, length).to_numpy() for i in ids})
 
     placed = pieces.join(offsets.drop("n"), ["part", "length"]).withColumn(
-        "_place", place.asNondeterministic()("length", F.col("rank") + F.col("before"))
+        "_place", place.asNondeterministic()("length", F.col("rank") + F.col("before"), *own)
     )
-    return placed.select(*[c for c in pieces.columns if c not in ("part", "rank")], "_place.*")
+    kept = [F.col(f"_place.{c}" if c in own else c) for c in pieces.columns if c not in ("part", "rank")]
+    return placed.select(*kept, "_place.sequence_id", "_place.offset")
 
 
 def pack_documents(
@@ -267,7 +270,4 @@ def pack_documents(
     """
     bound_batches(docs)
     pieces = cut_lineage(tokenized_pieces(docs, path, key, text, capacity, end_id, keep_ids))
-    packed = pack(pieces, capacity)
-    if keep_ids:
-        packed = packed.withColumn("ids", widened(F.col("ids"), F.col("length")))
-    return packed.withColumnRenamed("k", key)
+    return pack(pieces, capacity).withColumnRenamed("k", key)
