@@ -185,3 +185,29 @@ def test_exact_matching_sends_a_row_to_a_block_once(spark, tmp_path, monkeypatch
     ann.ann_compact(spark, path)
     index = ann.ann_load(spark, path)
     assert found() == {}
+
+
+def test_pairs_of_a_table_are_scored_once(spark, monkeypatch):
+    """Whatever the blocks, keys and bound: each pair once, smaller key first; a row is copied once for each block."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(90, 4))
+    v[7], v[8] = v[6], 0
+    names = [f"k{i * 37 % 90:02d}" for i in range(90)]
+    rows = spark.createDataFrame(list(zip(names, v.tolist())) + [("gone", None), (None, v[0].tolist())], "id string, v array<double>")
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    score = np.round(u @ u.T, 12)
+    used = [i for i in range(90) if i != 8]
+    monkeypatch.setattr(blocks, "HIT_TILE", 300)
+    monkeypatch.setattr(blocks, "SLICE", 20)
+    for bound, block_rows in [(2.0, 30), (2.0, 1000), (0.4, 30)]:
+        want = sorted((*sorted((names[i], names[j])), round(1 - score[i, j], 9)) for i in used for j in used if i < j and score[i, j] >= 1 - bound)
+        got = sorted((r.i, r.j, round(r.dist, 9)) for r in search.pair_distances(rows, "id", "v", bound, block_rows).collect())
+        assert got == want
+    assert [blocks.plan_triangle(r, 98304, 12) for r in (0, 500, 10_000, 615_000)] == [1, 1, 5, 7]
+
+
+def test_pair_distances_query_gives_every_pair(spark, sf):
+    from __spark_entry__ import oracle_sql, queries
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert queries()["pair_distances"](spark, sf).count() == rows * (rows - 1) // 2
+    assert ">=" not in oracle_sql()["pair_distances"]
