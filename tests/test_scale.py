@@ -211,3 +211,51 @@ def test_pair_distances_query_gives_every_pair(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert queries()["pair_distances"](spark, sf).count() == rows * (rows - 1) // 2
     assert ">=" not in oracle_sql()["pair_distances"]
+
+
+def test_nearest_is_best_k_of_rounded_scores(monkeypatch):
+    """Whatever the tiles: with ties, copies, zero vectors and columns not to be taken, for the rows of one side and of both."""
+    rng = np.random.default_rng(15)
+    monkeypatch.setattr(blocks, "SLAB", 16)
+    monkeypatch.setattr(blocks, "STRIP", 24)
+    for m, n, d in [(40, 150, 5), (1, 30, 3), (50, 1, 2), (33, 100, 64)]:
+        a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) * rng.random((len(v), 1)) for v in (rng.normal(size=(m, d)), rng.normal(size=(n, d))))
+        if n > 90:
+            b[5], b[80:90], a[3], a[7] = 0, b[20], b[20], 0
+            b[40:60] = b[39] + rng.normal(size=(20, d)) * 1e-14  # rivals closer than a rounded digit
+            b[60:70] = b[39] + rng.normal(size=(10, d)) * 1e-9  # and closer than float32 can tell
+            a[8] = b[39]
+        scores = np.round(a @ b.T, 12)
+        at, best, up, best_up = blocks.nearest(a, b, both=True)
+        assert at.tolist() == scores.argmax(axis=1).tolist() and up.tolist() == scores.argmax(axis=0).tolist()
+        assert (best == scores.max(axis=1)).all() and (best_up == scores.max(axis=0)).all()
+        same, off = rng.integers(-1, n, m), np.unique(rng.integers(0, n, n // 4))
+        scores[np.flatnonzero(same >= 0), same[same >= 0]] = -np.inf
+        scores[:, off] = -np.inf
+        want = np.where(np.isfinite(scores.max(axis=1)), scores.argmax(axis=1), -1)
+        assert blocks.nearest(a, b, same, off)[0].tolist() == want.tolist()
+
+
+def test_tree_is_the_same_with_many_blocks_and_copies(spark, monkeypatch):
+    v = np.random.default_rng(16).normal(size=(150, 4))
+    v[20:40], v[41] = v[19], -v[19]
+    table = spark.createDataFrame(list(enumerate(v.tolist())), "id long, v array<double>")
+    tree = lambda: sorted(map(tuple, hac.hac(table, "id", "v")[1].selectExpr(
+        "rank", "node", "left", "right", "round(height, 9)", "size", "round(spread, 9)").collect()))
+    whole, met = tree(), []
+    monkeypatch.setattr(blocks, "TASK_PAIRS", 300)
+    monkeypatch.setattr(hac, "FINISH", 100 * 100 * 4)
+    meet = blocks._meet_itself
+    monkeypatch.setattr(blocks, "_meet_itself", lambda *x: met.append(meet(*x)) or met[-1])
+    assert tree() == whole and len(whole) == 149
+    # two blocks meet once, whichever side asks
+    assert met[0].select("l_block", "r_block").distinct().count() == 10 and met[0].count() == 4 * 150
+
+
+def test_tree_of_thousands_of_rows_has_few_jobs(spark, monkeypatch):
+    """A round is worth jobs by its multiplications, not by its clusters."""
+    jobs, cut = [], hac.cut_lineage
+    monkeypatch.setattr(hac, "cut_lineage", lambda df: jobs.append(1) or cut(df))
+    rows = list(enumerate(np.random.default_rng(17).normal(size=(6000, 3)).tolist()))
+    merges = hac.hac(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")[1]
+    assert merges.count() == 5999 and len(jobs) < 6

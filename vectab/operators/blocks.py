@@ -25,6 +25,8 @@ BLOCK_VALUES = 64 * BLOCK_ROWS  # numbers in a block of wider vectors: 48 MB
 TASK_PAIRS = 1 << 22  # fewer are not worth a task
 TILE = 1 << 22  # scores held at once inside a task
 HIT_TILE = 1 << 20  # the same where all of them may be hits
+SLAB, STRIP = 512, 1024  # rows and columns of a float32 tile that stays in a core's cache
+OFF = -4.0
 SLICE = 512  # rows of a block that meet its rest, where it meets itself
 GROUP = 64  # columns whose best score stands for them while the k best are looked for
 # Scores are rounded before ranking, so the order in which a sum of floats ran
@@ -302,6 +304,32 @@ def plan_triangle(rows: int, block_rows: int, cores: int) -> int:
     return n
 
 
+def _meet_itself(table: DataFrame, block_rows: int, rows: int) -> DataFrame:
+    """Rows (``l_key``, ``l_vec``) copied to all pairs ``l_block`` <= ``r_block`` of a triangle; ``is_left`` tells the side."""
+    if rows > 4096:
+        first = table.select(F.size("l_vec").alias("d")).first()
+        block_rows = min(block_rows, max(1, BLOCK_VALUES // max(1, first["d"] if first else 1)))
+    n = plan_triangle(rows, block_rows, table.sparkSession.sparkContext.defaultParallelism)
+    return table.filter("l_key IS NOT NULL").selectExpr(
+        "l_key", "l_vec", f"cast(pmod(xxhash64(l_key), {n}) AS int) AS _own", f"explode(sequence(0, {n - 1})) AS _other",
+    ).selectExpr("l_key", "l_vec", "_own <= _other AS is_left", "least(_own, _other) AS l_block", "greatest(_own, _other) AS r_block")
+
+
+def _two_blocks(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Table | None] | None:
+    """The two blocks of a pair in key order, the second one missing where a block meets itself; nothing for one without rows."""
+    held, alone = {True: [], False: []}, True
+    for batch in batches:
+        for side in held:
+            part = batch.filter(pc.equal(batch["is_left"], side))
+            if part.num_rows:
+                held[side].append(part.select(["l_key", "l_vec"]))
+                alone = alone and part["l_block"][0] == part["r_block"][0]
+    if not held[True] or not (alone or held[False]):
+        return None
+    left = pa.Table.from_batches(held.pop(True)).sort_by("l_key")
+    return left, None if alone else pa.Table.from_batches(held.pop(False)).sort_by("l_key")
+
+
 def self_join(table: DataFrame, min_score: float, metric: str = "cosine", block_rows: int = BLOCK_ROWS, rows: int | None = None) -> DataFrame:
     """All pairs of two rows (``l_key``, ``l_vec``) that score at least ``min_score``: (l_key, r_key, score), l_key < r_key.
 
@@ -309,27 +337,14 @@ def self_join(table: DataFrame, min_score: float, metric: str = "cosine", block_
     """
     key = table.schema["l_key"].dataType
     out, arrow = _hits(key, key, metric)
-    rows = table.count() if rows is None else rows
-    if rows > 4096:
-        first = table.select(F.size("l_vec").alias("d")).first()
-        block_rows = min(block_rows, max(1, BLOCK_VALUES // max(1, first["d"] if first else 1)))
-    n = plan_triangle(rows, block_rows, table.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {True: [], False: []}
-        alone = True
-        for batch in batches:
-            for side in held:
-                part = batch.filter(pc.equal(batch["is_left"], side))
-                if part.num_rows:
-                    held[side].append(part.select(["l_key", "l_vec"]))
-            alone = alone and batch.num_rows > 0 and batch["l_block"][0] == batch["r_block"][0]
-        if not held[True] or not (alone or held[False]):
+        if (found := _two_blocks(batches)) is None:
             return
-        left = pa.Table.from_batches(held.pop(True)).sort_by("l_key")
-        other = left if alone else pa.Table.from_batches(held.pop(False)).sort_by("l_key")
-        right = other.rename_columns(["r_key", "r_vec"])
-        keys = pa.concat_arrays([t.column(0).combine_chunks() for t in ([left] if alone else [left, right])])
+        left, right = found
+        alone = right is None
+        keys = pa.concat_arrays([t["l_key"].combine_chunks() for t in ([left] if alone else [left, right])])
+        right = (left if alone else right).rename_columns(["r_key", "r_vec"])
         place = pc.rank(keys, tiebreaker="min").to_numpy()
         first = 0 if alone else len(left)  # where the right keys begin
         for begin in range(0, len(left), SLICE):
@@ -344,7 +359,127 @@ def self_join(table: DataFrame, min_score: float, metric: str = "cosine", block_
                 if len(low):
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(low)), keys.take(pa.array(high)), pa.array(score)], schema=arrow)
 
-    sides = table.filter("l_key IS NOT NULL").selectExpr(
-        "l_key", "l_vec", f"cast(pmod(xxhash64(l_key), {n}) AS int) AS _own", f"explode(sequence(0, {n - 1})) AS _other",
-    ).selectExpr("l_key", "l_vec", "_own <= _other AS is_left", "least(_own, _other) AS l_block", "greatest(_own, _other) AS r_block")
+    sides = _meet_itself(table, block_rows, table.count() if rows is None else rows)
     return sides.groupBy("l_block", "r_block").applyInArrow(run, out)
+
+
+def _decide(a: np.ndarray, b: np.ndarray, most: np.ndarray, width: int, same: np.ndarray, off: np.ndarray, length: float):
+    """``nearest`` from the float32 maxima of each row over strips of ``width`` columns: only strips that can hold the best are scored."""
+    top = most.max(axis=1, initial=-np.inf)
+    # what float32 may be off: both numbers are rounded, then each product and sum
+    slack = (a.shape[1] + 8) * 2.0**-22 * np.sqrt((a * a).sum(axis=1)) * length + 4 * 10.0**-SCORE_DIGITS
+    rows, strips = np.nonzero((most >= (top - slack)[:, None]) & (top > OFF / 2)[:, None])
+    at, best = np.full(len(a), -1), np.full(len(a), -np.inf)
+    order = np.argsort(strips, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(strips[order])) + 1) if len(order) else []:
+        row, begin = rows[part], strips[part[0]] * width
+        scores = np.round(a[row] @ b[begin:begin + width].T, SCORE_DIGITS)
+        _strike(scores, same[row], begin)
+        low, high = np.searchsorted(off, (begin, begin + width))
+        scores[:, off[low:high] - begin] = -np.inf
+        column = scores.argmax(axis=1)
+        score = scores[np.arange(len(row)), column]
+        more = score > best[row]  # strips come in order, so the earlier column wins a tie
+        best[row[more]], at[row[more]] = score[more], begin + column[more]
+    return at, best
+
+
+def _strike(scores: np.ndarray, same: np.ndarray, begin: int) -> None:
+    own = np.flatnonzero((same >= begin) & (same < begin + scores.shape[1]))
+    scores[own, same[own] - begin] = -np.inf
+
+
+def screen_rows(v: np.ndarray, last: float = 0.0) -> np.ndarray:
+    """float32 rows with one more number: 1 on the asking side, 0 or ``OFF`` on the other, so that a column that is off scores low."""
+    return np.concatenate([v, np.full((len(v), 1), last)], axis=1, dtype=np.float32)
+
+
+def nearest(
+    a: np.ndarray, b: np.ndarray, same: np.ndarray | None = None, off: np.ndarray | None = None, b32: np.ndarray | None = None,
+    both: bool = False,
+):
+    """Per row of ``a`` the row of ``b`` with the largest dot product (the earlier on ties; -1: none) and that score, rounded.
+
+    For vectors of length 1 at most. float32 products tell which strips of columns can hold the best; there float64 decides, so the
+    result is that of ``best_k``. ``same`` and ``off`` (sorted) are columns not to be taken, by one row and by any; ``b32`` is what
+    ``screen_rows`` makes of ``b``, with ``OFF`` in the last place of those that are off. ``both`` adds the same for each row of ``b`` from the same products; ``same`` and ``off`` are not for it.
+    """
+    same = np.full(len(a), -1) if same is None else same
+    off = np.zeros(0, dtype=np.int64) if off is None else off
+    a32 = screen_rows(a, 1.0)
+    if b32 is None:
+        b32 = screen_rows(b)
+        b32[off, -1] = OFF
+    at, best = np.full(len(a), -1), np.full(len(a), -np.inf)
+    long = lambda v: np.sqrt(max(((part * part).sum(axis=1).max(initial=0.0) for part in np.array_split(v, 1 + len(v) // SLAB)), default=0.0))
+    far = long(b)
+    tile, strips = np.empty((SLAB, STRIP), dtype=np.float32), range(0, len(b), STRIP)
+    down = np.full((len(b), -(-len(a) // SLAB)), -np.inf, dtype=np.float32) if both else None
+    for turn, begin in enumerate(range(0, len(a), SLAB)):
+        rows = slice(begin, begin + SLAB)
+        slab, own = a32[rows], same[rows]
+        most = np.empty((len(slab), len(strips)), dtype=np.float32)
+        for strip, first in enumerate(strips):
+            part = b32[first:first + STRIP]
+            scores = np.matmul(slab, part.T, out=tile if (len(slab), len(part)) == tile.shape else None)
+            _strike(scores, own, first)
+            scores.max(axis=1, out=most[:, strip])
+            if both:
+                scores.max(axis=0, out=down[first:first + STRIP, turn])
+        at[rows], best[rows] = _decide(a[rows], b, most, STRIP, own, off, far)
+    if not both:
+        return at, best
+    up, best_up, far = np.full(len(b), -1), np.full(len(b), -np.inf), long(a)
+    for begin in range(0, len(b), STRIP):
+        rows = slice(begin, begin + STRIP)
+        up[rows], best_up[rows] = _decide(b[rows], a, down[rows], SLAB, np.full(len(b[rows]), -1), off[:0], far)
+    return at, best, up, best_up
+
+
+def _finite(block: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Keys and vectors of a block without odd numbers: those never win a place."""
+    v = matrix(block.column(1))
+    fine = np.isfinite(v).all(axis=1)
+    keys = block.column(0).combine_chunks()
+    return (keys, v) if fine.all() else (keys.filter(pa.array(fine)), v[fine])
+
+
+def nearest_join(left: DataFrame, right: DataFrame, sizes: tuple[int, int], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``topk_join`` with k = 1 by dot product for vectors of length 1 at most; a row never finds its own key: (l_key, r_key, score)."""
+    out, arrow = _hits(left.schema["l_key"].dataType, right.schema["r_key"].dataType, "dot")
+
+    def run(lefts: pa.Table, rights: pa.Table) -> pa.Table:
+        if not len(lefts) or not len(rights):
+            return arrow.empty_table()
+        (l_key, a), (r_key, b) = _finite(lefts.select(["l_key", "l_vec"])), _finite(rights.sort_by("r_key").select(["r_key", "r_vec"]))
+        same = pc.fill_null(pc.index_in(l_key, r_key), -1).to_numpy(zero_copy_only=False)
+        at, best = nearest(a, b, same)
+        rows = np.flatnonzero(at >= 0)
+        return pa.table([l_key.take(pa.array(rows)), r_key.take(pa.array(at[rows])), pa.array(best[rows])], schema=arrow)
+
+    lefts, rights = spread_pairs(left, right, block_rows, sizes)
+    return rank_best(run_blocks(lefts, rights, ["l_block", "r_block"], run, out), 1).drop("rank")
+
+
+def nearest_others(table: DataFrame, rows: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``nearest_join`` of a table (``l_key``, ``l_vec``) with itself: two blocks meet once, for the rows of both."""
+    key = table.schema["l_key"].dataType
+    out, arrow = _hits(key, key, "dot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (found := _two_blocks(batches)) is None:
+            return
+        left, right = found
+        keys, a = _finite(left)
+        if right is None:
+            sides = [(keys, keys, *nearest(a, a, np.arange(len(a))))]
+        else:
+            others, b = _finite(right)
+            at, best, up, best_up = nearest(a, b, both=True)
+            sides = [(keys, others, at, best), (others, keys, up, best_up)]
+        for mine, theirs, at, best in sides:
+            hit = np.flatnonzero(at >= 0)
+            yield pa.RecordBatch.from_arrays([mine.take(pa.array(hit)), theirs.take(pa.array(at[hit])), pa.array(best[hit])], schema=arrow)
+
+    hits = _meet_itself(table, block_rows, rows).groupBy("l_block", "r_block").applyInArrow(run, out)
+    return rank_best(hits, 1).drop("rank")

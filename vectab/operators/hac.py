@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from ..functions.vector import dot, nonzero, unit
 from ..plans.graph import climb_to_roots
 from ..plans.scaling import cut_lineage, global_row_number, salted_join
-from .blocks import SCORE_DIGITS, matrix, topk_join
+from .blocks import OFF, matrix, nearest, nearest_join, nearest_others, screen_rows
 from .stats import pick_k_peak, spread_by_k
 from .table import scan_many
 
-FINISH = 4096  # clusters that one task may merge to the end
+FINISH = 1 << 36  # multiplications of a round that are not worth jobs: one task goes on from there, for a minute or two at most,
+HELD = 3 << 22  # as soon as it can hold the numbers of all vectors: 96 MB
 CLUSTER = "struct(id, rep, size, h, spread, nn, dist)"
+ODD = "vectors with values that are no finite numbers"
 MERGE_SCHEMA = (
     "rank long, node long, left long, right long, height double, size long, "
     "spread double, left_spread double, right_spread double"
@@ -107,7 +109,8 @@ def hac_rows(rows: DataFrame) -> DataFrame:
     )
     steps: list[DataFrame] = []
     live = asking = n
-    while live > FINISH:
+    dims = rows.select(F.size("u").alias("d")).first()["d"]
+    while live > 1 and (asking * live * dims > FINISH or live * dims > HELD):
         pool = cut_lineage(_merge_mutual(_with_neighbours(state, vectors, asking, live), (len(steps) + 1) * n))
         born, vectors = _merge_vectors(vectors, pool)
         spreads = born.select("id", F.col("spread").alias("_spread"))
@@ -116,44 +119,60 @@ def hac_rows(rows: DataFrame) -> DataFrame:
             "id", "l", "r", F.col("h").alias("height"), "size", "spread", "left_spread", "right_spread"))
         state = cut_lineage(_forget_merged(pool))
         counts = state.agg(F.count(F.lit(1)).alias("live"), F.count_if(F.col("nn").isNull()).alias("asking")).first()
+        if counts["live"] == live:
+            raise ValueError(ODD)
         live, asking = counts["live"], counts["asking"]
     if live > 1:
-        steps.append(_finish(state.join(vectors.select("id", "s"), "id"), n, len(steps)))
+        steps.append(cut_lineage(_finish(state.join(vectors.select("id", "s"), "id"), n, len(steps))))
     return _number_merges(scan_many(steps), n)
 
 
 def _finish(state: DataFrame, n: int, turn: int) -> DataFrame:
-    """The merges of the last ``FINISH`` clusters, whatever the table: the same rounds, without a job for each."""
+    """The merges of the last clusters, ``HELD`` numbers at most whatever the table: the same rounds, without a job for each."""
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
-        ids, rep, size, h, spread, dist = (group[c].to_numpy() for c in ("id", "rep", "size", "h", "spread", "dist"))
-        nn, s = group["nn"].fill_null(-1).to_numpy().copy(), matrix(group["s"])
-        dist, number, out = dist.copy(), turn, []
-        while len(ids) > 1:
+        names = ("id", "rep", "size", "h", "spread", "dist")
+        # clusters stand in the order of their ids: a new one behind all others, merged ones stay as dead rows for a while
+        c = {name: group[name].to_numpy().copy() for name in names} | {"nn": group["nn"].fill_null(-1).to_numpy().copy(), "s": matrix(group["s"])}
+        del group
+        if not np.isfinite(c["s"]).all():
+            raise ValueError(ODD)
+        c["mean"] = c["s"] / c["size"][:, None]
+        c["mean32"], c["alive"] = screen_rows(c["mean"]), np.ones(len(c["id"]), dtype=bool)
+        used = live = len(c["id"])
+        number, out = turn, []
+        while live > 1:
             number += 1
-            mean, ask = s / size[:, None], np.flatnonzero(nn < 0)
-            for part in np.array_split(ask, 1 + len(ask) // 512):
-                scores = np.round(mean[part] @ mean.T, SCORE_DIGITS)
-                scores[np.arange(len(part)), part] = -np.inf
-                nn[part], dist[part] = ids[scores.argmax(axis=1)], 1 - scores.max(axis=1, initial=-np.inf)
-            at = np.searchsorted(ids, nn)
-            a = np.flatnonzero((at[at] == np.arange(len(ids))) & (np.arange(len(ids)) < at))
-            b = at[a]
+            alive = c["alive"][:used]
+            ask = np.flatnonzero(alive & (c["nn"][:used] < 0))
+            at, best = nearest(c["mean"][ask], c["mean"][:used], ask, np.flatnonzero(~alive), c["mean32"][:used])
+            c["nn"][ask], c["dist"][ask] = c["id"][at], 1 - best
+            to, here = np.searchsorted(c["id"][:used], c["nn"][:used]), np.arange(used)
+            a = np.flatnonzero(alive & (to[to] == here) & (here < to))
+            a = a[np.argsort(np.minimum(c["rep"][a], c["rep"][to[a]]))]
+            b = to[a]
             if not len(a):
-                raise ValueError("vectors with values that are no finite numbers")
-            new, both, total = number * n + np.minimum(rep[a], rep[b]), size[a] + size[b], s[a] + s[b]
-            high = np.maximum(dist[a], np.maximum(h[a], h[b]))
-            wide = 1 - ((total * total).sum(axis=1) - both) / (both * (both - 1))
-            out.append((new, ids[a], ids[b], high, both, wide, spread[a], spread[b]))
-            rest = np.ones(len(ids), dtype=bool)
-            rest[a] = rest[b] = False
-            nn = np.where(rest[at], nn, -1)[rest]
-            none = np.full(len(a), -1, dtype=np.int64)
-            columns = zip((ids[rest], rep[rest], size[rest], h[rest], spread[rest], nn, dist[rest], s[rest]),
-                          (new, np.minimum(rep[a], rep[b]), both, high, wide, none, np.zeros(len(a)), total))
-            order = np.argsort(np.concatenate([ids[rest], new]))
-            ids, rep, size, h, spread, nn, dist, s = (np.concatenate(c)[order] for c in columns)
-        return pa.table([np.concatenate(c) for c in zip(*out)], names=["id", "l", "r", "height", "size", "spread", "left_spread", "right_spread"])
+                raise ValueError(ODD)
+            both, total = c["size"][a] + c["size"][b], c["s"][a] + c["s"][b]
+            born = {
+                "rep": np.minimum(c["rep"][a], c["rep"][b]), "size": both, "s": total, "mean": total / both[:, None], "nn": -1, "dist": 0.0,
+                "h": np.maximum(c["dist"][a], np.maximum(c["h"][a], c["h"][b])), "alive": True,
+                "spread": 1 - ((total * total).sum(axis=1) - both) / (both * (both - 1)),
+            }
+            born |= {"id": number * n + born["rep"], "mean32": screen_rows(born["mean"])}
+            out.append((born["id"], c["id"][a], c["id"][b], born["h"], both, born["spread"], c["spread"][a], c["spread"][b]))
+            alive[a] = alive[b] = False
+            c["mean32"][a, -1] = c["mean32"][b, -1] = OFF
+            c["nn"][:used][alive & ~alive[to]] = -1
+            if used + len(a) > len(c["id"]):
+                kept, used = np.flatnonzero(alive), live - 2 * len(a)
+                for name, column in c.items():
+                    c[name] = np.empty((used + len(a) + live // 8, *column.shape[1:]), dtype=column.dtype)
+                    c[name][:used] = column[kept]
+            for name, values in born.items():
+                c[name][used:used + len(a)] = values
+            used, live = used + len(a), live - len(a)
+        return pa.table([np.concatenate(x) for x in zip(*out)], names=["id", "l", "r", "height", "size", "spread", "left_spread", "right_spread"])
 
     return state.groupBy(F.lit(0).alias("all")).applyInArrow(
         run, "id long, l long, r long, height double, size long, spread double, left_spread double, right_spread double")
@@ -162,12 +181,13 @@ def _finish(state: DataFrame, n: int, turn: int) -> DataFrame:
 def _with_neighbours(state: DataFrame, vectors: DataFrame, asking: int, live: int) -> DataFrame:
     """Fill in the nearest other cluster where it is unknown: for ``asking`` of ``live`` clusters."""
     mean = "transform(s, x -> x / size)"
-    open_ids = state.filter("nn IS NULL").select("id")
-    left = vectors if asking == live else vectors.join(open_ids, "id", "left_semi")
-    found = topk_join(
-        left.selectExpr("id AS l_key", f"{mean} AS l_vec"), vectors.selectExpr("id AS r_key", f"{mean} AS r_vec"),
-        1, metric="dot", exclude_same=True, sizes=(asking, live),
-    ).selectExpr("l_key AS id", "r_key AS _nn", "1 - score AS _dist")
+    if asking == live:
+        hits = nearest_others(vectors.selectExpr("id AS l_key", f"{mean} AS l_vec"), live)
+    else:
+        left = vectors.join(state.filter("nn IS NULL").select("id"), "id", "left_semi")
+        hits = nearest_join(
+            left.selectExpr("id AS l_key", f"{mean} AS l_vec"), vectors.selectExpr("id AS r_key", f"{mean} AS r_vec"), (asking, live))
+    found = hits.selectExpr("l_key AS id", "r_key AS _nn", "1 - score AS _dist")
     return state.join(found, "id", "left").selectExpr(
         "id", "rep", "size", "h", "spread", "coalesce(nn, _nn) AS nn", "coalesce(dist, _dist) AS dist",
     )
