@@ -414,7 +414,7 @@ def nearest(
     long = lambda v: np.sqrt(max(((part * part).sum(axis=1).max(initial=0.0) for part in np.array_split(v, 1 + len(v) // SLAB)), default=0.0))
     far = long(b)
     tile, strips = np.empty((SLAB, STRIP), dtype=np.float32), range(0, len(b), STRIP)
-    down = np.full((len(b), -(-len(a) // SLAB)), -np.inf, dtype=np.float32) if both else None
+    down = np.empty((-(-len(a) // SLAB), len(b)), dtype=np.float32) if both else None
     for turn, begin in enumerate(range(0, len(a), SLAB)):
         rows = slice(begin, begin + SLAB)
         slab, own = a32[rows], same[rows]
@@ -425,14 +425,14 @@ def nearest(
             _strike(scores, own, first)
             scores.max(axis=1, out=most[:, strip])
             if both:
-                scores.max(axis=0, out=down[first:first + STRIP, turn])
+                scores.max(axis=0, out=down[turn, first:first + STRIP])
         at[rows], best[rows] = _decide(a[rows], b, most, STRIP, own, off, far)
     if not both:
         return at, best
     up, best_up, far = np.full(len(b), -1), np.full(len(b), -np.inf), long(a)
     for begin in range(0, len(b), STRIP):
         rows = slice(begin, begin + STRIP)
-        up[rows], best_up[rows] = _decide(b[rows], a, down[rows], SLAB, np.full(len(b[rows]), -1), off[:0], far)
+        up[rows], best_up[rows] = _decide(b[rows], a, down[:, rows].T, SLAB, np.full(len(b[rows]), -1), off[:0], far)
     return at, best, up, best_up
 
 

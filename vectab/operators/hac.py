@@ -22,8 +22,8 @@ from .blocks import OFF, matrix, nearest, nearest_join, nearest_others, screen_r
 from .stats import pick_k_peak, spread_by_k
 from .table import scan_many
 
-FINISH = 1 << 36  # multiplications of a round that are not worth jobs: one task goes on from there, for a minute or two at most,
-HELD = 3 << 22  # as soon as it can hold the numbers of all vectors: 96 MB
+FINISH = 1 << 36  # multiplications of a round that are not worth jobs: one task goes on from there, for minutes at most,
+HELD = 1 << 24  # as soon as it can hold the numbers of all vectors: 128 MB
 CLUSTER = "struct(id, rep, size, h, spread, nn, dist)"
 ODD = "vectors with values that are no finite numbers"
 MERGE_SCHEMA = (
